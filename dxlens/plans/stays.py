@@ -38,8 +38,9 @@ def updated_during(log: DataFrame, disch: DataFrame, names: DataFrame,
     discharge day, not closed before the admission day; only edits with a
     provider.  ``dayofentry`` = days since admission midnight, ``dateposition``
     = that / max(los, 1); ``del``/``resol``/``noted`` flag an entry on the day
-    of deletion / resolution / noting.  Day measures are rounded to 1e-6 day.
-    One edit can fall into several stays.
+    of deletion / resolution / noting.  Day measures are exact fractions of a
+    day (not cut to whole microseconds of the divided interval).  One edit can
+    fall into several stays.
     """
     p = log.where(F.col("prov_id").isNotNull() & F.col("snomed").isNotNull()
                   & F.col("noteddate").isNotNull() & F.col("entrydate").isNotNull()
@@ -57,9 +58,9 @@ def updated_during(log: DataFrame, disch: DataFrame, names: DataFrame,
         F.col("s.admitdate").alias("admitdate"), F.col("s.dischdate").alias("dischdate"),
         *[F.col(f"b.{c}").alias(c) for c in ("noteddate", "entrydate", "resoldate", "deldate", "hospprob",
                                              "prov_id", "provtype", "provdept")],
-        F.round(days_between(F.col("b.entrydate"), midnight(F.col("s.dischdate"))), 6).alias("datediff"),
-        F.round(since_admit, 6).alias("dayofentry"),
-        F.round(since_admit / F.greatest(F.col("s.los"), F.lit(1)), 6).alias("dateposition"),
+        days_between(F.col("b.entrydate"), midnight(F.col("s.dischdate"))).alias("datediff"),
+        since_admit.alias("dayofentry"),
+        (since_admit / F.greatest(F.col("s.los"), F.lit(1))).alias("dateposition"),
         *[F.when(ed == day(F.col(f"b.{src}")), 1).otherwise(0).alias(out)
           for out, src in (("del", "deldate"), ("resol", "resoldate"), ("noted", "noteddate"))],
     ).withColumn("dcprobid", composite_key("ptid", "dischid", "pdxid", "conceptid", "noteddate"))

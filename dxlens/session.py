@@ -19,6 +19,9 @@ DEFAULT_CONF = {
 }
 
 
+LOCAL_DRIVER_MEMORY = "16g"
+
+
 def get_session(master: str | None = None, app_name: str = "dxlens",
                 shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Return a session with :data:`DEFAULT_CONF` applied.
@@ -29,6 +32,9 @@ def get_session(master: str | None = None, app_name: str = "dxlens",
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            builder = builder.config("spark.driver.memory", LOCAL_DRIVER_MEMORY)
     for key, value in DEFAULT_CONF.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
