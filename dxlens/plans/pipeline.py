@@ -59,6 +59,11 @@ class ProblemListMetrics:
         return self.inputs.pldata.sparkSession
 
     def _keep(self, df: DataFrame) -> DataFrame:
+        """Materialise a table that many later jobs read."""
+        return materialise(df, self.how)
+
+    def _keep_small(self, df: DataFrame) -> DataFrame:
+        """Materialise a per-discharge table read by a few later jobs."""
         return materialise(df, self.how)
 
     # -- terminology ---------------------------------------------------------
@@ -84,7 +89,8 @@ class ProblemListMetrics:
 
     @cached_property
     def snapshot_pairs(self) -> DataFrame:
-        return snapshot.snapshot_pairs(self.log, self.inputs.disch, self.concepts, self.hot_rows)
+        """D5 pairs without names (``dcprobstemp1`` before the name join)."""
+        return self._keep(snapshot.snapshot_pairs(self.log, self.inputs.disch, self.concepts, self.hot_rows))
 
     @cached_property
     def latest(self) -> DataFrame:
@@ -100,7 +106,7 @@ class ProblemListMetrics:
     @cached_property
     def subsumption(self) -> DataFrame:
         """D8 ``subsumed`` pairs."""
-        return snapshot.subsumption_pairs(self.latest, self.closure)
+        return self._keep_small(snapshot.subsumption_pairs(self.latest, self.closure))
 
     @cached_property
     def problems(self) -> DataFrame:
@@ -114,12 +120,12 @@ class ProblemListMetrics:
     @cached_property
     def summary(self) -> DataFrame:
         """D11 ``plsumm``."""
-        return snapshot.discharge_summary(self.problems, self.integer_ratio)
+        return self._keep_small(snapshot.discharge_summary(self.problems, self.integer_ratio))
 
     @cached_property
     def disch2(self) -> DataFrame:
         """D12 discharges with readmission and problem-list summary."""
-        return snapshot.discharge_enrichment(self.inputs.disch, self.summary, self.study_end)
+        return self._keep_small(snapshot.discharge_enrichment(self.inputs.disch, self.summary, self.study_end))
 
     # -- stays ---------------------------------------------------------------
     @cached_property
@@ -135,22 +141,22 @@ class ProblemListMetrics:
     @cached_property
     def pr_present(self) -> DataFrame:
         """D15."""
-        return stays.active_counts(self.present_during)
+        return self._keep_small(stays.active_counts(self.present_during))
 
     @cached_property
     def pr_updated(self) -> DataFrame:
         """D16."""
-        return stays.update_activity(self.updated_during)
+        return self._keep_small(stays.update_activity(self.updated_during))
 
     @cached_property
     def pusumm(self) -> DataFrame:
         """D17."""
-        return stays.activity_ratios(self.pr_present, self.pr_updated, self.integer_ratio)
+        return self._keep_small(stays.activity_ratios(self.pr_present, self.pr_updated, self.integer_ratio))
 
     @cached_property
     def disch3(self) -> DataFrame:
         """D18."""
-        return stays.discharge_activity(self.disch2, self.pusumm)
+        return self._keep_small(stays.discharge_activity(self.disch2, self.pusumm))
 
     @cached_property
     def outside(self) -> DataFrame:
@@ -166,27 +172,27 @@ class ProblemListMetrics:
     @cached_property
     def match_dx(self) -> DataFrame:
         """D20 ``pbmatchdx``."""
-        return billing.match_dx(self.present_during, self.inputs.billdata)
+        return self._keep_small(billing.match_dx(self.present_during, self.inputs.billdata))
 
     @cached_property
     def match_concept(self) -> DataFrame:
         """D21 ``pbmatchpr``."""
-        return billing.match_concept(self.present_during, self.inputs.billdata)
+        return self._keep_small(billing.match_concept(self.present_during, self.inputs.billdata))
 
     @cached_property
     def stats_dx(self) -> DataFrame:
         """D22 ``pbmatchsummdx``."""
-        return billing.match_stats_dx(self.match_dx)
+        return self._keep_small(billing.match_stats_dx(self.match_dx))
 
     @cached_property
     def stats_concept(self) -> DataFrame:
         """D22 ``pbmatchsummpr``."""
-        return billing.match_stats_concept(self.match_concept)
+        return self._keep_small(billing.match_stats_concept(self.match_concept))
 
     @cached_property
     def disch4(self) -> DataFrame:
         """The published discharge table."""
-        return billing.final_discharge(self.disch3, self.stats_dx, self.stats_concept)
+        return self._keep_small(billing.final_discharge(self.disch3, self.stats_dx, self.stats_concept))
 
     def reconciliation(self) -> DataFrame:
         """D24."""
