@@ -60,7 +60,7 @@ def main() -> None:
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     start = time.time()
     m = ProblemListMetrics(Inputs.from_mapping(load_bridge(spark, sf_dir)), study_end=STUDY_END,
-                           materialise=os.environ.get("BENCH_MATERIALISE", "checkpoint"))
+                           materialise=os.environ.get("BENCH_MATERIALISE", "table"))
     times: dict[str, float] = {}
     for name, step in STEPS:
         t0 = time.time()

@@ -21,11 +21,11 @@ FLAG_KEYS = ["dischid", "conceptid", "probid", "pdxid"]
 
 
 def metrics(spark: SparkSession, sf_dir: str, integer_ratio: bool = False,
-            materialise: str = "checkpoint") -> ProblemListMetrics:
+            materialise: str = "table") -> ProblemListMetrics:
     """The pipeline over the bridge inputs of ``sf_dir``.
 
-    Intermediates read by several later jobs are checkpointed as the query is
-    built, so each returned plan stays small and starts from stored results.
+    Intermediates read by later jobs are written to the checkpoint folder as the
+    query is built, so each returned plan stays small and starts from stored results.
     """
     return ProblemListMetrics(Inputs.from_mapping(load_bridge(spark, sf_dir)), study_end=STUDY_END,
                               integer_ratio=integer_ratio, materialise=materialise)

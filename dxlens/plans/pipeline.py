@@ -1,10 +1,10 @@
 """All jobs wired together over one set of inputs.
 
 :class:`ProblemListMetrics` exposes each intermediate and published table as a
-lazily built attribute.  Tables read by several later jobs are materialised
-once (``materialise``: ``persist`` keeps them on the executors and recomputes
-lost blocks from lineage, ``checkpoint`` writes them to the shared checkpoint
-folder, ``none`` keeps plain lazy plans, e.g. for one-off queries).
+lazily built attribute.  Tables read by later jobs are materialised once
+(``materialise``: ``table`` writes Parquet to the shared checkpoint folder and
+reads it back, ``checkpoint`` uses ``DataFrame.checkpoint``, ``persist`` keeps
+them on the executors, ``none`` keeps plain lazy plans).
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class ProblemListMetrics:
     """
 
     def __init__(self, inputs: Inputs, *, study_end: str = DEFAULT_STUDY_END, integer_ratio: bool = False,
-                 materialise: str = "persist", hot_rows: int = DEFAULT_HOT_ROWS,
+                 materialise: str = "table", hot_rows: int = DEFAULT_HOT_ROWS,
                  max_depth: int = DEFAULT_MAX_DEPTH):
         self.inputs = inputs
         self.study_end = study_end
@@ -58,19 +58,15 @@ class ProblemListMetrics:
     def spark(self) -> SparkSession:
         return self.inputs.pldata.sparkSession
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        """Materialise a table that many later jobs read."""
-        return materialise(df, self.how)
-
-    def _keep_small(self, df: DataFrame) -> DataFrame:
-        """Materialise a per-discharge table read by a few later jobs."""
-        return materialise(df, self.how)
+    def _keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+        """Materialise a table that later jobs read."""
+        return materialise(df, self.how, name)
 
     # -- terminology ---------------------------------------------------------
     @cached_property
     def names(self) -> DataFrame:
         """D1 ``descrshort``."""
-        return self._keep(terminology.current_names(self.inputs.descr))
+        return self._keep(terminology.current_names(self.inputs.descr), "names")
 
     @cached_property
     def concepts(self) -> DataFrame:
@@ -80,7 +76,7 @@ class ProblemListMetrics:
     @cached_property
     def log(self) -> DataFrame:
         """Edit log with back-filled noted dates (published as ``problem_log``)."""
-        return self._keep(snapshot.backfill_noted(self.inputs.pldata))
+        return self._keep(snapshot.backfill_noted(self.inputs.pldata), "log")
 
     @cached_property
     def snapshot(self) -> DataFrame:
@@ -90,13 +86,13 @@ class ProblemListMetrics:
     @cached_property
     def snapshot_pairs(self) -> DataFrame:
         """D5 pairs without names (``dcprobstemp1`` before the name join)."""
-        return self._keep(snapshot.snapshot_pairs(self.log, self.inputs.disch, self.concepts, self.hot_rows))
+        return self._keep(snapshot.snapshot_pairs(self.log, self.inputs.disch, self.concepts, self.hot_rows), "snapshot_pairs")
 
     @cached_property
     def latest(self) -> DataFrame:
         """D6 ``pldata2`` before the flag columns."""
         rows = snapshot.latest_update(self.snapshot_pairs)
-        return self._keep(snapshot.attach_terms(rows, self.names, snapshot.SNAPSHOT_COLUMNS))
+        return self._keep(snapshot.attach_terms(rows, self.names, snapshot.SNAPSHOT_COLUMNS), "latest")
 
     @cached_property
     def closure(self) -> DataFrame:
@@ -106,7 +102,7 @@ class ProblemListMetrics:
     @cached_property
     def subsumption(self) -> DataFrame:
         """D8 ``subsumed`` pairs."""
-        return self._keep_small(snapshot.subsumption_pairs(self.latest, self.closure))
+        return self._keep(snapshot.subsumption_pairs(self.latest, self.closure), "subsumption")
 
     @cached_property
     def problems(self) -> DataFrame:
@@ -115,48 +111,48 @@ class ProblemListMetrics:
         p = snapshot.with_subsumed_flag(p, self.subsumption)
         p = terminology.with_specificity(p, self.closure)
         p = terminology.with_semantic_tags(p, self.names)
-        return self._keep(p)
+        return self._keep(p, "problems")
 
     @cached_property
     def summary(self) -> DataFrame:
         """D11 ``plsumm``."""
-        return self._keep_small(snapshot.discharge_summary(self.problems, self.integer_ratio))
+        return self._keep(snapshot.discharge_summary(self.problems, self.integer_ratio), "summary")
 
     @cached_property
     def disch2(self) -> DataFrame:
         """D12 discharges with readmission and problem-list summary."""
-        return self._keep_small(snapshot.discharge_enrichment(self.inputs.disch, self.summary, self.study_end))
+        return self._keep(snapshot.discharge_enrichment(self.inputs.disch, self.summary, self.study_end), "disch2")
 
     # -- stays ---------------------------------------------------------------
     @cached_property
     def updated_during(self) -> DataFrame:
         """D13."""
-        return self._keep(stays.updated_during(self.log, self.inputs.disch, self.names, self.hot_rows))
+        return self._keep(stays.updated_during(self.log, self.inputs.disch, self.names, self.hot_rows), "updated_during")
 
     @cached_property
     def present_during(self) -> DataFrame:
         """D14."""
-        return self._keep(stays.present_during(self.log, self.inputs.disch, self.names, self.hot_rows))
+        return self._keep(stays.present_during(self.log, self.inputs.disch, self.names, self.hot_rows), "present_during")
 
     @cached_property
     def pr_present(self) -> DataFrame:
         """D15."""
-        return self._keep_small(stays.active_counts(self.present_during))
+        return self._keep(stays.active_counts(self.present_during), "pr_present")
 
     @cached_property
     def pr_updated(self) -> DataFrame:
         """D16."""
-        return self._keep_small(stays.update_activity(self.updated_during))
+        return self._keep(stays.update_activity(self.updated_during), "pr_updated")
 
     @cached_property
     def pusumm(self) -> DataFrame:
         """D17."""
-        return self._keep_small(stays.activity_ratios(self.pr_present, self.pr_updated, self.integer_ratio))
+        return self._keep(stays.activity_ratios(self.pr_present, self.pr_updated, self.integer_ratio), "pusumm")
 
     @cached_property
     def disch3(self) -> DataFrame:
         """D18."""
-        return self._keep_small(stays.discharge_activity(self.disch2, self.pusumm))
+        return self._keep(stays.discharge_activity(self.disch2, self.pusumm), "disch3")
 
     @cached_property
     def outside(self) -> DataFrame:
@@ -172,27 +168,27 @@ class ProblemListMetrics:
     @cached_property
     def match_dx(self) -> DataFrame:
         """D20 ``pbmatchdx``."""
-        return self._keep_small(billing.match_dx(self.present_during, self.inputs.billdata))
+        return self._keep(billing.match_dx(self.present_during, self.inputs.billdata), "match_dx")
 
     @cached_property
     def match_concept(self) -> DataFrame:
         """D21 ``pbmatchpr``."""
-        return self._keep_small(billing.match_concept(self.present_during, self.inputs.billdata))
+        return self._keep(billing.match_concept(self.present_during, self.inputs.billdata), "match_concept")
 
     @cached_property
     def stats_dx(self) -> DataFrame:
         """D22 ``pbmatchsummdx``."""
-        return self._keep_small(billing.match_stats_dx(self.match_dx))
+        return self._keep(billing.match_stats_dx(self.match_dx), "stats_dx")
 
     @cached_property
     def stats_concept(self) -> DataFrame:
         """D22 ``pbmatchsummpr``."""
-        return self._keep_small(billing.match_stats_concept(self.match_concept))
+        return self._keep(billing.match_stats_concept(self.match_concept), "stats_concept")
 
     @cached_property
     def disch4(self) -> DataFrame:
         """The published discharge table."""
-        return self._keep_small(billing.final_discharge(self.disch3, self.stats_dx, self.stats_concept))
+        return self._keep(billing.final_discharge(self.disch3, self.stats_dx, self.stats_concept), "disch4")
 
     def reconciliation(self) -> DataFrame:
         """D24."""

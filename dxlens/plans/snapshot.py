@@ -206,13 +206,13 @@ def review_top(problems: DataFrame, names: DataFrame, k: int = 1000) -> DataFram
 # ---------------------------------------------------------------------- D11
 
 def _summary_aggs(integer_ratio: bool, per_discharge: bool) -> list:
+    """All measures except ``probcount`` (computed apart, see :func:`_with_probcount`)."""
     n = F.count("conceptid")
 
     def pct_flag(c):
         return F.avg(c) * 100
 
     aggs = [
-        F.countDistinct("probid").cast("int").alias("probcount"),
         n.cast("int").alias("snomedcount"),
         F.count("resoldate").cast("int").alias("countresol"),
         percent(F.count("resoldate"), n, integer_ratio).alias("percentresol"),
@@ -249,18 +249,40 @@ SUMMARY_COLUMNS = [
 ]
 
 
+def _with_probcount(problems: DataFrame, measures: DataFrame, keys: list[str]) -> DataFrame:
+    # The exact distinct count runs as its own two-phase aggregate (dedupe on
+    # (keys, probid), then count per key); folded into the measures it would
+    # carry every other aggregate, the median's buffer included, per
+    # (keys, probid) group.
+    distinct = (problems.select(*keys, "probid").where(F.col("probid").isNotNull()).distinct()
+                .groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("probcount")))
+    if not keys:
+        joined = measures.withColumn("_one", F.lit(1)).join(distinct.withColumn("_one", F.lit(1)), "_one")
+    else:
+        cond = None
+        for k in keys:
+            c = measures[k].eqNullSafe(distinct[k])
+            cond = c if cond is None else cond & c
+        joined = measures.join(distinct, cond, "left")
+    cols = [c for c in SUMMARY_COLUMNS if c in measures.columns or c == "probcount"]
+    return joined.select(*[measures[k] for k in keys],
+                         *[F.coalesce(F.col("probcount"), F.lit(0)).alias("probcount") if c == "probcount"
+                           else measures[c] for c in cols])
+
+
 def discharge_summary(problems: DataFrame, integer_ratio: bool = False) -> DataFrame:
     """Problem-list quality measures per discharge (``plsumm``).
 
     ``integer_ratio=True`` truncates the three count ratios (resolved, deleted,
     prioritised) to whole multiples of 100 as integer division did originally.
     """
-    return problems.groupBy("dischid").agg(*_summary_aggs(integer_ratio, True))
+    measures = problems.groupBy("dischid").agg(*_summary_aggs(integer_ratio, True))
+    return _with_probcount(problems, measures, ["dischid"])
 
 
 def overall_summary(problems: DataFrame, integer_ratio: bool = False) -> DataFrame:
     """The same measures over all discharges (one row)."""
-    return problems.agg(*_summary_aggs(integer_ratio, False))
+    return _with_probcount(problems, problems.agg(*_summary_aggs(integer_ratio, False)), [])
 
 
 def no_priority_count(disch2: DataFrame) -> DataFrame:

@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from dxlens.session import ensure_checkpoint_dir
 
 
-def materialise(df: DataFrame, how: str = "checkpoint") -> DataFrame:
-    """Compute ``df`` once for reuse.
+def materialise(df: DataFrame, how: str = "table", name: str = "t") -> DataFrame:
+    """Compute ``df`` once for reuse and cut its lineage.
 
-    ``checkpoint`` writes to the shared ``spark.checkpoint.dir`` and cuts the
-    lineage, so a lost executor does not force a recomputation from the
-    sources; ``persist`` keeps it in executor memory/disk (recomputed from
-    lineage on loss); ``none`` returns the lazy plan unchanged.
+    ``table`` writes Parquet into the shared ``spark.checkpoint.dir`` and
+    reads it back: later jobs start from stored columns (column pruning and
+    exact sizes for the planner) and a lost executor never forces a
+    recomputation from the sources.  ``checkpoint`` is the same through
+    ``DataFrame.checkpoint`` (row files, no column pruning); ``persist``
+    keeps it on the executors (recomputed from lineage on loss); ``none``
+    returns the lazy plan unchanged.
     """
     if how == "none":
         return df
     if how == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
     if how == "checkpoint":
-        ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
+    if how == "table":
+        path = f"{root.rstrip('/')}/dxlens-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
     raise ValueError(f"unknown materialisation {how!r}")
 
 
