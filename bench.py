@@ -41,9 +41,9 @@ STEPS = [
     ("D17_ratios", lambda m: m.pusumm),
     ("D18_merge", lambda m: m.disch3),
     ("D19_billing_load", lambda m: m.billdata),
+    ("D21_match_concept", lambda m: m.match_concept),
     ("D20_match_dx", lambda m: m.match_dx),
     ("D20a_coverage_dx", lambda m: billing.coverage_dx(m.match_dx)),
-    ("D21_match_concept", lambda m: m.match_concept),
     ("D22_match_stats", lambda m: m.stats_dx.unionByName(m.stats_concept, allowMissingColumns=True)),
     ("D23_final_discharge", lambda m: m.disch4),
     ("D24_reconciliation", lambda m: m.reconciliation()),
@@ -56,7 +56,8 @@ STEPS = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = get_session(f"local[{cpus}]", app_name="dxlens-bench", shuffle_partitions=cpus * 2)
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus))
+    spark = get_session(f"local[{cpus}]", app_name="dxlens-bench", shuffle_partitions=partitions)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     start = time.time()
     m = ProblemListMetrics(Inputs.from_mapping(load_bridge(spark, sf_dir)), study_end=STUDY_END,

@@ -47,6 +47,16 @@ def match_dx(present: DataFrame, billdata: DataFrame) -> DataFrame:
     return _match(present, billdata, []).select(*MATCH_DX_COLUMNS).distinct()
 
 
+def match_dx_from_concept(match_pr: DataFrame) -> DataFrame:
+    """D20 from an existing D21 table: its distinct projection on the D20 columns.
+
+    Every D20 row is the projection of some D21 row (each diagnosis of a
+    present problem carries at least one concept), and D20's columns are a
+    subset of D21's, so no second full join is needed.
+    """
+    return match_pr.select(*MATCH_DX_COLUMNS).distinct()
+
+
 def match_concept(present: DataFrame, billdata: DataFrame) -> DataFrame:
     """The same at concept level, with ``conceptid`` and ``dcprobid`` (``pbmatchpr``)."""
     m = _match(present, billdata, ["conceptid", "noteddate"])

@@ -168,7 +168,7 @@ class ProblemListMetrics:
     @cached_property
     def match_dx(self) -> DataFrame:
         """D20 ``pbmatchdx``."""
-        return self._keep(billing.match_dx(self.present_during, self.inputs.billdata), "match_dx")
+        return self._keep(billing.match_dx_from_concept(self.match_concept), "match_dx")
 
     @cached_property
     def match_concept(self) -> DataFrame:

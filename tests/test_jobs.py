@@ -229,3 +229,13 @@ def test_final_discharge_fans_out_on_shared_stay_id(spark):
     pr = spark.createDataFrame([(1, 7, 1.0, 1.0, 0.0)], "ptid long, dischid long, plconceptids double, "
                                                         "conceptidmatch double, unmatchedconceptid double")
     assert billing.final_discharge(disch3, dx, pr).count() == 2
+
+
+def test_match_dx_is_projection_of_concept_match(spark):
+    from dxlens.plans.catalog import metrics
+    from .conftest import SMALL
+
+    m = metrics(spark, SMALL, materialise="none")
+    direct = billing.match_dx(m.present_during, m.inputs.billdata)
+    derived = billing.match_dx_from_concept(billing.match_concept(m.present_during, m.inputs.billdata))
+    assert direct.exceptAll(derived).count() == 0 and derived.exceptAll(direct).count() == 0
