@@ -70,6 +70,7 @@ def main() -> None:
     total = round(time.time() - start, 3)
     print(json.dumps({"metric": "pipeline_total", "value": total, "unit": "sec", "queries": times,
                       "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
+    m.release()
     spark.stop()
 
 

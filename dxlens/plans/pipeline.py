@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from dxlens.operators.closure import DEFAULT_MAX_DEPTH
 from dxlens.operators.intervals import DEFAULT_HOT_ROWS
 from dxlens.plans import billing, report, snapshot, stays, terminology
-from dxlens.sources.sinks import materialise, publish
+from dxlens.sources.sinks import delete_path, materialise, publish, write_table
 
 DEFAULT_STUDY_END = "2015-06-06"
 
@@ -53,6 +53,7 @@ class ProblemListMetrics:
         self.how = materialise
         self.hot_rows = hot_rows
         self.max_depth = max_depth
+        self._tables: list[str] = []
 
     @property
     def spark(self) -> SparkSession:
@@ -60,7 +61,20 @@ class ProblemListMetrics:
 
     def _keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Materialise a table that later jobs read."""
-        return materialise(df, self.how, name)
+        if self.how != "table":
+            return materialise(df, self.how, name)
+        out, path = write_table(df, name)
+        self._tables.append(path)
+        return out
+
+    def release(self) -> None:
+        """Delete the tables this pipeline materialised (call when done with its results)."""
+        for path in self._tables:
+            delete_path(self.spark, path)
+        self._tables.clear()
+        for name in list(self.__dict__):
+            if name not in ("inputs", "study_end", "integer_ratio", "how", "hot_rows", "max_depth", "_tables"):
+                del self.__dict__[name]
 
     # -- terminology ---------------------------------------------------------
     @cached_property

@@ -64,9 +64,10 @@ def missing_audit(log: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- D3 / D4
 
-def problems_per_patient(log: DataFrame) -> DataFrame:
-    """D3: number of edits (non-NULL probid) per patient."""
-    return log.groupBy("ptid").agg(F.count("probid").alias("problems"))
+def problems_per_patient(log: DataFrame, ordered: bool = False) -> DataFrame:
+    """D3: number of edits (non-NULL probid) per patient; ``ordered``: most first."""
+    out = log.groupBy("ptid").agg(F.count("probid").alias("problems"))
+    return out.orderBy(F.col("problems").desc_nulls_first(), "ptid") if ordered else out
 
 
 def busiest_patient(log: DataFrame) -> DataFrame:

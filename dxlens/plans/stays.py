@@ -136,9 +136,13 @@ def _activity_aggs():
     ]
 
 
-def update_activity(updated: DataFrame) -> DataFrame:
-    """Updated problems, updates and their kinds per stay (``pr_updated``)."""
-    return updated.groupBy("dischid").agg(*_activity_aggs())
+def update_activity(updated: DataFrame, ordered: bool = False) -> DataFrame:
+    """Updated problems, updates and their kinds per stay (``pr_updated``).
+
+    ``ordered`` lists the busiest stays first, as the original report did.
+    """
+    out = updated.groupBy("dischid").agg(*_activity_aggs())
+    return out.orderBy(F.col("tot_updates").desc_nulls_first(), "dischid") if ordered else out
 
 
 def update_totals(updated: DataFrame) -> DataFrame:

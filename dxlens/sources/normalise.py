@@ -22,6 +22,16 @@ MAX_TERM = 255
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
+def copy_text_unescape(col: str | Column) -> Column:
+    """Decode the backslash escapes of the bulk-load text format (``\\``, ``\t``, ``\n``, ``\r``)."""
+    c = F.col(col) if isinstance(col, str) else col
+    hold = "\u0000"
+    out = F.replace(c, F.lit("\\\\"), F.lit(hold))
+    for esc, ch in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
+        out = F.replace(out, F.lit(esc), F.lit(ch))
+    return F.replace(out, F.lit(hold), F.lit("\\"))
+
+
 def restore_quotes(df: DataFrame, col: str = "term", mask: str = QUOTE_MASK) -> DataFrame:
     """Put back the ``"`` characters an export replaced by ``mask``."""
     return df.withColumn(col, F.replace(F.col(col), F.lit(mask), F.lit('"')))

@@ -31,9 +31,14 @@ def _read(spark: SparkSession, path, schema, null_value: str, header: bool, mode
 
 
 def read_descr(spark: SparkSession, path, header: bool = True, mode: str = "FAILFAST",
-               quote_mask: str | None = None) -> DataFrame:
-    """Concept names.  ``quote_mask`` restores ``"`` in exports that masked it."""
+               quote_mask: str | None = None, unescape: bool = True) -> DataFrame:
+    """Concept names.  ``quote_mask`` restores ``"`` in exports that masked it;
+    ``unescape`` decodes backslash escapes in ``term``."""
     df = _read(spark, path, schemas.DESCR, "\\N", header, mode)
+    if unescape:
+        from dxlens.sources.normalise import copy_text_unescape
+
+        df = df.withColumn("term", copy_text_unescape("term"))
     if quote_mask:
         from dxlens.sources.normalise import restore_quotes
 

@@ -239,3 +239,18 @@ def test_match_dx_is_projection_of_concept_match(spark):
     direct = billing.match_dx(m.present_during, m.inputs.billdata)
     derived = billing.match_dx_from_concept(billing.match_concept(m.present_during, m.inputs.billdata))
     assert direct.exceptAll(derived).count() == 0 and derived.exceptAll(direct).count() == 0
+
+
+def test_pipeline_release_deletes_its_tables(spark):
+    import os
+
+    from dxlens.plans.catalog import metrics
+    from .conftest import SMALL
+
+    m = metrics(spark, SMALL, materialise="table")
+    assert m.names.count() == 207
+    paths = list(m._tables)
+    assert paths and all(os.path.exists(p.replace("file:", "")) for p in paths)
+    m.release()
+    assert not any(os.path.exists(p.replace("file:", "")) for p in paths)
+    assert m.names.count() == 207                  # rebuilt on demand

@@ -35,6 +35,11 @@ def test_terminology_reader_keeps_quotes_and_long_ids(spark):
     assert df.schema == schemas.DESCR or [f.name for f in df.schema] == [f.name for f in schemas.DESCR]
 
 
+def test_copy_text_unescape(spark):
+    df = spark.createDataFrame([("a\\tb\\\\c\\nd",)], "t string")
+    assert df.select(normalise.copy_text_unescape("t").alias("u")).first().u == "a\tb\\c\nd"
+
+
 def test_extract_reader_empty_is_null_and_failfast(spark):
     cols = [f.name for f in schemas.BILLDATA.fields]
     good = ["1", "2", "3", "", "V1", "desc", "", "", "1.5", "0"]
@@ -88,3 +93,4 @@ def test_publish_and_materialise(spark):
     assert spark.read.parquet(paths["t"]).count() == 5
     assert materialise(df, "checkpoint").count() == 5
     assert materialise(df, "none") is df
+    assert materialise(df, "table").count() == 5
