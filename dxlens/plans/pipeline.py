@@ -9,6 +9,9 @@ them on the executors, ``none`` keeps plain lazy plans).
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -211,6 +214,43 @@ class ProblemListMetrics:
             "pr_updated": self.pr_updated, "pr_present": self.pr_present, "pusumm": self.pusumm,
             "disch3": self.disch3, "billdata": self.inputs.billdata, "disch4": self.disch4})
 
+    # -- running ---------------------------------------------------------------
+    # Stages run one after another; the branches of a stage share no table, so
+    # they can be computed by concurrent Spark jobs from separate threads.
+    RUN_PLAN = [
+        [["names", "log"]],
+        [["snapshot_pairs", "latest", "closure", "subsumption", "problems", "summary", "disch2"],
+         ["updated_during", "pr_updated", "outside"],
+         ["present_during", "pr_present", "match_concept", "match_dx", "stats_dx", "stats_concept"]],
+        [["pusumm", "disch3", "disch4"]],
+    ]
+
+    def compute(self, name: str) -> DataFrame:
+        """Build one table and make sure it is computed."""
+        df = getattr(self, name)
+        if self.how == "none" or name in ("closure", "outside"):
+            df.write.format("noop").mode("overwrite").save()
+        return df
+
+    def run(self, parallel: int = 3, on_step: Callable[[str, float], None] | None = None) -> dict[str, DataFrame]:
+        """Compute every table of :attr:`RUN_PLAN`; return the published outputs.
+
+        ``parallel`` bounds the concurrent branches; ``on_step(name, seconds)``
+        receives each table's build time.
+        """
+        def branch(names):
+            for name in names:
+                t0 = time.time()
+                self.compute(name)
+                if on_step:
+                    on_step(name, time.time() - t0)
+
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+            for stage in self.RUN_PLAN:
+                for future in [pool.submit(branch, names) for names in stage]:
+                    future.result()
+        return self.outputs()
+
     # -- outputs -------------------------------------------------------------
     def outputs(self) -> dict[str, DataFrame]:
         """The published tables."""

@@ -254,3 +254,15 @@ def test_pipeline_release_deletes_its_tables(spark):
     m.release()
     assert not any(os.path.exists(p.replace("file:", "")) for p in paths)
     assert m.names.count() == 207                  # rebuilt on demand
+
+
+def test_pipeline_run_parallel_branches(spark):
+    from dxlens.plans.catalog import metrics
+    from .conftest import SMALL
+
+    m = metrics(spark, SMALL, materialise="table")
+    steps = []
+    out = m.run(parallel=3, on_step=lambda name, sec: steps.append(name))
+    assert out["discharge_metrics"].count() == 1500
+    assert set(steps) == {n for stage in m.RUN_PLAN for branch in stage for n in branch}
+    m.release()
