@@ -41,7 +41,7 @@ def _one_patient(m: ProblemListMetrics) -> DataFrame:
     patient = snapshot.busiest_patient(m.log)
     log = m.log.join(patient, "ptid", "left_semi")
     disch = m.inputs.disch.join(patient, "ptid", "left_semi")
-    return snapshot.snapshot(log, disch, m.names)
+    return snapshot.snapshot(log, disch, m.terms)
 
 
 _JOBS: dict[str, Callable[[ProblemListMetrics], DataFrame]] = {
@@ -49,7 +49,7 @@ _JOBS: dict[str, Callable[[ProblemListMetrics], DataFrame]] = {
     "backfill_noted": lambda m: m.log,
     "missing_audit": lambda m: snapshot.missing_audit(m.log),
     "problems_per_patient": lambda m: snapshot.problems_per_patient(m.log),
-    "patient_timeline": lambda m: snapshot.patient_timeline(m.log, m.names, snapshot.busiest_patient(m.log)),
+    "patient_timeline": lambda m: snapshot.patient_timeline(m.log, m.terms, snapshot.busiest_patient(m.log)),
     "patient_mrns": lambda m: snapshot.patient_mrns(m.log, snapshot.busiest_patient(m.log)),
     "snapshot_pairs": lambda m: m.snapshot,
     "snapshot_one_patient": _one_patient,
@@ -59,8 +59,8 @@ _JOBS: dict[str, Callable[[ProblemListMetrics], DataFrame]] = {
     "closure": lambda m: m.closure,
     "subsumed_pairs": lambda m: m.subsumption,
     "subsumed_flag": lambda m: m.problems.select(*FLAG_KEYS, "subsumed"),
-    "subsumed_review": lambda m: snapshot.subsumed_review(m.subsumption, m.names),
-    "review_topk": lambda m: snapshot.review_top(m.problems, m.names, 1000),
+    "subsumed_review": lambda m: snapshot.subsumed_review(m.subsumption, m.terms),
+    "review_topk": lambda m: snapshot.review_top(m.problems, m.terms, 1000),
     "specificity": lambda m: m.problems.select(*FLAG_KEYS, "descendants", "descendantslog"),
     "semantic_tag": lambda m: m.problems.select(*FLAG_KEYS, "finding", "snomedtype"),
     "discharge_summary": lambda m: m.summary,

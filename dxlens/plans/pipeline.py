@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dxlens.operators.closure import DEFAULT_MAX_DEPTH
 from dxlens.operators.intervals import DEFAULT_HOT_ROWS
@@ -85,9 +86,20 @@ class ProblemListMetrics:
         """D1 ``descrshort``."""
         return self._keep(terminology.current_names(self.inputs.descr), "names")
 
+    @cached_property
+    def terms(self) -> DataFrame:
+        """Current names of the concepts that occur in the edit log.
+
+        Every later name join only meets these concepts; the table is at most
+        one row per concept in use (plus tied names), small enough for the
+        planner to broadcast from its exact stored size.
+        """
+        used = self.log.select(F.col("snomed").alias("conceptid")).where(F.col("conceptid").isNotNull())
+        return self._keep(self.names.join(used.distinct(), "conceptid", "left_semi"), "terms")
+
     @cached_property
     def concepts(self) -> DataFrame:
-        return self.names.select("conceptid").distinct()
+        return self.terms.select("conceptid").distinct()
 
     # -- problem log ---------------------------------------------------------
     @cached_property
@@ -98,7 +110,7 @@ class ProblemListMetrics:
     @cached_property
     def snapshot(self) -> DataFrame:
         """D5 ``dcprobstemp1`` with names."""
-        return snapshot.attach_terms(self.snapshot_pairs, self.names, snapshot.SNAPSHOT_COLUMNS)
+        return snapshot.attach_terms(self.snapshot_pairs, self.terms, snapshot.SNAPSHOT_COLUMNS)
 
     @cached_property
     def snapshot_pairs(self) -> DataFrame:
@@ -109,7 +121,7 @@ class ProblemListMetrics:
     def latest(self) -> DataFrame:
         """D6 ``pldata2`` before the flag columns."""
         rows = snapshot.latest_update(self.snapshot_pairs)
-        return self._keep(snapshot.attach_terms(rows, self.names, snapshot.SNAPSHOT_COLUMNS), "latest")
+        return self._keep(snapshot.attach_terms(rows, self.terms, snapshot.SNAPSHOT_COLUMNS), "latest")
 
     @cached_property
     def closure(self) -> DataFrame:
@@ -127,7 +139,7 @@ class ProblemListMetrics:
         p = snapshot.with_duplicate_flag(self.latest)
         p = snapshot.with_subsumed_flag(p, self.subsumption)
         p = terminology.with_specificity(p, self.closure)
-        p = terminology.with_semantic_tags(p, self.names)
+        p = terminology.with_semantic_tags(p, self.terms)
         return self._keep(p, "problems")
 
     @cached_property
@@ -144,12 +156,12 @@ class ProblemListMetrics:
     @cached_property
     def updated_during(self) -> DataFrame:
         """D13."""
-        return self._keep(stays.updated_during(self.log, self.inputs.disch, self.names, self.hot_rows), "updated_during")
+        return self._keep(stays.updated_during(self.log, self.inputs.disch, self.terms, self.hot_rows), "updated_during")
 
     @cached_property
     def present_during(self) -> DataFrame:
         """D14."""
-        return self._keep(stays.present_during(self.log, self.inputs.disch, self.names, self.hot_rows), "present_during")
+        return self._keep(stays.present_during(self.log, self.inputs.disch, self.terms, self.hot_rows), "present_during")
 
     @cached_property
     def pr_present(self) -> DataFrame:
@@ -218,7 +230,7 @@ class ProblemListMetrics:
     # Stages run one after another; the branches of a stage share no table, so
     # they can be computed by concurrent Spark jobs from separate threads.
     RUN_PLAN = [
-        [["names", "log"]],
+        [["names", "log", "terms"]],
         [["snapshot_pairs", "latest", "closure", "subsumption", "problems", "summary", "disch2"],
          ["updated_during", "pr_updated", "outside"],
          ["present_during", "pr_present", "match_concept", "match_dx", "stats_dx", "stats_concept"]],
