@@ -36,15 +36,17 @@ def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int, max_buckets: in
 def hot_key_join(big: DataFrame, small: DataFrame, keys: Sequence[str], residual: Column | None = None,
                  *, row_id: Sequence[str], hot_rows: int = DEFAULT_HOT_ROWS,
                  max_buckets: int = DEFAULT_MAX_BUCKETS, big_alias: str = "b",
-                 small_alias: str = "s") -> DataFrame:
+                 small_alias: str = "s", hot: DataFrame | None = None) -> DataFrame:
     """Inner join ``big`` and ``small`` on ``keys`` and ``residual``.
 
     ``residual`` may refer to both sides through ``big_alias`` and
     ``small_alias``.  The result carries both sides' columns under those
-    aliases (the key columns once, from ``big``).  ``row_id`` names columns of
-    ``big`` whose hash spreads a hot key's rows over its buckets.
+    aliases.  ``row_id`` names columns of ``big`` whose hash spreads a hot
+    key's rows over its buckets.  ``hot`` is a precomputed :func:`hot_keys`
+    table (e.g. shared by several joins of the same large side); by default it
+    is computed from ``big``.
     """
-    hot = F.broadcast(hot_keys(big, keys, hot_rows, max_buckets))
+    hot = F.broadcast(hot if hot is not None else hot_keys(big, keys, hot_rows, max_buckets))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in row_id]), F.col("_buckets"))
     big_s = (big.join(hot, list(keys), "left")
              .withColumn("_salt", F.when(F.col("_buckets").isNull(), F.lit(0)).otherwise(salt).cast("int"))

@@ -41,7 +41,7 @@ def _one_patient(m: ProblemListMetrics) -> DataFrame:
     patient = snapshot.busiest_patient(m.log)
     log = m.log.join(patient, "ptid", "left_semi")
     disch = m.inputs.disch.join(patient, "ptid", "left_semi")
-    return snapshot.snapshot(log, disch, m.terms)
+    return snapshot.snapshot(log, disch, m.terms, hot=m.hot_patients)
 
 
 _JOBS: dict[str, Callable[[ProblemListMetrics], DataFrame]] = {

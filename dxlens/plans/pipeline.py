@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dxlens.operators.closure import DEFAULT_MAX_DEPTH
-from dxlens.operators.intervals import DEFAULT_HOT_ROWS
+from dxlens.operators.intervals import DEFAULT_HOT_ROWS, DEFAULT_MAX_BUCKETS, hot_keys
 from dxlens.plans import billing, report, snapshot, stays, terminology
 from dxlens.sources.sinks import delete_path, materialise, publish, write_table
 
@@ -97,6 +97,16 @@ class ProblemListMetrics:
         used = self.log.select(F.col("snomed").alias("conceptid")).where(F.col("conceptid").isNotNull())
         return self._keep(self.names.join(used.distinct(), "conceptid", "left_semi"), "terms")
 
+    @cached_property
+    def hot_patients(self) -> DataFrame:
+        """Patients with more than ``hot_rows`` edits and their bucket counts.
+
+        Shared by the three range joins (D5, D13, D14); an upper bound for the
+        distinct edit projection D14 joins.  At most ``rows / hot_rows`` rows.
+        """
+        return self._keep(hot_keys(self.log.where(F.col("ptid").isNotNull()), ["ptid"], self.hot_rows,
+                                   DEFAULT_MAX_BUCKETS), "hot_patients")
+
     @cached_property
     def concepts(self) -> DataFrame:
         return self.terms.select("conceptid").distinct()
@@ -115,7 +125,8 @@ class ProblemListMetrics:
     @cached_property
     def snapshot_pairs(self) -> DataFrame:
         """D5 pairs without names (``dcprobstemp1`` before the name join)."""
-        return self._keep(snapshot.snapshot_pairs(self.log, self.inputs.disch, self.concepts, self.hot_rows), "snapshot_pairs")
+        return self._keep(snapshot.snapshot_pairs(self.log, self.inputs.disch, self.concepts, self.hot_rows,
+                                                         self.hot_patients), "snapshot_pairs")
 
     @cached_property
     def latest(self) -> DataFrame:
@@ -156,12 +167,14 @@ class ProblemListMetrics:
     @cached_property
     def updated_during(self) -> DataFrame:
         """D13."""
-        return self._keep(stays.updated_during(self.log, self.inputs.disch, self.terms, self.hot_rows), "updated_during")
+        return self._keep(stays.updated_during(self.log, self.inputs.disch, self.terms, self.hot_rows,
+                                               self.hot_patients), "updated_during")
 
     @cached_property
     def present_during(self) -> DataFrame:
         """D14."""
-        return self._keep(stays.present_during(self.log, self.inputs.disch, self.terms, self.hot_rows), "present_during")
+        return self._keep(stays.present_during(self.log, self.inputs.disch, self.terms, self.hot_rows,
+                                               self.hot_patients), "present_during")
 
     @cached_property
     def pr_present(self) -> DataFrame:
@@ -230,7 +243,7 @@ class ProblemListMetrics:
     # Stages run one after another; the branches of a stage share no table, so
     # they can be computed by concurrent Spark jobs from separate threads.
     RUN_PLAN = [
-        [["names", "log", "terms"]],
+        [["names", "log", "terms", "hot_patients"]],
         [["snapshot_pairs", "latest", "closure", "subsumption", "problems", "summary", "disch2"],
          ["updated_during", "pr_updated", "outside"],
          ["present_during", "pr_present", "match_concept", "match_dx", "stats_dx", "stats_concept"]],

@@ -93,7 +93,7 @@ def patient_mrns(log: DataFrame, patient: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------- D5
 
 def snapshot_pairs(log: DataFrame, disch: DataFrame, concepts: DataFrame,
-                   hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+                   hot_rows: int = DEFAULT_HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
     """D5 without names: every edit active at each discharge of its patient.
 
     At day level: noted <= discharge, entered <= discharge, and resolved or
@@ -111,7 +111,7 @@ def snapshot_pairs(log: DataFrame, disch: DataFrame, concepts: DataFrame,
     residual = ((day(F.col("b.noteddate")) <= dd) & (day(F.col("b.entrydate")) <= dd)
                 & ((day(F.col("b.resoldate")) > dd) | (day(F.col("b.deldate")) > dd)
                    | (F.col("b.resoldate").isNull() & F.col("b.deldate").isNull())))
-    pairs = hot_key_join(p, d, ["ptid"], residual, row_id=["probid"], hot_rows=hot_rows)
+    pairs = hot_key_join(p, d, ["ptid"], residual, row_id=["probid"], hot_rows=hot_rows, hot=hot)
     cols = [F.col("b.snomed" if c == "conceptid" else f"{'s' if c in _FROM_DISCHARGE else 'b'}.{c}").alias(c)
             for c in SNAPSHOT_COLUMNS if c not in ("term", "datediff", "dcprobid")]
     cols.append(days_between(F.col("b.entrydate"), midnight(F.col("s.dischdate"))).alias("datediff"))
@@ -126,10 +126,11 @@ def attach_terms(df: DataFrame, names: DataFrame, columns: list[str] | None = No
     return out.select(*(columns or [*df.columns, "term"]))
 
 
-def snapshot(log: DataFrame, disch: DataFrame, names: DataFrame, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+def snapshot(log: DataFrame, disch: DataFrame, names: DataFrame, hot_rows: int = DEFAULT_HOT_ROWS,
+             hot: DataFrame | None = None) -> DataFrame:
     """Problem list at each discharge, with names."""
     concepts = names.select("conceptid").distinct()
-    return attach_terms(snapshot_pairs(log, disch, concepts, hot_rows), names, SNAPSHOT_COLUMNS)
+    return attach_terms(snapshot_pairs(log, disch, concepts, hot_rows, hot), names, SNAPSHOT_COLUMNS)
 
 
 # ----------------------------------------------------------------------- D6

@@ -31,3 +31,20 @@ def test_snapshot_scan_prunes_columns_and_pushes_filters(spark):
     assert "ReadSchema" in plan
     text = m.names._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<p_partkey:bigint,p_name:string,p_type:string>" in text
+
+
+def test_pipeline_with_a_patient_holding_a_third_of_all_edits(spark):
+    """One patient owns a third of the edits: salted range joins give the same rows."""
+    from dxlens.plans.catalog import metrics
+    from dxlens.plans.pipeline import ProblemListMetrics
+    from .conftest import SMALL
+
+    base = metrics(spark, SMALL, materialise="none").inputs
+    skewed_log = base.pldata.withColumn("ptid", F.when(F.col("probid") % 3 == 0, F.lit(7)).otherwise(F.col("ptid")))
+    inputs = type(base)(base.descr, base.relats, skewed_log, base.disch, base.billdata)
+    plain = ProblemListMetrics(inputs, study_end="2024-06-06", materialise="none")
+    salted = ProblemListMetrics(inputs, study_end="2024-06-06", materialise="none", hot_rows=40)
+    assert {r.ptid: r._buckets for r in salted.hot_patients.collect()}[7] > 4
+    for name in ("snapshot_pairs", "updated_during", "present_during"):
+        a, b = getattr(plain, name), getattr(salted, name)
+        assert a.count() == b.count() and a.exceptAll(b).count() == 0, name
