@@ -243,7 +243,8 @@ class ProblemListMetrics:
     # Stages run one after another; the branches of a stage share no table, so
     # they can be computed by concurrent Spark jobs from separate threads.
     RUN_PLAN = [
-        [["names", "log", "terms", "hot_patients"]],
+        [["names"], ["log", "hot_patients"]],
+        [["terms"]],
         [["snapshot_pairs", "latest", "closure", "subsumption", "problems", "summary", "disch2"],
          ["updated_during", "pr_updated", "outside"],
          ["present_during", "pr_present", "match_concept", "match_dx", "stats_dx", "stats_concept"]],
