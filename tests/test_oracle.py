@@ -1,4 +1,4 @@
-"""Every registered query against its reference-form DuckDB statement (sf0.001)."""
+"""Every registered query against its DuckDB oracle statement (sf0.001)."""
 
 import collections
 import math

@@ -1,4 +1,4 @@
-"""Window/aggregate rewrites against the original self-join forms on random tables.
+"""Aggregate/join rewrites against plain SQL forms on random tables.
 
 Each test builds many random groups at once (ties, NULL keys, NULL values),
 runs the Spark operator and the self-join SQL in DuckDB on the same rows and
@@ -57,11 +57,11 @@ def test_argmin_then_max_equals_nested_join_back(spark):
         df, con = _spark_and_duck(spark, _rows(seed))
         got = _bag((r.k, r.g, r.v, r.p, r.rid) for r in argmin_then_max(df, ["k", "g"], "v", "p").collect())
         want = _bag(con.execute("""
-            SELECT t3.k, t3.g, t3.v, t3.p, t3.rid FROM t t3 JOIN (
-              SELECT t1.k, t1.g, MAX(t1.p) AS mp FROM t t1 JOIN (
-                SELECT k, g, MIN(v) AS mv FROM t GROUP BY k, g) t2
-              ON t1.k = t2.k AND t1.g = t2.g AND t1.v = t2.mv GROUP BY t1.k, t1.g) t4
-            ON t4.k = t3.k AND t4.g = t3.g AND t3.p = t4.mp""").fetchall())
+            WITH lowest AS (SELECT k, g, min(v) AS v FROM t GROUP BY k, g),
+                 winner AS (SELECT x.k, x.g, max(x.p) AS p FROM t x
+                            JOIN lowest USING (k, g) WHERE x.v = lowest.v GROUP BY x.k, x.g)
+            SELECT x.k, x.g, x.v, x.p, x.rid FROM t x JOIN winner w ON w.k = x.k AND w.g = x.g AND w.p = x.p
+            """).fetchall())
         assert got == want, seed
 
 
@@ -88,10 +88,10 @@ def test_closure_equals_recursive_union(spark):
         con.register("r", pd.DataFrame(edges, columns=["sourceid", "destinationid"]))
         con.register("s", pd.DataFrame(seeds, columns=["conceptid"]))
         want = _bag(con.execute("""
-            WITH RECURSIVE d(sourceid, destinationid, depth) AS (
-              SELECT r.sourceid, r.destinationid, 1 FROM r, s WHERE r.destinationid = s.conceptid
+            WITH RECURSIVE walk(top, node, hops) AS (
+              SELECT s.conceptid, r.sourceid, 1 FROM s JOIN r ON r.destinationid = s.conceptid
               UNION
-              SELECT r.sourceid, d.destinationid, d.depth + 1 FROM r, d
-              WHERE r.destinationid = d.sourceid AND r.sourceid <> d.destinationid AND d.depth < 6)
-            SELECT destinationid, sourceid, MIN(depth) FROM d GROUP BY destinationid, sourceid""").fetchall())
+              SELECT w.top, r.sourceid, w.hops + 1 FROM walk w JOIN r ON r.destinationid = w.node
+              WHERE r.sourceid <> w.top AND w.hops < 6)
+            SELECT top, node, min(hops) FROM walk GROUP BY top, node""").fetchall())
         assert got == want, seed
