@@ -14,6 +14,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # target shuffle partition size once AQE coalesces (large clusters)
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     # remove RDD checkpoint files (closure levels) once nothing references them
