@@ -94,3 +94,30 @@ def test_publish_and_materialise(spark):
     assert materialise(df, "checkpoint").count() == 5
     assert materialise(df, "none") is df
     assert materialise(df, "table").count() == 5
+
+
+def test_relationship_reader_and_not_null_audit(spark):
+    from dxlens.sources import read_relats
+    from dxlens.sources.text import not_null_violations
+
+    path = _write([
+        "id\teffectiveTime\tactive\tmoduleId\tsourceId\tdestinationId\trelationshipGroup\ttypeId\t"
+        "characteristicTypeId\tmodifierId",
+        "1\t20020131\t1\t900000000000207008\t22298006\t64572001\t0\t116680003\t900000000000010007\t"
+        "900000000000451002",
+    ])
+    row = read_relats(spark, path).first()
+    assert (row.sourceid, row.destinationid, row.typeid) == (22298006, 64572001, 116680003)
+    df = spark.createDataFrame([(1, None), (2, "x")], "id long, term string")
+    schema = schemas._schema(("id", schemas.L, False), ("term", schemas.S, False))
+    assert not_null_violations(df, schema).count() == 1
+
+
+def test_prepare_discharge_and_billing_extracts(spark):
+    raw_d = spark.createDataFrame([(1, 7, "2 WEEKS", "2024-01-02 03:04:05")],
+                                  "dischid long, ptid long, pt_age string, dischdate string")
+    d = normalise.prepare_discharge_extract(raw_d).first()
+    assert d.pt_age == 0.5 and d.dischdate.day == 2 and d.readmit is None
+    raw_b = spark.createDataFrame([(1, "Deleted 2014"), (2, "0.25")], "billingid long, bhcc string")
+    got = {r.billingid: r.bhcc for r in normalise.prepare_billing_extract(raw_b).collect()}
+    assert got == {1: None, 2: decimal.Decimal("0.250")}
