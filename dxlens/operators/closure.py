@@ -11,7 +11,10 @@ A pair is first reached at its smallest depth, so visited pairs never need a
 second expansion; the result equals "min depth over all paths of length
 <= max_depth" without enumerating paths, which would explode on a
 poly-hierarchy.  The driver only loops over levels (at most ``max_depth``) and
-asks one count per level; all rows stay on the executors.  Each level is
+asks whether the new level is empty; all rows stay on the executors.  The
+edge table is distinct and checkpointed once; the planner broadcasts it when
+its stored size is under the broadcast threshold (a terminology-sized table),
+otherwise the level join shuffles on the node id.  Each level is
 checkpointed to the shared checkpoint folder, which cuts the lineage (an
 executor loss re-reads the last level instead of replaying every join) and
 keeps the plan size constant.
