@@ -2,13 +2,20 @@
 
 The snapshot and stay jobs join edits to discharges of the same patient and
 keep pairs that satisfy day-level range conditions.  The equi key (patient) is
-the only hashable part, so one patient with a large share of all edits would
-put all of its pairs into one task.  :func:`hot_key_join` counts rows per key
-on the large side (a map-side pre-aggregated count), salts the rows of keys
-above ``hot_rows`` into several buckets by a hash of a row id (deterministic,
-so a recomputed partition after an executor loss gets the same buckets) and
-replicates the small side's rows of those keys into every bucket.  Cold keys
-keep bucket 0 and are joined as usual.
+the only hashable part, so one patient with a large share of all rows would put
+all of its pairs into one task.
+
+:func:`hot_key_join` splits such keys on a grid.  Per key it counts the rows of
+both sides (map-side pre-aggregated counts); a key with more than ``hot_rows``
+rows on either side gets ``a`` buckets for the large side and ``b`` for the
+small side (each ``ceil(rows / hot_rows)``, capped).  A large-side row goes to
+bucket ``hash(row id) % a`` and is copied to every small bucket; a small-side
+row goes to ``hash(row id) % b`` and is copied to every large bucket; the join
+then runs on (key, large bucket, small bucket), so every pair meets in exactly
+one task of at most about ``hot_rows`` rows per side.  With one side cold this
+is plain salting (``b = 1``).  Buckets come from hashes, not random numbers, so
+a partition recomputed after an executor loss lands in the same buckets.  Cold
+keys keep bucket (0, 0) and join as usual.
 """
 
 from __future__ import annotations
@@ -19,42 +26,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_HOT_ROWS = 2_000_000
-DEFAULT_MAX_BUCKETS = 256
+DEFAULT_MAX_BUCKETS = 4096
 
 
-def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int, max_buckets: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and their bucket count.
+def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int, max_buckets: int,
+             small: DataFrame | None = None) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows on either side: ``_buckets`` (large
+    side) and ``_spread`` (small side) bucket counts.
 
-    At most ``rows(big) / hot_rows`` keys qualify, which bounds the size of
-    this table and makes it safe to broadcast.
+    At most ``rows(big) / hot_rows + rows(small) / hot_rows`` keys qualify,
+    which bounds the size of this table and makes it safe to broadcast.
     """
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    buckets = F.least(F.lit(max_buckets), F.ceil(F.col("_n") / F.lit(hot_rows)))
-    return counts.select(*keys, buckets.cast("int").alias("_buckets"))
+    def counted(df, name):
+        return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+                .where(F.col(name) > hot_rows))
+
+    hot = counted(big, "_nb")
+    if small is not None:
+        hot = hot.join(counted(small, "_ns"), list(keys), "full")
+    else:
+        hot = hot.withColumn("_ns", F.lit(None).cast("long"))
+
+    def buckets(n):
+        return F.least(F.lit(max_buckets), F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / hot_rows)))
+
+    return hot.select(*keys, buckets(F.col("_nb")).cast("int").alias("_buckets"),
+                      buckets(F.col("_ns")).cast("int").alias("_spread"))
 
 
 def hot_key_join(big: DataFrame, small: DataFrame, keys: Sequence[str], residual: Column | None = None,
-                 *, row_id: Sequence[str], hot_rows: int = DEFAULT_HOT_ROWS,
-                 max_buckets: int = DEFAULT_MAX_BUCKETS, big_alias: str = "b",
-                 small_alias: str = "s", hot: DataFrame | None = None) -> DataFrame:
+                 *, row_id: Sequence[str], small_row_id: Sequence[str] | None = None,
+                 hot_rows: int = DEFAULT_HOT_ROWS, max_buckets: int = DEFAULT_MAX_BUCKETS,
+                 big_alias: str = "b", small_alias: str = "s", hot: DataFrame | None = None) -> DataFrame:
     """Inner join ``big`` and ``small`` on ``keys`` and ``residual``.
 
     ``residual`` may refer to both sides through ``big_alias`` and
-    ``small_alias``.  The result carries both sides' columns under those
-    aliases.  ``row_id`` names columns of ``big`` whose hash spreads a hot
-    key's rows over its buckets.  ``hot`` is a precomputed :func:`hot_keys`
-    table (e.g. shared by several joins of the same large side); by default it
-    is computed from ``big``.
+    ``small_alias``; the result carries both sides' columns under those
+    aliases.  ``row_id`` / ``small_row_id`` name columns whose hash spreads a
+    hot key's rows over its buckets (without ``small_row_id`` the small side
+    is only replicated, never split).  ``hot`` is a precomputed
+    :func:`hot_keys` table (e.g. shared by several joins of the same inputs);
+    by default it is computed from both sides.
     """
-    hot = F.broadcast(hot if hot is not None else hot_keys(big, keys, hot_rows, max_buckets))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in row_id]), F.col("_buckets"))
+    if hot is None:
+        hot = hot_keys(big, keys, hot_rows, max_buckets, small if small_row_id else None)
+    hot = F.broadcast(hot)
+    a = F.coalesce(F.col("_buckets"), F.lit(1))
+    b = F.coalesce(F.col("_spread"), F.lit(1)) if small_row_id else F.lit(1)
+
+    def bucket(cols, n):
+        return F.when(n > 1, F.pmod(F.xxhash64(*[F.col(c) for c in cols]), n)).otherwise(0).cast("int")
+
     big_s = (big.join(hot, list(keys), "left")
-             .withColumn("_salt", F.when(F.col("_buckets").isNull(), F.lit(0)).otherwise(salt).cast("int"))
-             .drop("_buckets").alias(big_alias))
-    spread = F.sequence(F.lit(0), F.coalesce(F.col("_buckets"), F.lit(1)) - 1)
+             .withColumn("_sa", bucket(row_id, a))
+             .withColumn("_sb", F.explode(F.sequence(F.lit(0), b - 1)))
+             .drop("_buckets", "_spread").alias(big_alias))
     small_s = (small.join(hot, list(keys), "left")
-               .withColumn("_salt", F.explode(spread)).drop("_buckets").alias(small_alias))
-    cond = F.col(f"{big_alias}._salt") == F.col(f"{small_alias}._salt")
+               .withColumn("_sb", bucket(small_row_id, b) if small_row_id else F.lit(0))
+               .withColumn("_sa", F.explode(F.sequence(F.lit(0), a - 1)))
+               .drop("_buckets", "_spread").alias(small_alias))
+    cond = ((F.col(f"{big_alias}._sa") == F.col(f"{small_alias}._sa"))
+            & (F.col(f"{big_alias}._sb") == F.col(f"{small_alias}._sb")))
     for k in keys:
         cond = cond & (F.col(f"{big_alias}.{k}") == F.col(f"{small_alias}.{k}"))
     if residual is not None:

@@ -99,13 +99,15 @@ class ProblemListMetrics:
 
     @cached_property
     def hot_patients(self) -> DataFrame:
-        """Patients with more than ``hot_rows`` edits and their bucket counts.
+        """Patients with more than ``hot_rows`` edits or stays, and their grid sizes.
 
-        Shared by the three range joins (D5, D13, D14); an upper bound for the
-        distinct edit projection D14 joins.  At most ``rows / hot_rows`` rows.
+        Shared by the three range joins (D5, D13, D14); the counts are upper
+        bounds for the distinct projections D14 joins.  At most
+        ``(edits + stays) / hot_rows`` rows.
         """
         return self._keep(hot_keys(self.log.where(F.col("ptid").isNotNull()), ["ptid"], self.hot_rows,
-                                   DEFAULT_MAX_BUCKETS), "hot_patients")
+                                   DEFAULT_MAX_BUCKETS,
+                                   small=self.inputs.disch.where(F.col("ptid").isNotNull())), "hot_patients")
 
     @cached_property
     def concepts(self) -> DataFrame:

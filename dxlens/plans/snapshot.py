@@ -111,7 +111,8 @@ def snapshot_pairs(log: DataFrame, disch: DataFrame, concepts: DataFrame,
     residual = ((day(F.col("b.noteddate")) <= dd) & (day(F.col("b.entrydate")) <= dd)
                 & ((day(F.col("b.resoldate")) > dd) | (day(F.col("b.deldate")) > dd)
                    | (F.col("b.resoldate").isNull() & F.col("b.deldate").isNull())))
-    pairs = hot_key_join(p, d, ["ptid"], residual, row_id=["probid"], hot_rows=hot_rows, hot=hot)
+    pairs = hot_key_join(p, d, ["ptid"], residual, row_id=["probid"], small_row_id=["dischid"],
+                          hot_rows=hot_rows, hot=hot)
     cols = [F.col("b.snomed" if c == "conceptid" else f"{'s' if c in _FROM_DISCHARGE else 'b'}.{c}").alias(c)
             for c in SNAPSHOT_COLUMNS if c not in ("term", "datediff", "dcprobid")]
     cols.append(days_between(F.col("b.entrydate"), midnight(F.col("s.dischdate"))).alias("datediff"))

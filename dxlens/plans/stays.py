@@ -50,7 +50,8 @@ def updated_during(log: DataFrame, disch: DataFrame, names: DataFrame,
     dd, ad, ed = day(F.col("s.dischdate")), day(F.col("s.admitdate")), day(F.col("b.entrydate"))
     residual = ((day(F.col("b.noteddate")) <= dd) & _still_open_at(F.col("s.admitdate"))
                 & (ed <= dd) & (ed >= ad))
-    pairs = hot_key_join(p, d, ["ptid"], residual, row_id=["probid"], hot_rows=hot_rows, hot=hot)
+    pairs = hot_key_join(p, d, ["ptid"], residual, row_id=["probid"], small_row_id=["dischid"],
+                          hot_rows=hot_rows, hot=hot)
     since_admit = days_between(midnight(F.col("s.admitdate")), F.col("b.entrydate"))
     rows = pairs.select(
         F.col("s.ptid").alias("ptid"), F.col("s.dischid").alias("dischid"), F.col("b.pdxid").alias("pdxid"),
@@ -90,7 +91,8 @@ def present_during(log: DataFrame, disch: DataFrame, names: DataFrame,
          .select("ptid", "dischid", "admitdate", "dischdate").distinct())
     residual = (day(F.col("b.noteddate")) <= day(F.col("s.dischdate"))) & _still_open_at(F.col("s.admitdate"))
     row_id = ["ptid", "pdxid", "snomed", "noteddate", "resoldate", "deldate", "picd9desc"]
-    pairs = hot_key_join(p, d, ["ptid"], residual, row_id=row_id, hot_rows=hot_rows, hot=hot)
+    pairs = hot_key_join(p, d, ["ptid"], residual, row_id=row_id,
+                          small_row_id=["dischid", "admitdate", "dischdate"], hot_rows=hot_rows, hot=hot)
     rows = pairs.select(
         F.col("b.ptid").alias("ptid"), F.col("s.admitdate").alias("admitdate"),
         F.col("s.dischdate").alias("dischdate"), F.col("s.dischid").alias("dischid"),

@@ -48,3 +48,19 @@ def test_pipeline_with_a_patient_holding_a_third_of_all_edits(spark):
     for name in ("snapshot_pairs", "updated_during", "present_during"):
         a, b = getattr(plain, name), getattr(salted, name)
         assert a.count() == b.count() and a.exceptAll(b).count() == 0, name
+
+
+def test_grid_split_when_both_sides_are_hot(spark):
+    big = spark.range(0, 2000).select((F.col("id") % 3).alias("k"), F.col("id").alias("rid"),
+                                      (F.col("id") % 11).alias("v"))
+    small = spark.range(0, 600).select(F.when(F.col("id") < 500, 0).otherwise(F.col("id") % 3).alias("k"),
+                                       F.col("id").alias("sid"), (F.col("id") % 13).alias("w"))
+    cond = F.col("b.v") <= F.col("s.w")
+    hot = {r.k: (r._buckets, r._spread) for r in hot_keys(big, ["k"], 100, 64, small).collect()}
+    assert hot[0][0] > 1 and hot[0][1] > 1          # both sides hot: a grid
+    salted = hot_key_join(big, small, ["k"], cond, row_id=["rid"], small_row_id=["sid"], hot_rows=100,
+                          max_buckets=64)
+    got = collections.Counter(tuple(r) for r in salted.select("b.rid", "s.sid").collect())
+    plain = big.alias("b").join(small.alias("s"), (F.col("b.k") == F.col("s.k")) & cond)
+    want = collections.Counter(tuple(r) for r in plain.select("b.rid", "s.sid").collect())
+    assert got == want and max(got.values()) == 1
