@@ -1,0 +1,58 @@
+"""Edit × stay pairs shared by the snapshot (D5) and the stay jobs.
+
+All three jobs join an edit to every stay of its patient and keep the pair when
+the problem was noted by the discharge day and was still open at some point of
+the stay; they differ only in further filters.  :func:`stay_pairs` runs the one
+range join for the union of their conditions:
+
+    noted day <= discharge day
+    AND (open on the admission day OR open after the discharge day)
+
+where "open on day x" means resolved or deleted on/after x (or neither).  The
+jobs then filter these pairs.  The range join splits hot patients on a grid
+(:func:`dxlens.operators.intervals.hot_key_join`).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from dxlens.functions.temporal import day
+from dxlens.operators.intervals import DEFAULT_HOT_ROWS, hot_key_join
+
+EDIT_COLUMNS = ["probid", "ptid", "pdxid", "snomed", "picd9", "phcc", "noteddate", "entrydate", "resoldate",
+                "deldate", "hospprob", "probdesc", "overview", "overlen", "priority", "prov_id", "provtype",
+                "provdept", "picd9desc"]
+STAY_COLUMNS = ["dischid", "csn", "mrn", "admitdate", "dischdate", "los"]
+
+
+def open_on(day_col: Column, strict: bool, prefix: str = "") -> Column:
+    """Not resolved or deleted before ``day_col`` (after it when ``strict``); three-valued."""
+    resol, dele = F.col(f"{prefix}resoldate"), F.col(f"{prefix}deldate")
+    if strict:
+        closed_after = (day(resol) > day_col) | (day(dele) > day_col)
+    else:
+        closed_after = (day(resol) >= day_col) | (day(dele) >= day_col)
+    return closed_after | (resol.isNull() & dele.isNull())
+
+
+def stay_pairs(log: DataFrame, disch: DataFrame, concepts: DataFrame, hot_rows: int = DEFAULT_HOT_ROWS,
+               hot: DataFrame | None = None) -> DataFrame:
+    """Edits with a named concept paired with the stays they were present in.
+
+    One row per (edit, stay): the edit's columns (:data:`EDIT_COLUMNS`) and the
+    stay's (:data:`STAY_COLUMNS`).  ``concepts`` (``conceptid``) restricts to
+    concepts with a name.
+    """
+    p = (log.where(F.col("snomed").isNotNull() & F.col("noteddate").isNotNull() & F.col("ptid").isNotNull())
+         .join(concepts, F.col("snomed") == concepts.conceptid, "left_semi")
+         .select(*EDIT_COLUMNS))
+    d = disch.where(F.col("ptid").isNotNull() & F.col("dischdate").isNotNull()).select("ptid", *STAY_COLUMNS)
+    disch_day = day(F.col("s.dischdate"))
+    residual = ((day(F.col("b.noteddate")) <= disch_day)
+                & (open_on(day(F.col("s.admitdate")), False, "b.") | open_on(disch_day, True, "b.")))
+    pairs = hot_key_join(p, d, ["ptid"], residual, row_id=["probid"], small_row_id=["dischid"],
+                         hot_rows=hot_rows, hot=hot)
+    return pairs.select(*[F.col(f"b.{c}").alias(c) for c in EDIT_COLUMNS],
+                        *[F.col(f"s.{c}").alias(c) for c in STAY_COLUMNS])

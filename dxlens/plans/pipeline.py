@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from dxlens.operators.closure import DEFAULT_MAX_DEPTH
 from dxlens.operators.intervals import DEFAULT_HOT_ROWS, DEFAULT_MAX_BUCKETS, hot_keys
-from dxlens.plans import billing, report, snapshot, stays, terminology
+from dxlens.plans import billing, encounters, report, snapshot, stays, terminology
 from dxlens.sources.sinks import delete_path, materialise, publish, write_table
 
 DEFAULT_STUDY_END = "2015-06-06"
@@ -119,6 +119,12 @@ class ProblemListMetrics:
         """Edit log with back-filled noted dates (published as ``problem_log``)."""
         return self._keep(snapshot.backfill_noted(self.inputs.pldata), "log")
 
+    @cached_property
+    def stay_pairs(self) -> DataFrame:
+        """Edit × stay pairs behind D5, D13 and D14 (one range join for all three)."""
+        return self._keep(encounters.stay_pairs(self.log, self.inputs.disch, self.concepts, self.hot_rows,
+                                                self.hot_patients), "stay_pairs")
+
     @cached_property
     def snapshot(self) -> DataFrame:
         """D5 ``dcprobstemp1`` with names."""
@@ -127,8 +133,7 @@ class ProblemListMetrics:
     @cached_property
     def snapshot_pairs(self) -> DataFrame:
         """D5 pairs without names (``dcprobstemp1`` before the name join)."""
-        return self._keep(snapshot.snapshot_pairs(self.log, self.inputs.disch, self.concepts, self.hot_rows,
-                                                         self.hot_patients), "snapshot_pairs")
+        return self._keep(snapshot.snapshot_from_pairs(self.stay_pairs), "snapshot_pairs")
 
     @cached_property
     def latest(self) -> DataFrame:
@@ -169,14 +174,12 @@ class ProblemListMetrics:
     @cached_property
     def updated_during(self) -> DataFrame:
         """D13."""
-        return self._keep(stays.updated_during(self.log, self.inputs.disch, self.terms, self.hot_rows,
-                                               self.hot_patients), "updated_during")
+        return self._keep(stays.updated_from_pairs(self.stay_pairs, self.terms), "updated_during")
 
     @cached_property
     def present_during(self) -> DataFrame:
         """D14."""
-        return self._keep(stays.present_during(self.log, self.inputs.disch, self.terms, self.hot_rows,
-                                               self.hot_patients), "present_during")
+        return self._keep(stays.present_from_pairs(self.stay_pairs, self.terms), "present_during")
 
     @cached_property
     def pr_present(self) -> DataFrame:
@@ -247,6 +250,7 @@ class ProblemListMetrics:
     RUN_PLAN = [
         [["names"], ["log", "hot_patients"]],
         [["terms"]],
+        [["stay_pairs"]],
         [["snapshot_pairs", "latest", "closure", "subsumption", "problems", "summary", "disch2"],
          ["updated_during", "pr_updated", "outside"],
          ["present_during", "pr_present", "match_concept", "match_dx", "stats_dx", "stats_concept"]],

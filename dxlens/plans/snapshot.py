@@ -14,7 +14,8 @@ from dxlens.functions.keys import composite_key
 from dxlens.functions.ratios import percent
 from dxlens.functions.temporal import day, days_between, midnight, ts_literal
 from dxlens.operators.grouping import argmin_then_max, fill_from_group_min, flag_members, flag_repeats
-from dxlens.operators.intervals import DEFAULT_HOT_ROWS, hot_key_join
+from dxlens.operators.intervals import DEFAULT_HOT_ROWS
+from dxlens.plans.encounters import open_on, stay_pairs
 
 # Fixed values of the longitudinal problem key.
 NOTED_SENTINEL = "1900-01-01 00:00:00"
@@ -27,8 +28,6 @@ SNAPSHOT_COLUMNS = [
     "dischdate", "noteddate", "entrydate", "resoldate", "deldate", "hospprob", "probdesc", "overview",
     "overlen", "priority", "prov_id", "provtype", "provdept", "datediff", "dcprobid",
 ]
-# Snapshot columns taken from the discharge; the others come from the edit.
-_FROM_DISCHARGE = {"ptid", "dischid", "csn", "mrn", "admitdate", "dischdate"}
 
 
 # --------------------------------------------------------------------------- D2
@@ -92,32 +91,30 @@ def patient_mrns(log: DataFrame, patient: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------------- D5
 
-def snapshot_pairs(log: DataFrame, disch: DataFrame, concepts: DataFrame,
-                   hot_rows: int = DEFAULT_HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
-    """D5 without names: every edit active at each discharge of its patient.
+def snapshot_from_pairs(pairs: DataFrame) -> DataFrame:
+    """D5 without names, from :func:`dxlens.plans.encounters.stay_pairs`.
 
     At day level: noted <= discharge, entered <= discharge, and resolved or
     deleted after the discharge day (or neither); only edits with a provider.
-    ``concepts`` (``conceptid``) restricts to concepts with a name.
     ``datediff`` = discharge midnight - entry time in days (negative for an
     entry on the discharge day).
     """
-    p = (log.where(F.col("prov_id").isNotNull() & F.col("snomed").isNotNull()
-                   & F.col("noteddate").isNotNull() & F.col("entrydate").isNotNull()
-                   & F.col("ptid").isNotNull())
-         .join(concepts, F.col("snomed") == concepts.conceptid, "left_semi"))
-    d = disch.where(F.col("ptid").isNotNull() & F.col("dischdate").isNotNull())
-    dd = day(F.col("s.dischdate"))
-    residual = ((day(F.col("b.noteddate")) <= dd) & (day(F.col("b.entrydate")) <= dd)
-                & ((day(F.col("b.resoldate")) > dd) | (day(F.col("b.deldate")) > dd)
-                   | (F.col("b.resoldate").isNull() & F.col("b.deldate").isNull())))
-    pairs = hot_key_join(p, d, ["ptid"], residual, row_id=["probid"], small_row_id=["dischid"],
-                          hot_rows=hot_rows, hot=hot)
-    cols = [F.col("b.snomed" if c == "conceptid" else f"{'s' if c in _FROM_DISCHARGE else 'b'}.{c}").alias(c)
+    disch_day = day(F.col("dischdate"))
+    keep = (F.col("prov_id").isNotNull() & (day(F.col("entrydate")) <= disch_day)
+            & open_on(disch_day, True))
+    cols = [F.col("snomed").alias("conceptid") if c == "conceptid" else F.col(c)
             for c in SNAPSHOT_COLUMNS if c not in ("term", "datediff", "dcprobid")]
-    cols.append(days_between(F.col("b.entrydate"), midnight(F.col("s.dischdate"))).alias("datediff"))
-    out = pairs.select(*cols)
-    return out.withColumn("dcprobid", composite_key(*PROBLEM_KEY))
+    cols.append(days_between(F.col("entrydate"), midnight(F.col("dischdate"))).alias("datediff"))
+    return pairs.where(keep).select(*cols).withColumn("dcprobid", composite_key(*PROBLEM_KEY))
+
+
+def snapshot_pairs(log: DataFrame, disch: DataFrame, concepts: DataFrame,
+                   hot_rows: int = DEFAULT_HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
+    """D5 without names, straight from the edit log and the stays.
+
+    ``concepts`` (``conceptid``) restricts to concepts with a name.
+    """
+    return snapshot_from_pairs(stay_pairs(log, disch, concepts, hot_rows, hot))
 
 
 def attach_terms(df: DataFrame, names: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -13,14 +13,8 @@ from pyspark.sql import functions as F
 from dxlens.functions.keys import composite_key, tuple_or_null
 from dxlens.functions.ratios import int_div, safe_div
 from dxlens.functions.temporal import day, days_between, midnight
-from dxlens.operators.intervals import DEFAULT_HOT_ROWS, hot_key_join
-
-
-def _still_open_at(admit) -> F.Column:
-    """Resolved or deleted on/after the admission day, or neither (three-valued)."""
-    a = day(admit)
-    return ((day(F.col("b.resoldate")) >= a) | (day(F.col("b.deldate")) >= a)
-            | (F.col("b.resoldate").isNull() & F.col("b.deldate").isNull()))
+from dxlens.operators.intervals import DEFAULT_HOT_ROWS
+from dxlens.plans.encounters import open_on, stay_pairs
 
 
 UPDATED_COLUMNS = [
@@ -30,9 +24,8 @@ UPDATED_COLUMNS = [
 ]
 
 
-def updated_during(log: DataFrame, disch: DataFrame, names: DataFrame,
-                   hot_rows: int = DEFAULT_HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
-    """Edits entered during a stay of the same patient (``updated_during``).
+def updated_from_pairs(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """D13 from :func:`dxlens.plans.encounters.stay_pairs` (``updated_during``).
 
     Day level: entered between admission and discharge day, noted by the
     discharge day, not closed before the admission day; only edits with a
@@ -42,62 +35,48 @@ def updated_during(log: DataFrame, disch: DataFrame, names: DataFrame,
     day (not cut to whole microseconds of the divided interval).  One edit can
     fall into several stays.
     """
-    p = log.where(F.col("prov_id").isNotNull() & F.col("snomed").isNotNull()
-                  & F.col("noteddate").isNotNull() & F.col("entrydate").isNotNull()
-                  & F.col("ptid").isNotNull())
-    d = disch.where(F.col("ptid").isNotNull() & F.col("dischdate").isNotNull()
-                    & F.col("admitdate").isNotNull())
-    dd, ad, ed = day(F.col("s.dischdate")), day(F.col("s.admitdate")), day(F.col("b.entrydate"))
-    residual = ((day(F.col("b.noteddate")) <= dd) & _still_open_at(F.col("s.admitdate"))
-                & (ed <= dd) & (ed >= ad))
-    pairs = hot_key_join(p, d, ["ptid"], residual, row_id=["probid"], small_row_id=["dischid"],
-                          hot_rows=hot_rows, hot=hot)
-    since_admit = days_between(midnight(F.col("s.admitdate")), F.col("b.entrydate"))
-    rows = pairs.select(
-        F.col("s.ptid").alias("ptid"), F.col("s.dischid").alias("dischid"), F.col("b.pdxid").alias("pdxid"),
-        F.col("b.probid").alias("probid"), F.col("b.snomed").alias("conceptid"),
-        F.col("s.admitdate").alias("admitdate"), F.col("s.dischdate").alias("dischdate"),
-        *[F.col(f"b.{c}").alias(c) for c in ("noteddate", "entrydate", "resoldate", "deldate", "hospprob",
-                                             "prov_id", "provtype", "provdept")],
-        days_between(F.col("b.entrydate"), midnight(F.col("s.dischdate"))).alias("datediff"),
+    ad, ed = day(F.col("admitdate")), day(F.col("entrydate"))
+    keep = (F.col("prov_id").isNotNull() & (ed >= ad) & (ed <= day(F.col("dischdate")))
+            & open_on(ad, False))
+    since_admit = days_between(midnight(F.col("admitdate")), F.col("entrydate"))
+    rows = pairs.where(keep).select(
+        "ptid", "dischid", "pdxid", "probid", F.col("snomed").alias("conceptid"), "admitdate", "dischdate",
+        "noteddate", "entrydate", "resoldate", "deldate", "hospprob", "prov_id", "provtype", "provdept",
+        days_between(F.col("entrydate"), midnight(F.col("dischdate"))).alias("datediff"),
         since_admit.alias("dayofentry"),
-        (since_admit / F.greatest(F.col("s.los"), F.lit(1))).alias("dateposition"),
-        *[F.when(ed == day(F.col(f"b.{src}")), 1).otherwise(0).alias(out)
+        (since_admit / F.greatest(F.col("los"), F.lit(1))).alias("dateposition"),
+        *[F.when(ed == day(F.col(src)), 1).otherwise(0).alias(out)
           for out, src in (("del", "deldate"), ("resol", "resoldate"), ("noted", "noteddate"))],
     ).withColumn("dcprobid", composite_key("ptid", "dischid", "pdxid", "conceptid", "noteddate"))
     n = names.select("conceptid", "term")
     return rows.join(n, "conceptid").select(*UPDATED_COLUMNS)
 
 
+def updated_during(log: DataFrame, disch: DataFrame, names: DataFrame,
+                   hot_rows: int = DEFAULT_HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
+    """D13 straight from the edit log and the stays."""
+    concepts = names.select("conceptid").distinct()
+    return updated_from_pairs(stay_pairs(log, disch, concepts, hot_rows, hot), names)
+
+
 PRESENT_COLUMNS = [
     "ptid", "admitdate", "dischdate", "dischid", "pdxid", "conceptid", "term", "noteddate", "resoldate",
     "deldate", "dcprobid", "dcdxid", "dcbilldxid", "picd9desc",
 ]
 
 
-def present_during(log: DataFrame, disch: DataFrame, names: DataFrame,
-                   hot_rows: int = DEFAULT_HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
-    """Distinct problems present during a stay (``present_during``).
+def present_from_pairs(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """D14 from :func:`dxlens.plans.encounters.stay_pairs` (``present_during``).
 
-    Noted by the discharge day and not closed before the admission day.  Both
-    sides are reduced to the distinct columns the result depends on before the
-    join, so the result is distinct without a shuffle of the joined rows.
-    Ids: ``dcprobid`` (patient, stay, diagnosis, concept, noted), ``dcdxid``
-    (patient, stay, diagnosis, noted), ``dcbilldxid`` (patient, stay, diagnosis).
+    Distinct problems noted by the discharge day and not closed before the
+    admission day.  Ids: ``dcprobid`` (patient, stay, diagnosis, concept,
+    noted), ``dcdxid`` (patient, stay, diagnosis, noted), ``dcbilldxid``
+    (patient, stay, diagnosis).
     """
-    p = (log.where(F.col("snomed").isNotNull() & F.col("noteddate").isNotNull() & F.col("ptid").isNotNull())
-         .select("ptid", "pdxid", "snomed", "noteddate", "resoldate", "deldate", "picd9desc").distinct())
-    d = (disch.where(F.col("ptid").isNotNull() & F.col("dischdate").isNotNull())
-         .select("ptid", "dischid", "admitdate", "dischdate").distinct())
-    residual = (day(F.col("b.noteddate")) <= day(F.col("s.dischdate"))) & _still_open_at(F.col("s.admitdate"))
-    row_id = ["ptid", "pdxid", "snomed", "noteddate", "resoldate", "deldate", "picd9desc"]
-    pairs = hot_key_join(p, d, ["ptid"], residual, row_id=row_id,
-                          small_row_id=["dischid", "admitdate", "dischdate"], hot_rows=hot_rows, hot=hot)
-    rows = pairs.select(
-        F.col("b.ptid").alias("ptid"), F.col("s.admitdate").alias("admitdate"),
-        F.col("s.dischdate").alias("dischdate"), F.col("s.dischid").alias("dischid"),
-        F.col("b.pdxid").alias("pdxid"), F.col("b.snomed").alias("conceptid"),
-        *[F.col(f"b.{c}").alias(c) for c in ("noteddate", "resoldate", "deldate", "picd9desc")])
+    rows = (pairs.where(open_on(day(F.col("admitdate")), False))
+            .select("ptid", "admitdate", "dischdate", "dischid", "pdxid", F.col("snomed").alias("conceptid"),
+                    "noteddate", "resoldate", "deldate", "picd9desc")
+            .distinct())
     rows = (rows.withColumn("dcprobid", composite_key("ptid", "dischid", "pdxid", "conceptid", "noteddate"))
             .withColumn("dcdxid", composite_key("ptid", "dischid", "pdxid", "noteddate"))
             .withColumn("dcbilldxid", composite_key("ptid", "dischid", "pdxid")))
@@ -105,6 +84,13 @@ def present_during(log: DataFrame, disch: DataFrame, names: DataFrame,
     return rows.join(n, "conceptid").select(*PRESENT_COLUMNS)
 
 
+def present_during(log: DataFrame, disch: DataFrame, names: DataFrame,
+                   hot_rows: int = DEFAULT_HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
+    """D14 straight from the edit log and the stays."""
+    concepts = names.select("conceptid").distinct()
+    return present_from_pairs(stay_pairs(log, disch, concepts, hot_rows, hot), names)
+
+
 def _problem_tuple():
     return tuple_or_null("ptid", "dischid", "pdxid", "conceptid", "noteddate")
 
