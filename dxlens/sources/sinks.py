@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark import StorageLevel
@@ -10,9 +11,27 @@ from pyspark.sql import DataFrame
 from dxlens.session import ensure_checkpoint_dir
 
 
+_CLEANUP_REGISTERED: set[str] = set()
+
+
 def table_root(spark) -> str:
-    """Folder of this application's materialised tables inside the checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/dxlens-{spark.sparkContext.applicationId}"
+    """Folder of this application's materialised tables inside the checkpoint folder.
+
+    The folder holds temporaries only (published outputs go elsewhere); it is
+    deleted when the driver process exits.
+    """
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/dxlens-{spark.sparkContext.applicationId}"
+    if root not in _CLEANUP_REGISTERED:
+        _CLEANUP_REGISTERED.add(root)
+        atexit.register(_delete_quietly, spark, root)
+    return root
+
+
+def _delete_quietly(spark, path: str) -> None:
+    try:
+        delete_path(spark, path)
+    except Exception:  # the session may already be gone at interpreter exit
+        pass
 
 
 def delete_path(spark, path: str) -> bool:
