@@ -38,10 +38,8 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _one_patient(m: ProblemListMetrics) -> DataFrame:
-    patient = snapshot.busiest_patient(m.log)
-    log = m.log.join(patient, "ptid", "left_semi")
-    disch = m.inputs.disch.join(patient, "ptid", "left_semi")
-    return snapshot.snapshot(log, disch, m.terms, hot=m.hot_patients)
+    return snapshot.patient_snapshot(m.log, m.inputs.disch, m.terms, snapshot.busiest_patient(m.log),
+                                     hot=m.hot_patients)
 
 
 _JOBS: dict[str, Callable[[ProblemListMetrics], DataFrame]] = {

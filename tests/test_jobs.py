@@ -266,3 +266,16 @@ def test_pipeline_run_parallel_branches(spark):
     assert out["discharge_metrics"].count() == 1500
     assert set(steps) == {n for stage in m.RUN_PLAN for branch in stage for n in branch}
     m.release()
+
+
+def test_one_patient_jobs_accept_an_id(spark):
+    from dxlens.plans.catalog import metrics
+    from .conftest import SMALL
+
+    m = metrics(spark, SMALL, materialise="none")
+    pid = snapshot.busiest_patient(m.log).first().ptid
+    by_id = snapshot.patient_timeline(m.log, m.names, pid)
+    by_frame = snapshot.patient_timeline(m.log, m.names, snapshot.busiest_patient(m.log))
+    assert by_id.count() == by_frame.count() > 0
+    snap = snapshot.patient_snapshot(m.log, m.inputs.disch, m.names, pid)
+    assert snap.where(F.col("ptid") != pid).count() == 0 and snap.count() > 0
