@@ -28,7 +28,7 @@ from dxlens.sources.bridge import STUDY_END, load_bridge  # noqa: E402
 JOB_IDS = {
     "names": "D1_current_names", "log": "D2_backfill_noted", "terms": "D1_names_in_use",
     "hot_patients": "D5_D13_D14_hot_patients", "snapshot_pairs": "D5_snapshot",
-    "latest": "D6_latest_update", "closure": "D7_closure", "subsumption": "D8_subsumption",
+    "latest": "D6_latest_update", "candidate_closure": "D7_closure_candidates", "closure": "D7_closure", "subsumption": "D8_subsumption",
     "problems": "D6a_D8_D9_D10_flags", "summary": "D11_summary", "disch2": "D12_enrichment",
     "updated_during": "D13_updated_during", "present_during": "D14_present_during",
     "pr_present": "D15_active_counts", "pr_updated": "D16_update_activity", "pusumm": "D17_ratios",

@@ -136,10 +136,25 @@ class ProblemListMetrics:
         rows = snapshot.latest_update(self.snapshot_pairs)
         return self._keep(snapshot.attach_terms(rows, self.terms, snapshot.SNAPSHOT_COLUMNS), "latest")
 
+    @cached_property
+    def candidate_closure(self) -> DataFrame:
+        """Descendant closure of every named concept in the edit log.
+
+        The D7 seeds (concepts of the latest problems) are a subset of these,
+        and each seed's descendants do not depend on the other seeds, so D7 is
+        this table restricted to its seeds.  Needing only the concepts in use,
+        it can run while the snapshot is still being built.
+        """
+        edges = terminology.isa_edges(self.inputs.relats)
+        return self._keep(terminology.descendant_closure(edges, self.concepts, max_depth=self.max_depth),
+                          "candidate_closure")
+
     @cached_property
     def closure(self) -> DataFrame:
-        """D7 ``closure`` (always checkpointed level by level)."""
-        return terminology.closure(self.inputs.relats, self.latest, self.max_depth)
+        """D7 ``closure``: the candidate closure of the concepts of the latest problems."""
+        seeds = terminology.concept_seeds(self.latest)
+        return self._keep(self.candidate_closure.join(
+            seeds, self.candidate_closure.destinationid == seeds.conceptid, "left_semi"), "closure")
 
     @cached_property
     def subsumption(self) -> DataFrame:
@@ -247,16 +262,17 @@ class ProblemListMetrics:
     RUN_PLAN = [
         [["names"], ["log", "hot_patients"]],
         [["terms"]],
-        [["snapshot_pairs", "latest", "closure", "subsumption", "problems", "summary", "disch2"],
+        [["snapshot_pairs", "latest"], ["candidate_closure"],
          ["updated_during", "pr_updated", "outside"],
          ["present_during", "pr_present", "match_concept", "match_dx", "stats_dx", "stats_concept"]],
+        [["closure", "subsumption", "problems", "summary", "disch2"]],
         [["pusumm", "disch3", "disch4"]],
     ]
 
     def compute(self, name: str) -> DataFrame:
         """Build one table and make sure it is computed."""
         df = getattr(self, name)
-        if self.how == "none" or name in ("closure", "outside"):
+        if self.how == "none" or name == "outside":
             df.write.format("noop").mode("overwrite").save()
         return df
 
