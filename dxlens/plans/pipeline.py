@@ -295,6 +295,30 @@ class ProblemListMetrics:
                     future.result()
         return self.outputs()
 
+    # -- SQL access ----------------------------------------------------------
+    # Temporary view name -> table, using the table names the metrics were
+    # published under, so existing ad-hoc SQL runs unchanged on spark.sql.
+    VIEWS = {
+        "descr": "inputs.descr", "relats": "inputs.relats", "disch": "inputs.disch", "pldata": "log",
+        "descrshort": "names", "dcprobstemp1": "snapshot", "pldata2": "problems", "closure": "closure",
+        "subsumed": "subsumption", "plsumm": "summary", "disch2": "disch2", "updated_during": "updated_during",
+        "present_during": "present_during", "pr_present": "pr_present", "pr_updated": "pr_updated",
+        "pusumm": "pusumm", "disch3": "disch3", "billdata": "billdata", "pbmatchdx": "match_dx",
+        "pbmatchpr": "match_concept", "pbmatchsummdx": "stats_dx", "pbmatchsummpr": "stats_concept",
+        "disch4": "disch4",
+    }
+
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Register every table as a temporary view (``prefix`` + name) for ``spark.sql``."""
+        names = []
+        for view, attr in self.VIEWS.items():
+            obj = self
+            for part in attr.split("."):
+                obj = getattr(obj, part)
+            obj.createOrReplaceTempView(prefix + view)
+            names.append(prefix + view)
+        return names
+
     # -- outputs -------------------------------------------------------------
     def outputs(self) -> dict[str, DataFrame]:
         """The published tables."""

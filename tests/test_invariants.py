@@ -67,3 +67,14 @@ def test_updates_inside_and_outside_cover_the_log(m):
 def test_closure_depth_bounds(m):
     r = m.closure.agg(F.min("depth").alias("lo"), F.max("depth").alias("hi")).first()
     assert r.lo == 1 and r.hi <= 15
+
+
+def test_sql_views_answer_report_queries(m, spark):
+    m.register_views()
+    assert spark.sql("SELECT COUNT(DISTINCT dischid) AS n FROM disch4").first().n == 1500
+    no_priority = spark.sql("SELECT COUNT(*) AS n FROM disch2 WHERE countpriority = 0").first().n
+    assert no_priority == snapshot.no_priority_count(m.disch2).first().discharges
+    top = spark.sql("SELECT ptid, COUNT(probid) AS c FROM pldata GROUP BY ptid ORDER BY c DESC LIMIT 1").first()
+    assert top.c == snapshot.problems_per_patient(m.log, ordered=True).first().problems
+    assert spark.sql("SELECT COUNT(*) AS n FROM pldata2 WHERE duplic = 1").first().n == \
+        m.problems.where("duplic = 1").count()
