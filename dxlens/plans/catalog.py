@@ -59,6 +59,8 @@ _JOBS: dict[str, Callable[[ProblemListMetrics], DataFrame]] = {
     "subsumed_flag": lambda m: m.problems.select(*FLAG_KEYS, "subsumed"),
     "subsumed_review": lambda m: snapshot.subsumed_review(m.subsumption, m.terms),
     "review_topk": lambda m: snapshot.review_top(m.problems, m.terms, 1000),
+    "review_flags_topk": lambda m: snapshot.review_top(m.problems, m.terms, 1000, "flags"),
+    "review_specificity_topk": lambda m: snapshot.review_top(m.problems, m.terms, 1000, "specificity"),
     "specificity": lambda m: m.problems.select(*FLAG_KEYS, "descendants", "descendantslog"),
     "semantic_tag": lambda m: m.problems.select(*FLAG_KEYS, "finding", "snomedtype"),
     "discharge_summary": lambda m: m.summary,

@@ -205,17 +205,27 @@ def subsumed_review(pairs: DataFrame, names: DataFrame) -> DataFrame:
         "dischid", "conceptid", "subsumed_by", "depth", "pdxid1", "pdxid2", "term", "subsumed_term")
 
 
-def review_top(problems: DataFrame, names: DataFrame, k: int = 1000) -> DataFrame:
-    """The first ``k`` problems with all flags, by discharge and probid descending.
-
-    The limit is the feature (a review list); remaining columns break ties so
-    the list is deterministic.
+# Review lists: (columns shown, leading sort keys, descending).
+REVIEW_LISTS = {
+    "flags": (["dischid", "conceptid", "duplic", "subsumed"], ["dischid", "conceptid"]),
+    "specificity": (["dischid", "probid", "conceptid", "duplic", "subsumed", "descendants", "descendantslog"],
+                    ["dischid", "probid"]),
+    "all": (["dischid", "probid", "conceptid", "duplic", "subsumed", "descendants", "descendantslog",
+             "finding", "snomedtype"], ["dischid", "probid"]),
+}
+
+
+def review_top(problems: DataFrame, names: DataFrame, k: int = 1000, kind: str = "all") -> DataFrame:
+    """The first ``k`` problems with their flags and name.
+
+    ``kind`` picks the columns and the leading descending sort keys (see
+    :data:`REVIEW_LISTS`).  The limit is the feature (a review list); the
+    remaining columns break ties so the list is deterministic.
     """
-    cols = ["dischid", "probid", "conceptid", "duplic", "subsumed", "descendants", "descendantslog",
-            "finding", "snomedtype"]
+    cols, keys = REVIEW_LISTS[kind]
     rows = problems.select(*cols).join(names.select("conceptid", "term"), "conceptid").select(*cols, "term")
-    order = [F.col(c).desc_nulls_first() for c in ("dischid", "probid")] + \
-            [F.col(c).asc_nulls_last() for c in cols[2:] + ["term"]]
+    rest = [c for c in cols + ["term"] if c not in keys]
+    order = [F.col(c).desc_nulls_first() for c in keys] + [F.col(c).asc_nulls_last() for c in rest]
     return rows.orderBy(*order).limit(k)
 
 
