@@ -42,6 +42,15 @@ def _one_patient(m: ProblemListMetrics) -> DataFrame:
                                      hot=m.hot_patients)
 
 
+def _one_patient_latest(m: ProblemListMetrics) -> DataFrame:
+    # D6 on the one-patient snapshot (names attached after the selection).
+    patient = snapshot.busiest_patient(m.log)
+    pairs = snapshot.snapshot_pairs(snapshot.patient_rows(m.log, patient),
+                                    snapshot.patient_rows(m.inputs.disch, patient),
+                                    m.concepts, hot=m.hot_patients)
+    return snapshot.attach_terms(snapshot.latest_update(pairs), m.terms, snapshot.SNAPSHOT_COLUMNS)
+
+
 _JOBS: dict[str, Callable[[ProblemListMetrics], DataFrame]] = {
     "current_names": lambda m: m.names,
     "backfill_noted": lambda m: m.log,
@@ -52,6 +61,7 @@ _JOBS: dict[str, Callable[[ProblemListMetrics], DataFrame]] = {
     "snapshot_pairs": lambda m: m.snapshot,
     "snapshot_one_patient": _one_patient,
     "latest_update": lambda m: m.latest,
+    "latest_update_one_patient": _one_patient_latest,
     "duplicate_groups": lambda m: snapshot.duplicate_groups(m.latest),
     "duplicate_flag": lambda m: m.problems.select(*FLAG_KEYS, "duplic"),
     "closure": lambda m: m.closure,

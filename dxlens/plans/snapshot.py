@@ -76,7 +76,7 @@ def busiest_patient(log: DataFrame) -> DataFrame:
     return counts.agg(F.min_by("ptid", F.struct(-F.col("problems"), F.col("ptid"))).alias("ptid"))
 
 
-def _patient_rows(df: DataFrame, patient: DataFrame | int) -> DataFrame:
+def patient_rows(df: DataFrame, patient: DataFrame | int) -> DataFrame:
     """Rows of one patient: ``patient`` is an id or a one-row ``ptid`` frame."""
     if isinstance(patient, DataFrame):
         return df.join(patient.select("ptid"), "ptid", "left_semi")
@@ -85,7 +85,7 @@ def _patient_rows(df: DataFrame, patient: DataFrame | int) -> DataFrame:
 
 def patient_timeline(log: DataFrame, names: DataFrame, patient: DataFrame | int) -> DataFrame:
     """One patient's edits with concept names."""
-    p = _patient_rows(log, patient)
+    p = patient_rows(log, patient)
     n = names.select("conceptid", "term")
     return (p.join(n, p.snomed == n.conceptid)
             .select("ptid", "probid", "pdxid", "dischid", "snomed", "term", "admitdate", "noteddate",
@@ -94,13 +94,13 @@ def patient_timeline(log: DataFrame, names: DataFrame, patient: DataFrame | int)
 
 def patient_mrns(log: DataFrame, patient: DataFrame | int) -> DataFrame:
     """Distinct record numbers of one patient."""
-    return _patient_rows(log, patient).select("mrn").distinct()
+    return patient_rows(log, patient).select("mrn").distinct()
 
 
 def patient_snapshot(log: DataFrame, disch: DataFrame, names: DataFrame, patient: DataFrame | int,
                      hot: DataFrame | None = None) -> DataFrame:
     """D5 for one patient: both sides pinned to the patient before the join."""
-    return snapshot(_patient_rows(log, patient), _patient_rows(disch, patient), names, hot=hot)
+    return snapshot(patient_rows(log, patient), patient_rows(disch, patient), names, hot=hot)
 
 
 # ----------------------------------------------------------------------- D5
