@@ -279,3 +279,21 @@ def test_one_patient_jobs_accept_an_id(spark):
     assert by_id.count() == by_frame.count() > 0
     snap = snapshot.patient_snapshot(m.log, m.inputs.disch, m.names, pid)
     assert snap.where(F.col("ptid") != pid).count() == 0 and snap.count() > 0
+
+
+def test_day_logic_ignores_the_session_time_zone(spark):
+    rows = [
+        {**EDIT, "probid": 1, "entrydate": ts("2024-01-20 23:30"), "resoldate": ts("2024-01-21 00:30")},
+        {**EDIT, "probid": 2, "entrydate": ts("2024-01-20 00:10")},
+        {**EDIT, "probid": 3, "entrydate": ts("2024-01-05 09:00"), "deldate": ts("2024-01-20 23:59")},
+    ]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        results = []
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            results.append(sorted((r.probid, r.datediff) for r in _snapshot(spark, rows, [STAY]).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert results[0] == results[1] == results[2]
+    assert [p for p, _ in results[0]] == [1, 2]
