@@ -68,19 +68,18 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class TaskFile:
-    """A file written by one task: it appears under its name only when complete.
+    """A file written by one task under a name of its own.
 
-    A retried or speculative attempt writes its own hidden file and then moves
-    it over the final name; contents are deterministic, so the last move wins
-    without harm.
+    Every attempt of a task writes another file; only the rows of the attempt
+    that Spark commits name their file, so files of retried or speculative
+    attempts are never read.
     """
 
-    def __init__(self, uri: str):
-        self.fs, self.path = open_fs(uri)
-        folder, _, name = self.path.rpartition("/")
-        self.fs.create_dir(folder, recursive=True)
-        self.temp = f"{folder}/.{name}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.temp)
+    def __init__(self, folder: str, prefix: str, suffix: str = ""):
+        self.uri = f"{folder}/{prefix}-{uuid.uuid4().hex}{suffix}"
+        self.fs, path = open_fs(self.uri)
+        self.fs.create_dir(path.rpartition("/")[0], recursive=True)
+        self.out = self.fs.open_output_stream(path, compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> int:
@@ -92,11 +91,26 @@ class TaskFile:
 
     def close(self) -> None:
         self.out.close()
-        self.fs.move(self.temp, self.path)
 
-    def discard(self) -> None:
-        self.out.close()
-        self.fs.delete_file(self.temp)
+
+class RangeReader:
+    """Reads byte ranges of files by URI, keeping the last file open."""
+
+    def __init__(self):
+        self.uri, self.file = None, None
+
+    def read(self, uri: str, offset: int, length: int) -> bytes:
+        if uri != self.uri:
+            self.close()
+            filesystem, path = open_fs(uri)
+            self.uri, self.file = uri, filesystem.open_input_file(path)
+        self.file.seek(offset)
+        return self.file.read(length)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.uri, self.file = None, None
 
 
 def utf8(column: str = "text") -> F.Column:
