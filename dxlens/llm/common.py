@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dxlens.sources.sinks import delete_path, table_root
@@ -155,3 +155,23 @@ def keys_joined(left: DataFrame, right: DataFrame, on: list[str], how: str) -> D
         test = left[c].eqNullSafe(renamed[f"_r_{c}"])
         cond = test if cond is None else cond & test
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
+
+
+def running_totals(df: DataFrame, order: list[str], weight: str, scratch: Scratch, name: str) -> DataFrame:
+    """``df`` with ``before``: the sum of ``weight`` over all rows that come earlier in the order.
+
+    The rows are range-partitioned and stored with their partition number; the totals of
+    the partitions (one row each) are summed up on the driver, and a window inside
+    each partition adds the rest, so no task sees more than one partition.
+    """
+    spark = df.sparkSession
+    dealt = scratch.table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    before, so_far = [], 0
+    for part, total in sorted(dealt.groupBy("_part").agg(F.sum(weight)).collect()):
+        before.append((part, so_far))
+        so_far += total or 0
+    starts = spark.createDataFrame(before, "_part int, _start long")
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (dealt.join(F.broadcast(starts), "_part")
+            .withColumn("before", F.col("_start") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+            .drop("_part", "_start"))

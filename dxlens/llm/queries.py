@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dxlens.llm import line_dedup, warc
+from dxlens.llm import line_dedup, token_files, warc
 from dxlens.llm.common import read
 
 QUERIES = {}
@@ -61,3 +61,19 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'res
        CASE WHEN page_id <> top THEN top END AS refers_to
 FROM d
 """
+
+
+TOKENIZER_FILE = "word_bpe_49k.json"
+END_ID = 2
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER_FILE))
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_files.write_store(read(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+    return token_files.read_ids(store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
