@@ -226,7 +226,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch |
         order = np.argsort(mph.lookup(h1, h2))
         files, file = np.unique(table["file"].to_pandas().to_numpy(str), return_inverse=True)
         column = {c: table[c].to_numpy()[order] for c in ("shard", "offset", "n_tokens")}
-        arrays = pack(**mph.to_arrays(), prints=fingerprint(h1, h2)[order], files=files, file=file[order].astype(np.int32), **column)
+        arrays = pack(**mph.to_arrays(), prints=fingerprint(h1, h2)[order], files=files, file_of=file[order].astype(np.int32), **column)
         return pa.table({"index_shard": table["index_shard"].slice(0, 1), "arrays": pa.array([arrays], pa.binary())})
 
     index = scratch.table(_with_shard(entries, shards).groupBy("index_shard")
@@ -248,7 +248,7 @@ def locate(store: TokenStore, keys: DataFrame) -> DataFrame:
         held = np.flatnonzero((slot >= 0) & (arrays["prints"][slot] == fingerprint(h1, h2)))
         slot = slot[held]
         return (wanted.select(["doc_id", "occurrence"]).take(pa.array(held))
-                .append_column("file", pa.array(arrays["files"][arrays["file"][slot]], pa.string()))
+                .append_column("file", pa.array(arrays["files"][arrays["file_of"][slot]], pa.string()))
                 .append_column("shard", pa.array(arrays["shard"][slot]))
                 .append_column("offset", pa.array(arrays["offset"][slot]))
                 .append_column("n_tokens", pa.array(arrays["n_tokens"][slot])))
