@@ -157,7 +157,7 @@ def keys_joined(left: DataFrame, right: DataFrame, on: list[str], how: str) -> D
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
-def running_totals(df: DataFrame, order: list[str], weight: str, scratch: Scratch, name: str) -> DataFrame:
+def running_totals(df: DataFrame, order: list, weight: str, scratch: Scratch, name: str) -> DataFrame:
     """``df`` with ``before``: the sum of ``weight`` over all rows that come earlier in the order.
 
     The rows are range-partitioned and stored with their partition number; the totals of

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dxlens.llm import line_dedup, token_files, warc
+from dxlens.llm import line_dedup, mixing, token_files, warc
 from dxlens.llm.common import read
 
 QUERIES = {}
@@ -63,6 +63,39 @@ FROM d
 """
 
 
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+# the water level in closed form: sources sorted by the level at which they reach
+# their cap; the sources before the first one that stays open are capped
+ORACLE_SQL["op4_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w
+  FROM d GROUP BY source),
+c AS (
+  SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS total, 3.0::DOUBLE * source_size / w AS reach,
+         coalesce(sum(3 * source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+         sum(w) OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
+  FROM s),
+l AS (SELECT min((total - capped) / open_w::DOUBLE) FILTER ((total - capped) / open_w::DOUBLE <= reach) AS level FROM c),
+t AS (SELECT source, source_size, least(cap::DOUBLE, w * level) AS target FROM c, l),
+f AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target + 1e-6)::BIGINT // source_size ELSE 0 END AS passes FROM t),
+o AS (
+  SELECT d.doc_id, d.size, f.source_size, f.target, f.passes, floor(f.target + 1e-6)::BIGINT - f.passes * f.source_size AS rest,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, (passes * size + greatest(0, least(size, rest - pos)))::BIGINT AS taken FROM o
+"""
+
+
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 
