@@ -84,7 +84,7 @@ c AS (
          coalesce(sum(3 * source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
          sum(w) OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
   FROM s),
-l AS (SELECT min((total - capped) / open_w::DOUBLE) FILTER ((total - capped) / open_w::DOUBLE <= reach) AS level FROM c),
+l AS (SELECT arg_min((total - capped) / open_w::DOUBLE, reach) FILTER ((total - capped) / open_w::DOUBLE <= reach) AS level FROM c),
 t AS (SELECT source, source_size, least(cap::DOUBLE, w * level) AS target FROM c, l),
 f AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target + 1e-6)::BIGINT // source_size ELSE 0 END AS passes FROM t),
