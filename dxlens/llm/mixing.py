@@ -109,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
             .withColumn("to", F.least(end - F.col("block") * block_words, F.lit(block_words))))
     slots = schedule(sources, scratch, block_words).select("number", "block", "words")
     met = held.join(slots, ["number", "block"], "left")
-    takes = F.greatest(F.least(F.col("to"), F.col("words")) - F.col("from"), F.lit(0))
+    takes = F.greatest(F.least(F.col("to"), F.coalesce("words", F.lit(0))) - F.col("from"), F.lit(0))
     taken = met.groupBy(*row, "number", "offset").agg(F.coalesce(F.sum(takes), F.lit(0)).alias("taken")).drop("number", "offset")
     return taken.unionByName(stream.where("size = 0").select(*row, F.lit(0).cast("long").alias("taken")))
 
