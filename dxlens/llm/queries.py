@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dxlens.llm import line_dedup, mixing, token_files, warc
+from dxlens.llm import line_dedup, mixing, simhash, token_files, warc
 from dxlens.llm.common import read
 
 QUERIES = {}
@@ -96,6 +96,12 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, (passes * size + g
 """
 
 
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 
