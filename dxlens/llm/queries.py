@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dxlens.llm import line_dedup, mixing, simhash, token_files, warc
+from dxlens.llm import decontaminate, line_dedup, mixing, simhash, token_files, warc
 from dxlens.llm.common import read
 
 QUERIES = {}
@@ -102,6 +102,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contaminations(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "distance", F.col("start").alias("match_start"), F.col("stop").alias("match_stop"))
+
+
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 
