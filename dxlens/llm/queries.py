@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dxlens.llm import decontaminate, line_dedup, mixing, simhash, token_files, warc
+from dxlens.llm import decontaminate, langid, line_dedup, mixing, simhash, token_files, toxicity, warc
 from dxlens.llm.common import read
+from dxlens.llm.subwords import held_out
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -108,6 +109,21 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "item_id", "distance", F.col("start").alias("match_start"), F.col("stop").alias("match_stop"))
 
 
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.fit(docs))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out().alias("held_out"), "score",
+                      (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 
