@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dxlens.llm import decontaminate, langid, line_dedup, mixing, simhash, token_files, toxicity, warc
+from dxlens.llm import decontaminate, langid, line_dedup, mixing, simhash, substring_dedup, token_files, toxicity, warc
 from dxlens.llm.common import read
 from dxlens.llm.subwords import held_out
 
@@ -124,6 +124,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(read(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op3_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d),
+h AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + 19], ' ')) AS k FROM w),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM h) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM r, range(20) AS t(o)),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+kept AS (
+  SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.i) FILTER (g.i IS NULL) AS text, count(g.i) AS n_removed
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 
