@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs
@@ -17,7 +18,7 @@ from dxlens.sources.sinks import delete_path, table_root
 WHITE = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_LIVE: list["Scratch"] = []
+_RECORDERS: list[list["Scratch"]] = []
 
 
 class Scratch:
@@ -31,7 +32,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{_with_authority(table_root(spark))}/{name}-{uuid.uuid4().hex}"
-        _LIVE.append(self)
+        for made in _RECORDERS:
+            made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -49,10 +51,15 @@ class Scratch:
         delete_path(self.spark, self.root)
 
 
-def release_all() -> None:
-    """Delete the scratch data of earlier calls whose results have been stored elsewhere."""
-    while _LIVE:
-        _LIVE.pop().release()
+@contextmanager
+def recording() -> Iterator[list[Scratch]]:
+    """Collects the scratch folders made inside the block."""
+    made: list[Scratch] = []
+    _RECORDERS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDERS.remove(made)
 
 
 def _with_authority(uri: str) -> str:
