@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dxlens.llm import decontaminate, langid, line_dedup, mixing, simhash, substring_dedup, token_files, toxicity, warc
+from dxlens.llm import ann, decontaminate, langid, line_dedup, mixing, simhash, substring_dedup, token_files, toxicity, warc
 from dxlens.llm.common import read
 from dxlens.llm.subwords import held_out
 
@@ -145,6 +145,12 @@ FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+@query
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 
