@@ -61,16 +61,20 @@ def prefixes(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray
 
 
 def build(ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> bytes:
-    """One shard: vectors by id, and the inverted files of all pivots end to end."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
+    """One shard: its different vectors, each with its ids in order, and the inverted files of all pivots end to end.
+
+    Equal vectors are one entry, so that a much-copied vector takes one place among the candidates.
+    """
+    vectors, which = np.unique(vectors, axis=0, return_inverse=True)
+    order = np.lexsort((ids, which.ravel()))
+    owned = np.searchsorted(which.ravel()[order], np.arange(len(vectors) + 1))
     orders = prefixes(vectors, pivots, prefix)
-    member = np.repeat(np.arange(len(ids), dtype=np.int32), orders.shape[1])
-    position = np.tile(np.arange(orders.shape[1], dtype=np.int16), len(ids))
+    member = np.repeat(np.arange(len(vectors), dtype=np.int32), orders.shape[1])
+    position = np.tile(np.arange(orders.shape[1], dtype=np.int16), len(vectors))
     pivot = orders.ravel()
     by_pivot = np.argsort(pivot, kind="stable")
     files = np.searchsorted(pivot[by_pivot], np.arange(len(pivots) + 1))
-    return pack(ids=ids, vectors=vectors, files=files, member=member[by_pivot], position=position[by_pivot])
+    return pack(ids=ids[order], owned=owned, vectors=vectors, files=files, member=member[by_pivot], position=position[by_pivot])
 
 
 def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -88,20 +92,22 @@ def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 def search(shard, query_id: int, query: np.ndarray, order: np.ndarray, k: int, prefix: int, share: float,
            min_candidates: int) -> list[tuple[int, float]]:
     """(id, cosine) of the shard's ``k`` best: candidates by footrule, reranked."""
-    ids, files = shard["ids"], shard["files"]
+    files, owned, vectors = shard["files"], shard["owned"], shard["vectors"]
     spans = [slice(files[p], files[p + 1]) for p in order]
     members = np.concatenate([shard["member"][s] for s in spans])
     shared = np.concatenate([prefix - np.maximum(shard["position"][s], a) for a, s in enumerate(spans)])
-    overlap = np.bincount(members, weights=shared, minlength=len(ids))
-    overlap[ids == query_id] = -1
-    wanted = max(min_candidates, int(np.ceil(share * len(ids))))
-    # smaller is nearer: footrule is a constant less twice the overlap; members stand in id order
-    footrule = (-overlap * len(ids) + np.arange(len(ids))).astype(np.int64)
-    near = np.argpartition(footrule, wanted - 1)[:wanted] if wanted < len(ids) else np.arange(len(ids))
-    near = near[overlap[near] >= 0]
-    score = cosines(shard["vectors"][near], query)
-    best = np.lexsort((ids[near], -score))[:k]
-    return list(zip(ids[near][best].tolist(), score[best].tolist()))
+    overlap = np.bincount(members, weights=shared, minlength=len(vectors))
+    wanted = max(min_candidates, int(np.ceil(share * len(vectors))))
+    # smaller is nearer: the footrule distance is a constant less twice the overlap
+    near = np.argpartition(-overlap, wanted - 1)[:wanted] if wanted < len(vectors) else np.arange(len(vectors))
+    score = cosines(vectors[near], query)
+    # the k + 1 best vectors, ties by smallest id, hold the k best ids besides the query's own
+    best = np.lexsort((shard["ids"][owned[near]], -score))[:k + 1]
+    hits = []
+    for i in best:
+        held = shard["ids"][owned[near[i]]:owned[near[i] + 1]]
+        hits += [(int(x), float(score[i])) for x in held[held != query_id][:k]]
+    return sorted(hits, key=lambda hit: (-hit[1], hit[0]))[:k]
 
 
 def query_blocks(queries: DataFrame, size: int) -> Iterator[list[tuple[int, list[float]]]]:
@@ -148,7 +154,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "ve
             orders = prefixes(points, pivot_vectors, prefix)
             for (arrays,) in records(batches):
                 loaded = unpack(arrays)
-                shard = {name: loaded[name] for name in ("ids", "vectors", "files", "member", "position")}
+                shard = {name: loaded[name] for name in ("ids", "owned", "vectors", "files", "member", "position")}
                 out = [(done + i, q, *hit) for i, (q, point, order) in enumerate(zip(ids, points, orders))
                        for hit in search(shard, q, point, order, k, prefix, share, min_candidates)]
                 columns = list(zip(*out)) or [[]] * 4
