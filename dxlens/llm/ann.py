@@ -5,11 +5,13 @@ shard posts its vectors under their pivots (inverted files: local number and
 position).  A query visits the files of its own pivots; the positions met there give the footrule
 distance of the two orders, a pivot missing from a prefix counting as position ``prefix``:
 with a and b the positions of a shared pivot, the distance falls by 2 (prefix - max(a, b)).
-In every shard the best ``share`` by footrule (at least ``min_candidates``), ties by
-smaller id, is reranked by exact cosine in double precision, and the shards' best are merged.
+In every shard the best ``share`` by footrule (at least ``min_candidates``) is reranked by exact cosine in double precision, and the shards' best are merged.
 
-The pivots are a bounded sample: the first ``pivots`` different vectors among the 8 times as many
-that come first by a hash of their id (copies of one vector would rank all others alike).  All
+A crowd of alike vectors would fill every such share: vectors within an angle of cosine 0.95 of a leader
+form one entry, opened wherever the angle bound lets a member be among the best.
+
+The pivots are a bounded sample: the first ``pivots`` vectors, none alike, among the 8 times as many
+that come first by a hash of their id.  All
 vectors are indexed.  Queries are a stated set, searched in blocks of bounded size.
 
 Edge cases: vectors that are null, zero, of another length than most, or that hold null or non-finite
@@ -32,6 +34,7 @@ from dxlens.llm.mph import pack, unpack
 
 PIVOTS = 256
 DRAWS = 8
+SIMILAR = 0.95
 PREFIX = 64
 SHARE = 0.12
 MIN_CANDIDATES = 512
@@ -60,21 +63,53 @@ def prefixes(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray
     return np.argsort(-(unit(vectors) @ unit(pivots).T), axis=1, kind="stable")[:, :prefix].astype(np.int32)
 
 
-def build(ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> bytes:
-    """One shard: its different vectors, each with its ids in order, and the inverted files of all pivots end to end.
+def separated(drawn: np.ndarray, count: int, similar: float) -> np.ndarray:
+    """The first ``count`` vectors that are not ``similar`` to one taken before."""
+    units, taken = unit(drawn), []
+    for i in range(len(drawn)):
+        if len(taken) == count:
+            break
+        if not taken or (units[taken] @ units[i]).max() < similar:
+            taken.append(i)
+    return drawn[taken]
+
+
+def flocks(units: np.ndarray, nearest_pivot: np.ndarray, similar: float) -> np.ndarray:
+    """The leader of each vector: of the vectors with one nearest pivot, the first free one takes all ``similar`` ones."""
+    leader = np.full(len(units), -1)
+    for pivot in np.unique(nearest_pivot):
+        free = np.flatnonzero(nearest_pivot == pivot)
+        while len(free):
+            taken = units[free] @ units[free[0]] >= similar
+            taken[0] = True
+            leader[free[taken]] = free[0]
+            free = free[~taken]
+    return leader
+
+
+def build(ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, prefix: int, similar: float) -> bytes:
+    """One shard: flocks of alike vectors, one entry each, and the inverted files of all pivots end to end.
 
-    Equal vectors are one entry, so that a much-copied vector takes one place among the candidates.
+    A crowd of copies or near copies is one entry under its leader's permutation, so it
+    takes one place among the candidates; ``radius`` is the largest angle of a member to the leader.
     """
-    vectors, which = np.unique(vectors, axis=0, return_inverse=True)
-    order = np.lexsort((ids, which.ravel()))
-    owned = np.searchsorted(which.ravel()[order], np.arange(len(vectors) + 1))
-    orders = prefixes(vectors, pivots, prefix)
-    member = np.repeat(np.arange(len(vectors), dtype=np.int32), orders.shape[1])
-    position = np.tile(np.arange(orders.shape[1], dtype=np.int16), len(vectors))
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+    units, orders = unit(vectors), prefixes(vectors, pivots, prefix)
+    leader = flocks(units, orders[:, 0], similar)
+    by_leader = np.argsort(leader, kind="stable")
+    ids, vectors, units, leader = ids[by_leader], vectors[by_leader], units[by_leader], leader[by_leader]
+    leaders, owned = np.unique(leader, return_index=True)
+    angle = np.arccos(np.clip((units * units[np.repeat(owned, np.diff([*owned, len(ids)]))]).sum(axis=1), -1, 1))
+    radius = np.maximum.reduceat(angle, owned)
+    orders = orders[leaders]
+    member = np.repeat(np.arange(len(leaders), dtype=np.int32), orders.shape[1])
+    position = np.tile(np.arange(orders.shape[1], dtype=np.int16), len(leaders))
     pivot = orders.ravel()
     by_pivot = np.argsort(pivot, kind="stable")
     files = np.searchsorted(pivot[by_pivot], np.arange(len(pivots) + 1))
-    return pack(ids=ids[order], owned=owned, vectors=vectors, files=files, member=member[by_pivot], position=position[by_pivot])
+    return pack(ids=ids, vectors=vectors, owned=np.append(owned, len(ids)), radius=radius, files=files,
+                member=member[by_pivot], position=position[by_pivot])
 
 
 def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -92,22 +127,33 @@ def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 def search(shard, query_id: int, query: np.ndarray, order: np.ndarray, k: int, prefix: int, share: float,
            min_candidates: int) -> list[tuple[int, float]]:
     """(id, cosine) of the shard's ``k`` best: candidates by footrule, reranked."""
-    files, owned, vectors = shard["files"], shard["owned"], shard["vectors"]
+    files, owned, ids, vectors = shard["files"], shard["owned"], shard["ids"], shard["vectors"]
+    entries = len(owned) - 1
     spans = [slice(files[p], files[p + 1]) for p in order]
     members = np.concatenate([shard["member"][s] for s in spans])
     shared = np.concatenate([prefix - np.maximum(shard["position"][s], a) for a, s in enumerate(spans)])
-    overlap = np.bincount(members, weights=shared, minlength=len(vectors))
-    wanted = max(min_candidates, int(np.ceil(share * len(vectors))))
+    overlap = np.bincount(members, weights=shared, minlength=entries)
+    wanted = max(min_candidates, int(np.ceil(share * entries)))
     # smaller is nearer: the footrule distance is a constant less twice the overlap
-    near = np.argpartition(-overlap, wanted - 1)[:wanted] if wanted < len(vectors) else np.arange(len(vectors))
-    score = cosines(vectors[near], query)
-    # the k + 1 best vectors, ties by smallest id, hold the k best ids besides the query's own
-    best = np.lexsort((shard["ids"][owned[near]], -score))[:k + 1]
-    hits = []
-    for i in best:
-        held = shard["ids"][owned[near[i]]:owned[near[i] + 1]]
-        hits += [(int(x), float(score[i])) for x in held[held != query_id][:k]]
-    return sorted(hits, key=lambda hit: (-hit[1], hit[0]))[:k]
+    near = np.argpartition(-overlap, wanted - 1)[:wanted] if wanted < entries else np.arange(entries)
+    first = owned[near]
+    score = cosines(vectors[first], query)
+    alone = np.flatnonzero((owned[near + 1] - first == 1) & (ids[first] != query_id))
+    best = alone[np.lexsort((ids[first[alone]], -score[alone]))[:k]]
+    hits = [(int(ids[first[i]]), float(score[i])) for i in best]
+    # a member is at most ``radius`` nearer in angle than its leader: flocks are opened while that can matter
+    crowds = np.flatnonzero(owned[near + 1] - first > 1)
+    reach = np.cos(np.maximum(0, np.arccos(np.clip(score[crowds], -1, 1)) - shard["radius"][near[crowds]] - 1e-7))
+    for i in np.argsort(-reach, kind="stable"):
+        if len(hits) == k and reach[i] < hits[-1][1]:
+            break
+        held = slice(owned[near[crowds[i]]], owned[near[crowds[i]] + 1])
+        others = ids[held] != query_id
+        found = cosines(vectors[held][others], query)
+        best = np.lexsort((ids[held][others], -found))[:k]
+        hits += [(int(ids[held][others][j]), float(found[j])) for j in best]
+        hits = sorted(hits, key=lambda hit: (-hit[1], hit[0]))[:k]
+    return hits
 
 
 def query_blocks(queries: DataFrame, size: int) -> Iterator[list[tuple[int, list[float]]]]:
@@ -132,7 +178,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "ve
     dimensions = rows.limit(1).select(F.size("v")).collect()
     asked = usable(queries, id_column, vector_column).where(F.size("v") == (dimensions[0][0] if dimensions else 0))
     drawn = rows.orderBy(F.xxhash64("id"), "id", "v").limit(DRAWS * pivots).collect()
-    chosen = np.array(list(dict.fromkeys(tuple(r["v"]) for r in drawn))[:pivots])
+    chosen = separated(np.array([r["v"] for r in drawn]).reshape(len(drawn), -1), pivots, SIMILAR)
     prefix = min(prefix, len(chosen))
     shards = max(1, -(-rows.count() // rows_per_shard))
 
@@ -141,7 +187,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "ve
         if found:
             table = pa.Table.from_batches(found).combine_chunks()
             flat = table["v"].chunk(0).flatten().to_numpy().reshape(len(table), -1)
-            yield pa.RecordBatch.from_arrays([pa.array([build(table["id"].to_numpy(), flat, chosen, prefix)], pa.binary())], names=["arrays"])
+            yield pa.RecordBatch.from_arrays([pa.array([build(table["id"].to_numpy(), flat, chosen, prefix, SIMILAR)], pa.binary())], names=["arrays"])
 
     stored = scratch.table(rows.repartition(shards).mapInArrow(index, "arrays binary"), "index")
     result = spark.createDataFrame([], "query_row long, query_id long, vec_id long, score double")
@@ -154,7 +200,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "ve
             orders = prefixes(points, pivot_vectors, prefix)
             for (arrays,) in records(batches):
                 loaded = unpack(arrays)
-                shard = {name: loaded[name] for name in ("ids", "owned", "vectors", "files", "member", "position")}
+                shard = {name: loaded[name] for name in ("ids", "vectors", "owned", "radius", "files", "member", "position")}
                 out = [(done + i, q, *hit) for i, (q, point, order) in enumerate(zip(ids, points, orders))
                        for hit in search(shard, q, point, order, k, prefix, share, min_candidates)]
                 columns = list(zip(*out)) or [[]] * 4
