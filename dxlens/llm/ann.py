@@ -178,7 +178,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "ve
     dimensions = rows.limit(1).select(F.size("v")).collect()
     asked = usable(queries, id_column, vector_column).where(F.size("v") == (dimensions[0][0] if dimensions else 0))
     drawn = rows.orderBy(F.xxhash64("id"), "id", "v").limit(DRAWS * pivots).collect()
-    chosen = separated(np.array([r["v"] for r in drawn]).reshape(len(drawn), -1), pivots, SIMILAR)
+    chosen = separated(np.array([r["v"] for r in drawn] or np.zeros((0, 1))), pivots, SIMILAR)
     prefix = min(prefix, len(chosen))
     shards = max(1, -(-rows.count() // rows_per_shard))
 

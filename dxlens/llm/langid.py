@@ -55,8 +55,8 @@ class Model:
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """The machines' margins of each word."""
-        if not words:
-            return np.zeros((0, len(self.bias)), np.float32)
+        if not words or not len(self.bias):
+            return np.zeros((len(words), len(self.bias)), np.float32)
         buckets, starts = subwords(words)
         sizes = np.diff([*starts, len(buckets)])
         return np.stack([np.add.reduceat(self.weight[:, k][buckets], starts) / sizes for k in range(len(self.bias))],

@@ -120,18 +120,19 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     The last epoch covers the start of each source's stream, so a partly taken document gives its first words.
     """
     columns = docs.columns
-    plan = mix(docs, **options).where("taken > 0").select("doc_id", "text_hash", "size", "taken")
+    plan = mix(docs, **options).where("taken > 0").select(
+        "doc_id", F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     # identical rows are told apart by number on both sides
-    key = ["doc_id", "text_hash"]
-    plan = plan.withColumn("twin", F.row_number().over(Window.partitionBy(*key).orderBy("taken")))
-    rows = docs.withColumn("text_hash", F.xxhash64("text"))
-    rows = rows.withColumn("twin", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
-    met = keys_joined(rows, plan, [*key, "twin"], "inner")
-    passes = F.ceil(F.col("taken") / F.col("size"))
-    part = F.col("taken") - F.col("pass") * F.col("size")
+    key = ["doc_id", "_hash"]
+    plan = plan.withColumn("_twin", F.row_number().over(Window.partitionBy(*key).orderBy("_taken")))
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    rows = rows.withColumn("_twin", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+    met = keys_joined(rows, plan, [*key, "_twin"], "inner")
+    passes = F.ceil(F.col("_taken") / F.col("_size"))
+    part = F.col("_taken") - F.col("_pass") * F.col("_size")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(part >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), part.cast("int")), " "))
-    out = met.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1))).withColumn("text", text)
+    text = F.when(part >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), part.cast("int")), " "))
+    out = met.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1))).withColumn("text", text)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)

@@ -31,10 +31,10 @@ from dxlens.llm.common import utf8
 from dxlens.llm.subwords import BUCKETS, Bags, held_out, subwords, tokens
 
 DIMENSIONS = 4
-MIN_TEXTS = 30
+MIN_TEXTS = 8
 PAD = 40
 FLOOR = 0.03
-DECAY = 0.03
+DECAY = 0.005
 MAX_ROWS = 3000
 MAX_BYTES = 12 << 20
 STEPS = 100
