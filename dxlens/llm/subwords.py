@@ -19,8 +19,19 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").decode("utf-8", "replace").lower().encode().split()
 
 
-def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, starts): the buckets of each word's n-grams and of the word itself; ``starts`` marks each word's first."""
+def subwords(words: list[bytes], chunk: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, starts): the buckets of each word's n-grams and of the word itself; ``starts`` marks each word's first.
+
+    Words are worked off in chunks, so that the hashes in between stay small.
+    """
+    if len(words) <= chunk:
+        return _subwords(words)
+    parts = [_subwords(words[i:i + chunk]) for i in range(0, len(words), chunk)]
+    shifts = np.cumsum([0, *(len(b) for b, _ in parts[:-1])])
+    return np.concatenate([b for b, _ in parts]), np.concatenate([s + x for (_, s), x in zip(parts, shifts)])
+
+
+def _subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     marked = [b"<" + (w.strip(TRIM) or w) + b">" for w in words]
     lengths = np.array([len(w) for w in marked])
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
@@ -45,7 +56,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     who = np.concatenate(whose)
     order = np.argsort(who, kind="stable")
-    buckets = ((h ^ (h >> np.uint64(32))) % np.uint64(BUCKETS)).astype(np.int64)[order]
+    buckets = ((h ^ (h >> np.uint64(32))) % np.uint64(BUCKETS)).astype(np.int32)[order]
     return buckets, np.searchsorted(who[order], np.arange(len(words)))
 
 

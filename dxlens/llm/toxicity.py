@@ -36,7 +36,7 @@ PAD = 40
 FLOOR = 0.03
 DECAY = 0.005
 MAX_ROWS = 3000
-MAX_BYTES = 12 << 20
+MAX_BYTES = 8 << 20
 STEPS = 100
 RATE = 0.25
 THRESHOLD = 0.3
@@ -77,12 +77,16 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, rate: floa
     word, doc, count = np.concatenate(word), np.concatenate(doc), np.concatenate(count)
     buckets, starts = subwords(list(vocabulary)) if vocabulary else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     sizes = np.diff([*starts, len(buckets)])
-    owner = np.repeat(np.arange(len(vocabulary)), sizes)
+    owner = np.repeat(np.arange(len(vocabulary), dtype=np.int32), sizes)
     # a bucket met in few texts can only be learned by heart
     met = np.bincount(buckets, weights=np.bincount(word, minlength=len(vocabulary))[owner], minlength=BUCKETS)
     kept = met[buckets] >= MIN_TEXTS
-    used, column = np.unique(buckets[kept], return_inverse=True)
-    grams = Bags(owner[kept], column, (1 / sizes[owner[kept]]).astype(np.float32), len(vocabulary), len(used))
+    buckets, owner = buckets[kept], owner[kept]
+    used = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS))
+    column = np.zeros(BUCKETS, np.int32)
+    column[used] = np.arange(len(used))
+    grams = Bags(owner, column[buckets], (1 / sizes)[owner].astype(np.float32), len(vocabulary), len(used))
+    del buckets, owner, kept
     bags = Bags(doc, word, count, len(texts), len(vocabulary))
 
     rng = np.random.default_rng(seed)
