@@ -19,7 +19,7 @@ def safe_div(num: Column, den: Column) -> Column:
 def int_div(num: Column, den: Column) -> Column:
     """Exact truncating division of two integers; NULL on a zero denominator."""
     num, den = num.cast("long"), den.cast("long")
-    return F.when(den != 0, ((num - num % den) / den).cast("long"))
+    return F.call_function("div", num, F.nullif(den, F.lit(0).cast("long")))
 
 
 def percent(num: Column, den: Column, integer_ratio: bool = False) -> Column:

@@ -1,4 +1,4 @@
-"""Bounded transitive closure of a directed graph from a seed set.
+"""Transitive closure of a directed graph from a seed set.
 
 Breadth-first search, one DataFrame join per level:
 
@@ -8,9 +8,9 @@ Breadth-first search, one DataFrame join per level:
       -> new frontier at depth + 1, appended to visited
 
 A pair is first reached at its smallest depth, so visited pairs never need a
-second expansion; the result equals "min depth over all paths of length
-<= max_depth" without enumerating paths, which would explode on a
-poly-hierarchy.  The driver only loops over levels (at most ``max_depth``) and
+second expansion; the result is the least depth over all paths without
+enumerating paths, which would explode on a poly-hierarchy.  The search ends, on
+cycles too, when a level finds nothing new; ``max_depth`` stops it earlier.  The driver only loops over levels and
 asks whether the new level is empty; all rows stay on the executors.  The
 edge table is distinct and checkpointed once; the planner broadcasts it when
 its stored size is under the broadcast threshold (a terminology-sized table),
@@ -27,14 +27,12 @@ from pyspark.sql import functions as F
 
 from dxlens.session import ensure_checkpoint_dir
 
-DEFAULT_MAX_DEPTH = 15
 
-
-def descendant_closure(edges: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
+def descendant_closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
                        child: str = "sourceid", parent: str = "destinationid", seed_col: str = "conceptid",
                        out_ancestor: str = "destinationid", out_descendant: str = "sourceid",
                        out_depth: str = "depth") -> DataFrame:
-    """All (seed, descendant, min depth) with 1 <= depth <= ``max_depth``.
+    """All (seed, descendant, min depth), up to ``max_depth`` levels down if given.
 
     ``edges`` holds the edges to follow (already filtered, e.g. to active is-a
     edges); ``seeds`` the start concepts.  A seed is its own descendant only
@@ -42,7 +40,7 @@ def descendant_closure(edges: DataFrame, seeds: DataFrame, max_depth: int = DEFA
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).distinct()
+    e = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).distinct().repartition("parent")
     e = e.checkpoint(eager=True)
     s = seeds.select(F.col(seed_col).alias("seed")).where(F.col("seed").isNotNull()).distinct()
 
@@ -53,7 +51,7 @@ def descendant_closure(edges: DataFrame, seeds: DataFrame, max_depth: int = DEFA
     levels = [level]
     visited = level
     depth = 1
-    while depth < max_depth and not level.isEmpty():
+    while (max_depth is None or depth < max_depth) and not level.isEmpty():
         nxt = (level.join(e, level.node == e.parent)
                .where(F.col("child") != F.col("seed"))
                .select("seed", F.col("child").alias("node")).distinct())

@@ -5,14 +5,15 @@ keep pairs that satisfy day-level range conditions.  The equi key (patient) is
 the only hashable part, so one patient with a large share of all rows would put
 all of its pairs into one task.
 
-:func:`hot_key_join` splits such keys on a grid.  Per key it counts the rows of
-both sides (map-side pre-aggregated counts); a key with more than ``hot_rows``
-rows on either side gets ``a`` buckets for the large side and ``b`` for the
-small side (each ``ceil(rows / hot_rows)``, capped).  A large-side row goes to
+:func:`hot_key_join` splits such keys on a grid.  A key costs rows x rows, so
+per key it counts the rows of both sides (map-side pre-aggregated counts); a key
+of more than ``task_pairs`` pairs gets ``a`` buckets for the large side and ``b``
+for the small side, ``a * b`` cells of about ``task_pairs`` pairs each, as near
+to square as the sides allow.  A large-side row goes to
 bucket ``hash(row id) % a`` and is copied to every small bucket; a small-side
 row goes to ``hash(row id) % b`` and is copied to every large bucket; the join
 then runs on (key, large bucket, small bucket), so every pair meets in exactly
-one task of at most about ``hot_rows`` rows per side.  With one side cold this
+one task.  When the small side is never split (no row id) this
 is plain salting (``b = 1``).  Buckets come from hashes, not random numbers, so
 a partition recomputed after an executor loss lands in the same buckets.  Cold
 keys keep bucket (0, 0) and join as usual.
@@ -25,38 +26,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_HOT_ROWS = 2_000_000
-DEFAULT_MAX_BUCKETS = 4096
+DEFAULT_TASK_PAIRS = 50_000_000
 
 
-def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int, max_buckets: int,
-             small: DataFrame | None = None) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows on either side: ``_buckets`` (large
-    side) and ``_spread`` (small side) bucket counts.
+def hot_keys(big: DataFrame, keys: Sequence[str], task_pairs: int, small: DataFrame,
+             split_small: bool = True) -> DataFrame:
+    """Keys of more than ``task_pairs`` pairs: ``_buckets`` (large side) and ``_spread`` (small side).
 
-    At most ``rows(big) / hot_rows + rows(small) / hot_rows`` keys qualify,
-    which bounds the size of this table and makes it safe to broadcast.
+    Such a key has at least ``2 * sqrt(task_pairs)`` rows, so the table is small against
+    its inputs; how it is joined is left to the planner, which knows its size.
     """
     def counted(df, name):
-        return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-                .where(F.col(name) > hot_rows))
-
-    hot = counted(big, "_nb")
-    if small is not None:
-        hot = hot.join(counted(small, "_ns"), list(keys), "full")
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+    hot = counted(big, "_nb").join(counted(small, "_ns"), list(keys)).where(
+        F.col("_nb").cast("double") * F.col("_ns") > task_pairs)
+    cells = F.ceil(F.col("_nb").cast("double") * F.col("_ns") / task_pairs)
+    if split_small:
+        a = F.least(F.col("_nb"), F.greatest(F.lit(1), F.ceil(F.sqrt(cells * F.col("_nb") / F.col("_ns")))))
+        b = F.greatest(F.lit(1), F.least(F.col("_ns"), F.ceil(cells / a)))
     else:
-        hot = hot.withColumn("_ns", F.lit(None).cast("long"))
-
-    def buckets(n):
-        return F.least(F.lit(max_buckets), F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / hot_rows)))
-
-    return hot.select(*keys, buckets(F.col("_nb")).cast("int").alias("_buckets"),
-                      buckets(F.col("_ns")).cast("int").alias("_spread"))
+        a, b = F.least(F.col("_nb"), cells), F.lit(1)
+    return hot.select(*keys, a.cast("int").alias("_buckets"), b.cast("int").alias("_spread"))
 
 
 def hot_key_join(big: DataFrame, small: DataFrame, keys: Sequence[str], residual: Column | None = None,
                  *, row_id: Sequence[str], small_row_id: Sequence[str] | None = None,
-                 hot_rows: int = DEFAULT_HOT_ROWS, max_buckets: int = DEFAULT_MAX_BUCKETS,
+                 task_pairs: int = DEFAULT_TASK_PAIRS,
                  big_alias: str = "b", small_alias: str = "s", hot: DataFrame | None = None) -> DataFrame:
     """Inner join ``big`` and ``small`` on ``keys`` and ``residual``.
 
@@ -69,8 +65,7 @@ def hot_key_join(big: DataFrame, small: DataFrame, keys: Sequence[str], residual
     by default it is computed from both sides.
     """
     if hot is None:
-        hot = hot_keys(big, keys, hot_rows, max_buckets, small if small_row_id else None)
-    hot = F.broadcast(hot)
+        hot = hot_keys(big, keys, task_pairs, small, bool(small_row_id))
     a = F.coalesce(F.col("_buckets"), F.lit(1))
     b = F.coalesce(F.col("_spread"), F.lit(1)) if small_row_id else F.lit(1)
 

@@ -17,6 +17,9 @@ from dxlens.plans import billing, snapshot, stays
 from dxlens.plans.pipeline import Inputs, ProblemListMetrics
 from dxlens.sources.bridge import STUDY_END, load_bridge
 
+# depth limit of the original closure statement; the library itself has none
+REFERENCE_DEPTH = 15
+
 FLAG_KEYS = ["dischid", "conceptid", "probid", "pdxid"]
 
 
@@ -28,7 +31,8 @@ def metrics(spark: SparkSession, sf_dir: str, integer_ratio: bool = False,
     query is built, so each returned plan stays small and starts from stored results.
     """
     return ProblemListMetrics(Inputs.from_mapping(load_bridge(spark, sf_dir)), study_end=STUDY_END,
-                              integer_ratio=integer_ratio, materialise=materialise)
+                              integer_ratio=integer_ratio, materialise=materialise,
+                              max_depth=REFERENCE_DEPTH)
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:

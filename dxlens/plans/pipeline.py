@@ -18,8 +18,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dxlens.operators.closure import DEFAULT_MAX_DEPTH
-from dxlens.operators.intervals import DEFAULT_HOT_ROWS, DEFAULT_MAX_BUCKETS, hot_keys
+from dxlens.operators.intervals import DEFAULT_TASK_PAIRS, hot_keys
 from dxlens.plans import billing, report, snapshot, stays, terminology
 from dxlens.sources.sinks import delete_path, materialise, publish, write_table
 
@@ -44,18 +43,18 @@ class ProblemListMetrics:
 
     ``integer_ratio`` reproduces truncating integer ratios (see
     :func:`dxlens.functions.ratios.percent`); ``study_end`` censors readmission
-    times; ``hot_rows`` is the per-patient edit count above which range joins
-    split a patient over several tasks.
+    times; ``task_pairs`` is the number of edit x stay pairs above which range joins
+    split a patient over several tasks; ``max_depth`` limits the closure (default: no limit).
     """
 
     def __init__(self, inputs: Inputs, *, study_end: str = DEFAULT_STUDY_END, integer_ratio: bool = False,
-                 materialise: str = "table", hot_rows: int = DEFAULT_HOT_ROWS,
-                 max_depth: int = DEFAULT_MAX_DEPTH):
+                 materialise: str = "table", task_pairs: int = DEFAULT_TASK_PAIRS,
+                 max_depth: int | None = None):
         self.inputs = inputs
         self.study_end = study_end
         self.integer_ratio = integer_ratio
         self.how = materialise
-        self.hot_rows = hot_rows
+        self.task_pairs = task_pairs
         self.max_depth = max_depth
         self._tables: list[str] = []
 
@@ -77,7 +76,7 @@ class ProblemListMetrics:
             delete_path(self.spark, path)
         self._tables.clear()
         for name in list(self.__dict__):
-            if name not in ("inputs", "study_end", "integer_ratio", "how", "hot_rows", "max_depth", "_tables"):
+            if name not in ("inputs", "study_end", "integer_ratio", "how", "task_pairs", "max_depth", "_tables"):
                 del self.__dict__[name]
 
     # -- terminology ---------------------------------------------------------
@@ -99,14 +98,12 @@ class ProblemListMetrics:
 
     @cached_property
     def hot_patients(self) -> DataFrame:
-        """Patients with more than ``hot_rows`` edits or stays, and their grid sizes.
+        """Patients with more than ``task_pairs`` edit x stay pairs, and their grid sizes.
 
         Shared by the three range joins (D5, D13, D14); the counts are upper
-        bounds for the distinct projections D14 joins.  At most
-        ``(edits + stays) / hot_rows`` rows.
+        bounds for the distinct projections D14 joins.
         """
-        return self._keep(hot_keys(self.log.where(F.col("ptid").isNotNull()), ["ptid"], self.hot_rows,
-                                   DEFAULT_MAX_BUCKETS,
+        return self._keep(hot_keys(self.log.where(F.col("ptid").isNotNull()), ["ptid"], self.task_pairs,
                                    small=self.inputs.disch.where(F.col("ptid").isNotNull())), "hot_patients")
 
     @cached_property
@@ -127,7 +124,7 @@ class ProblemListMetrics:
     @cached_property
     def snapshot_pairs(self) -> DataFrame:
         """D5 pairs without names (``dcprobstemp1`` before the name join)."""
-        return self._keep(snapshot.snapshot_pairs(self.log, self.inputs.disch, self.concepts, self.hot_rows,
+        return self._keep(snapshot.snapshot_pairs(self.log, self.inputs.disch, self.concepts, self.task_pairs,
                                                          self.hot_patients), "snapshot_pairs")
 
     @cached_property
@@ -184,13 +181,13 @@ class ProblemListMetrics:
     @cached_property
     def updated_during(self) -> DataFrame:
         """D13."""
-        return self._keep(stays.updated_during(self.log, self.inputs.disch, self.terms, self.hot_rows,
+        return self._keep(stays.updated_during(self.log, self.inputs.disch, self.terms, self.task_pairs,
                                                self.hot_patients), "updated_during")
 
     @cached_property
     def present_during(self) -> DataFrame:
         """D14."""
-        return self._keep(stays.present_during(self.log, self.inputs.disch, self.terms, self.hot_rows,
+        return self._keep(stays.present_during(self.log, self.inputs.disch, self.terms, self.task_pairs,
                                                self.hot_patients), "present_during")
 
     @cached_property

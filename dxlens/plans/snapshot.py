@@ -14,7 +14,7 @@ from dxlens.functions.keys import composite_key
 from dxlens.functions.ratios import percent
 from dxlens.functions.temporal import day, days_between, midnight, ts_literal
 from dxlens.operators.grouping import argmin_then_max, fill_from_group_min, flag_members, flag_repeats
-from dxlens.operators.intervals import DEFAULT_HOT_ROWS, hot_key_join
+from dxlens.operators.intervals import DEFAULT_TASK_PAIRS, hot_key_join
 
 # Fixed values of the longitudinal problem key.
 NOTED_SENTINEL = "1900-01-01 00:00:00"
@@ -106,7 +106,7 @@ def patient_snapshot(log: DataFrame, disch: DataFrame, names: DataFrame, patient
 # ----------------------------------------------------------------------- D5
 
 def snapshot_pairs(log: DataFrame, disch: DataFrame, concepts: DataFrame,
-                   hot_rows: int = DEFAULT_HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
+                   task_pairs: int = DEFAULT_TASK_PAIRS, hot: DataFrame | None = None) -> DataFrame:
     """D5 without names: every edit active at each discharge of its patient.
 
     At day level: noted <= discharge, entered <= discharge, and resolved or
@@ -125,7 +125,7 @@ def snapshot_pairs(log: DataFrame, disch: DataFrame, concepts: DataFrame,
                 & ((day(F.col("b.resoldate")) > dd) | (day(F.col("b.deldate")) > dd)
                    | (F.col("b.resoldate").isNull() & F.col("b.deldate").isNull())))
     pairs = hot_key_join(p, d, ["ptid"], residual, row_id=["probid"], small_row_id=["dischid"],
-                          hot_rows=hot_rows, hot=hot)
+                          task_pairs=task_pairs, hot=hot)
     cols = [F.col("b.snomed" if c == "conceptid" else f"{'s' if c in _FROM_DISCHARGE else 'b'}.{c}").alias(c)
             for c in SNAPSHOT_COLUMNS if c not in ("term", "datediff", "dcprobid")]
     cols.append(days_between(F.col("b.entrydate"), midnight(F.col("s.dischdate"))).alias("datediff"))
@@ -140,11 +140,11 @@ def attach_terms(df: DataFrame, names: DataFrame, columns: list[str] | None = No
     return out.select(*(columns or [*df.columns, "term"]))
 
 
-def snapshot(log: DataFrame, disch: DataFrame, names: DataFrame, hot_rows: int = DEFAULT_HOT_ROWS,
+def snapshot(log: DataFrame, disch: DataFrame, names: DataFrame, task_pairs: int = DEFAULT_TASK_PAIRS,
              hot: DataFrame | None = None) -> DataFrame:
     """Problem list at each discharge, with names."""
     concepts = names.select("conceptid").distinct()
-    return attach_terms(snapshot_pairs(log, disch, concepts, hot_rows, hot), names, SNAPSHOT_COLUMNS)
+    return attach_terms(snapshot_pairs(log, disch, concepts, task_pairs, hot), names, SNAPSHOT_COLUMNS)
 
 
 # ----------------------------------------------------------------------- D6

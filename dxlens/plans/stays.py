@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dxlens.functions.keys import composite_key, tuple_or_null
 from dxlens.functions.ratios import int_div, safe_div
 from dxlens.functions.temporal import day, days_between, midnight
-from dxlens.operators.intervals import DEFAULT_HOT_ROWS, hot_key_join
+from dxlens.operators.intervals import DEFAULT_TASK_PAIRS, hot_key_join
 
 
 def _still_open_at(admit) -> F.Column:
@@ -31,7 +31,7 @@ UPDATED_COLUMNS = [
 
 
 def updated_during(log: DataFrame, disch: DataFrame, names: DataFrame,
-                   hot_rows: int = DEFAULT_HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
+                   task_pairs: int = DEFAULT_TASK_PAIRS, hot: DataFrame | None = None) -> DataFrame:
     """Edits entered during a stay of the same patient (``updated_during``).
 
     Day level: entered between admission and discharge day, noted by the
@@ -51,7 +51,7 @@ def updated_during(log: DataFrame, disch: DataFrame, names: DataFrame,
     residual = ((day(F.col("b.noteddate")) <= dd) & _still_open_at(F.col("s.admitdate"))
                 & (ed <= dd) & (ed >= ad))
     pairs = hot_key_join(p, d, ["ptid"], residual, row_id=["probid"], small_row_id=["dischid"],
-                          hot_rows=hot_rows, hot=hot)
+                          task_pairs=task_pairs, hot=hot)
     since_admit = days_between(midnight(F.col("s.admitdate")), F.col("b.entrydate"))
     rows = pairs.select(
         F.col("s.ptid").alias("ptid"), F.col("s.dischid").alias("dischid"), F.col("b.pdxid").alias("pdxid"),
@@ -76,7 +76,7 @@ PRESENT_COLUMNS = [
 
 
 def present_during(log: DataFrame, disch: DataFrame, names: DataFrame,
-                   hot_rows: int = DEFAULT_HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
+                   task_pairs: int = DEFAULT_TASK_PAIRS, hot: DataFrame | None = None) -> DataFrame:
     """Distinct problems present during a stay (``present_during``).
 
     Noted by the discharge day and not closed before the admission day.  Both
@@ -92,7 +92,7 @@ def present_during(log: DataFrame, disch: DataFrame, names: DataFrame,
     residual = (day(F.col("b.noteddate")) <= day(F.col("s.dischdate"))) & _still_open_at(F.col("s.admitdate"))
     row_id = ["ptid", "pdxid", "snomed", "noteddate", "resoldate", "deldate", "picd9desc"]
     pairs = hot_key_join(p, d, ["ptid"], residual, row_id=row_id,
-                          small_row_id=["dischid", "admitdate", "dischdate"], hot_rows=hot_rows, hot=hot)
+                          small_row_id=["dischid", "admitdate", "dischdate"], task_pairs=task_pairs, hot=hot)
     rows = pairs.select(
         F.col("b.ptid").alias("ptid"), F.col("s.admitdate").alias("admitdate"),
         F.col("s.dischdate").alias("dischdate"), F.col("s.dischid").alias("dischid"),

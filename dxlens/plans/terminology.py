@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dxlens.functions.labels import first_label
-from dxlens.operators.closure import DEFAULT_MAX_DEPTH, descendant_closure
+from dxlens.operators.closure import descendant_closure
 from dxlens.operators.grouping import latest_per_group
 
 # Fixed values of the terminology release.
@@ -41,11 +41,6 @@ def current_names(descr: DataFrame, type_id: int = FSN_TYPE, dedupe: bool = Fals
     return latest_per_group(fsn, ["conceptid"], "effectivetime", keep_ties=not dedupe)
 
 
-def name_lookup(names: DataFrame) -> DataFrame:
-    """``(conceptid, term)`` for joining names onto problems."""
-    return names.select("conceptid", "term")
-
-
 def isa_edges(relats: DataFrame, type_id: int = ISA_TYPE) -> DataFrame:
     """Active is-a edges of any version (child ``sourceid`` -> parent ``destinationid``)."""
     return relats.where((F.col("typeid") == type_id) & (F.col("active") == 1)).select("sourceid", "destinationid")
@@ -56,7 +51,7 @@ def concept_seeds(problems: DataFrame) -> DataFrame:
     return problems.select("conceptid").where(F.col("conceptid").isNotNull()).distinct()
 
 
-def closure(relats: DataFrame, problems: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH) -> DataFrame:
+def closure(relats: DataFrame, problems: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(destinationid ancestor, sourceid descendant, depth)`` from the concepts in use."""
     return descendant_closure(isa_edges(relats), concept_seeds(problems), max_depth=max_depth)
 

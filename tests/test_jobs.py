@@ -29,6 +29,7 @@ def test_closure_depth_cap_and_shortest_path(spark):
     chain = [(k + 1, k) for k in range(17)]
     got = _closure(spark, chain, [0])
     assert got == {(0, k): k for k in range(1, 16)}
+    assert _closure(spark, chain, [0], max_depth=None) == {(0, k): k for k in range(1, 18)}
     # two paths to 12: 10 -> 11 -> 12 and 10 -> 12
     assert _closure(spark, [(11, 10), (12, 11), (12, 10)], [10]) == {(10, 11): 1, (10, 12): 1}
 

@@ -75,23 +75,30 @@ def test_flag_repeats_equals_having_update(spark):
         assert got == want, seed
 
 
-def test_closure_equals_recursive_union(spark):
+def _least_depths(edges, seed):
+    """Plain breadth-first search over a child list."""
+    children = {}
+    for child, parent in edges:
+        children.setdefault(parent, []).append(child)
+    depths, queue = {}, [(seed, 0)]
+    for node, depth in queue:
+        for child in children.get(node, ()):
+            if child not in depths and (child != seed or depth == 0):
+                depths[child] = depth + 1
+                if child != seed:
+                    queue.append((child, depth + 1))
+    return depths
+
+
+def test_closure_equals_plain_search(spark):
     for seed in range(4):
         rnd = random.Random(seed)
         edges = sorted({(rnd.randint(0, 25), rnd.randint(0, 25)) for _ in range(45)})
         seeds = sorted({rnd.randint(0, 25) for _ in range(5)})
         e = spark.createDataFrame(edges, "sourceid long, destinationid long")
         s = spark.createDataFrame([(x,) for x in seeds], "conceptid long")
-        got = _bag((r.destinationid, r.sourceid, r.depth)
-                   for r in descendant_closure(e, s, max_depth=6).collect())
-        con = duckdb.connect()
-        con.register("r", pd.DataFrame(edges, columns=["sourceid", "destinationid"]))
-        con.register("s", pd.DataFrame(seeds, columns=["conceptid"]))
-        want = _bag(con.execute("""
-            WITH RECURSIVE walk(top, node, hops) AS (
-              SELECT s.conceptid, r.sourceid, 1 FROM s JOIN r ON r.destinationid = s.conceptid
-              UNION
-              SELECT w.top, r.sourceid, w.hops + 1 FROM walk w JOIN r ON r.destinationid = w.node
-              WHERE r.sourceid <> w.top AND w.hops < 6)
-            SELECT top, node, min(hops) FROM walk GROUP BY top, node""").fetchall())
-        assert got == want, seed
+        for limit in (6, None):
+            got = _bag((r.destinationid, r.sourceid, r.depth) for r in descendant_closure(e, s, max_depth=limit).collect())
+            want = _bag((top, node, depth) for top in seeds for node, depth in _least_depths(edges, top).items()
+                        if limit is None or depth <= limit)
+            assert got == want, (seed, limit)

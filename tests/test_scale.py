@@ -12,14 +12,14 @@ def test_hot_key_join_equals_plain_join(spark):
                                       F.col("id").alias("rid"), (F.col("id") % 10).alias("v"))
     small = spark.range(0, 40).select((F.col("id") % 8).alias("k"), (F.col("id") % 10).alias("w"))
     cond = F.col("b.v") <= F.col("s.w")
-    salted = hot_key_join(big, small, ["k"], cond, row_id=["rid"], hot_rows=100, max_buckets=16)
+    salted = hot_key_join(big, small, ["k"], cond, row_id=["rid"], task_pairs=100)
     got = collections.Counter((r[0], r[1], r[2]) for r in salted.select("b.k", "b.rid", "s.w").collect())
     plain = big.alias("b").join(small.alias("s"), (F.col("b.k") == F.col("s.k")) & cond)
     want = collections.Counter((r[0], r[1], r[2]) for r in plain.select("b.k", "b.rid", "s.w").collect())
     assert got == want
-    assert {r.k: r._buckets for r in hot_keys(big, ["k"], 100, 16).collect()}[1] == 16
-    hot = {r.k: r._buckets for r in hot_keys(big, ["k"], 200, 16).collect()}
-    assert hot == {1: 11}                      # 2143 rows / 200 per bucket
+    hot = {r.k: (r._buckets, r._spread) for r in hot_keys(big, ["k"], 100, small, split_small=False).collect()}
+    assert hot[1] == (108, 1)                  # 2143 x 5 pairs, 100 a task
+    assert hot_keys(big, ["k"], 2143 * 5, small).count() == 0
 
 
 def test_snapshot_scan_prunes_columns_and_pushes_filters(spark):
@@ -43,7 +43,7 @@ def test_pipeline_with_a_patient_holding_a_third_of_all_edits(spark):
     skewed_log = base.pldata.withColumn("ptid", F.when(F.col("probid") % 3 == 0, F.lit(7)).otherwise(F.col("ptid")))
     inputs = type(base)(base.descr, base.relats, skewed_log, base.disch, base.billdata)
     plain = ProblemListMetrics(inputs, study_end="2024-06-06", materialise="none")
-    salted = ProblemListMetrics(inputs, study_end="2024-06-06", materialise="none", hot_rows=40)
+    salted = ProblemListMetrics(inputs, study_end="2024-06-06", materialise="none", task_pairs=40)
     assert {r.ptid: r._buckets for r in salted.hot_patients.collect()}[7] > 4
     for name in ("snapshot_pairs", "updated_during", "present_during"):
         a, b = getattr(plain, name), getattr(salted, name)
@@ -56,10 +56,12 @@ def test_grid_split_when_both_sides_are_hot(spark):
     small = spark.range(0, 600).select(F.when(F.col("id") < 500, 0).otherwise(F.col("id") % 3).alias("k"),
                                        F.col("id").alias("sid"), (F.col("id") % 13).alias("w"))
     cond = F.col("b.v") <= F.col("s.w")
-    hot = {r.k: (r._buckets, r._spread) for r in hot_keys(big, ["k"], 100, 64, small).collect()}
-    assert hot[0][0] > 1 and hot[0][1] > 1          # both sides hot: a grid
-    salted = hot_key_join(big, small, ["k"], cond, row_id=["rid"], small_row_id=["sid"], hot_rows=100,
-                          max_buckets=64)
+    hot = {r.k: (r._buckets, r._spread) for r in hot_keys(big, ["k"], 2000, small).collect()}
+    assert hot[0][0] > 1 and hot[0][1] > 1          # a grid: 667 x 533 pairs, few rows on either side
+    pairs = hot_key_join(big, small, ["k"], row_id=["rid"], small_row_id=["sid"], task_pairs=2000)
+    cells = [r["count"] for r in pairs.where("b.k = 0").groupBy("b._sa", "b._sb").count().collect()]
+    assert sum(cells) == 667 * 533 and max(cells) < 3 * 2000
+    salted = hot_key_join(big, small, ["k"], cond, row_id=["rid"], small_row_id=["sid"], task_pairs=100)
     got = collections.Counter(tuple(r) for r in salted.select("b.rid", "s.sid").collect())
     plain = big.alias("b").join(small.alias("s"), (F.col("b.k") == F.col("s.k")) & cond)
     want = collections.Counter(tuple(r) for r in plain.select("b.rid", "s.sid").collect())
