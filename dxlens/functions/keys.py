@@ -29,9 +29,3 @@ def all_present(*cols) -> Column:
         col = F.col(c) if isinstance(c, str) else c
         out = col.isNotNull() if out is None else out & col.isNotNull()
     return out
-
-
-def tuple_or_null(*cols) -> Column:
-    """A struct of ``cols`` when all are present, else NULL (for distinct counts)."""
-    structured = F.struct(*[F.col(c) if isinstance(c, str) else c for c in cols])
-    return F.when(all_present(*cols), structured)

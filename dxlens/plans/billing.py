@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dxlens.functions.keys import composite_key, tuple_or_null
+from dxlens.functions.keys import composite_key
 from dxlens.operators.matching import full_match, match_stats
 
 BILL_KEY = [("ptid", "ptid"), ("dischid", "dischid"), ("pdxid", "bepicdxid")]
@@ -65,40 +65,39 @@ def match_concept(present: DataFrame, billdata: DataFrame) -> DataFrame:
 
 
 # Distinct counts use column tuples: an undelimited text id can stand for two
-# different tuples, a tuple of the parts (plus the text) cannot.
-def _pl_dx():
-    return tuple_or_null("ptid", "dischid", "pdxid", "dcbilldxid")
+# different tuples, the parts cannot.  Each kind of tuple is grouped once, its flags
+# kept as maxima; sums over the groups are the distinct counts.  A text id is NULL
+# exactly where its side or one of its parts is missing.
+def _coverage(groups: list[DataFrame], names: list[str]) -> DataFrame:
+    """One row of ``names``, each the sum of its column over the groups that have it."""
+    parts = [g.select(*[(F.col(n) if n in g.columns else F.lit(0)).cast("long").alias(n) for n in names]) for g in groups]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union.agg(*[F.coalesce(F.sum(n), F.lit(0).cast("long")).alias(n) for n in names])
 
 
-def _bill_dx():
-    return tuple_or_null("ptid", "dischid", "bepicdxid", "dcxbillid")
-
-
-def _problem():
-    return tuple_or_null("ptid", "dischid", "pdxid", "conceptid", "dcprobid")
+def _grouped(rows: DataFrame, keys: list[str], count: str, **flags) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.max(c.cast("int")).alias(n) for n, c in flags.items()]).withColumn(count, F.lit(1))
 
 
 def coverage_dx(match: DataFrame) -> DataFrame:
-    """Distinct problem-list and billing ids, matched and unmatched (one pass)."""
+    """Distinct problem-list and billing ids, matched and unmatched."""
     pl, bill = F.col("dcbilldxid").isNotNull(), F.col("dcxbillid").isNotNull()
-    return match.agg(
-        F.countDistinct(_pl_dx()).alias("pl_dxids"),
-        F.countDistinct(_bill_dx()).alias("bill_dxids"),
-        F.countDistinct(F.when(pl & bill, _bill_dx())).alias("matched"),
-        F.countDistinct(F.when(~pl, _bill_dx())).alias("bill_unmatched"),
-        F.countDistinct(F.when(~bill, _pl_dx())).alias("pl_unmatched"))
+    return _coverage([
+        _grouped(match.where(pl), ["ptid", "dischid", "pdxid"], "pl_dxids", pl_unmatched=~bill),
+        _grouped(match.where(bill), ["ptid", "dischid", "bepicdxid"], "bill_dxids", matched=pl, bill_unmatched=~pl),
+    ], ["pl_dxids", "bill_dxids", "matched", "bill_unmatched", "pl_unmatched"])
 
 
 def coverage_concept(match: DataFrame) -> DataFrame:
-    """Distinct problem ids and billing ids, matched and unmatched (one pass)."""
+    """Distinct problem ids and billing ids, matched and unmatched (the problem id also stands for its noted date)."""
     prob, bill = F.col("dcprobid").isNotNull(), F.col("dcxbillid").isNotNull()
-    matched = bill & F.col("dcbilldxid").isNotNull()
-    return match.agg(
-        F.countDistinct(_problem()).alias("pl_concepts"),
-        F.countDistinct(_bill_dx()).alias("bill_dxids"),
-        F.countDistinct(F.when(matched, _problem())).alias("matched"),
-        F.countDistinct(F.when(~prob, _bill_dx())).alias("bill_unmatched"),
-        F.countDistinct(F.when(~bill, _problem())).alias("pl_unmatched"))
+    return _coverage([
+        _grouped(match.where(prob), ["ptid", "dischid", "pdxid", "conceptid", "dcprobid"], "pl_concepts",
+                 matched=bill & F.col("dcbilldxid").isNotNull(), pl_unmatched=~bill),
+        _grouped(match.where(bill), ["ptid", "dischid", "bepicdxid"], "bill_dxids", bill_unmatched=~prob),
+    ], ["pl_concepts", "bill_dxids", "matched", "bill_unmatched", "pl_unmatched"])
 
 
 DX_STATS = ["pldxids", "billdxids", "dxidmatch", "unmatchedpldxid", "unmatchedbilldxid"]

@@ -213,7 +213,7 @@ class ProblemListMetrics:
     @cached_property
     def outside(self) -> DataFrame:
         """D25."""
-        return stays.edits_outside(self.log, self.updated_during)
+        return self._keep(stays.edits_outside(self.log, self.updated_during), "outside")
 
     # -- billing -------------------------------------------------------------
     @cached_property
@@ -269,7 +269,7 @@ class ProblemListMetrics:
     def compute(self, name: str) -> DataFrame:
         """Build one table and make sure it is computed."""
         df = getattr(self, name)
-        if self.how == "none" or name == "outside":
+        if self.how == "none":
             df.write.format("noop").mode("overwrite").save()
         return df
 

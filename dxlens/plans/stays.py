@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dxlens.functions.keys import composite_key, tuple_or_null
+from dxlens.functions.keys import composite_key
 from dxlens.functions.ratios import int_div, safe_div
 from dxlens.functions.temporal import day, days_between, midnight
 from dxlens.operators.intervals import DEFAULT_TASK_PAIRS, hot_key_join
@@ -105,25 +105,29 @@ def present_during(log: DataFrame, disch: DataFrame, names: DataFrame,
     return rows.join(n, "conceptid").select(*PRESENT_COLUMNS)
 
 
-def _problem_tuple():
-    return tuple_or_null("ptid", "dischid", "pdxid", "conceptid", "noteddate")
-
-
-def _dx_tuple():
-    return tuple_or_null("ptid", "dischid", "pdxid", "noteddate")
+def _active(present: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct diagnoses and problems per ``by``: problems are grouped, then counted
+    per diagnosis, then summed, so no row is expanded per count.  A tuple with a missing part counts as none."""
+    dx = ["dischid", "ptid", "pdxid", "noteddate"]
+    whole = F.col(dx[0]).isNotNull()
+    for c in dx[1:]:
+        whole = whole & F.col(c).isNotNull()
+    problems = present.select(*dx, "conceptid").distinct()
+    per_dx = problems.groupBy(*dx).agg(F.count("conceptid").alias("problems"))
+    none = F.lit(0).cast("long")
+    return per_dx.groupBy(*by).agg(F.count(F.when(whole, True)).alias("dx_active"),
+                                   F.coalesce(F.sum(F.when(whole, F.col("problems"))), none).alias("pr_active"))
 
 
 def active_counts(present: DataFrame) -> DataFrame:
     """Distinct active diagnoses and problems per stay (``pr_present``)."""
-    return present.groupBy("dischid").agg(
-        F.countDistinct(_dx_tuple()).cast("double").alias("dx_active"),
-        F.countDistinct(_problem_tuple()).cast("double").alias("pr_active"))
+    return _active(present, ["dischid"]).select(
+        "dischid", F.col("dx_active").cast("double").alias("dx_active"), F.col("pr_active").cast("double").alias("pr_active"))
 
 
 def active_totals(present: DataFrame) -> DataFrame:
     """The same counts over all stays."""
-    return present.agg(F.countDistinct(_dx_tuple()).alias("dx_active"),
-                       F.countDistinct(_problem_tuple()).alias("pr_active"))
+    return _active(present, [])
 
 
 def _activity_aggs():
