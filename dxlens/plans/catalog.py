@@ -105,14 +105,25 @@ _JOBS: dict[str, Callable[[ProblemListMetrics], DataFrame]] = {
 }
 
 
+# the same jobs with the original's truncating integer ratios all along the chain
+_INTEGER_JOBS = {
+    "overall_summary_int": lambda m: snapshot.overall_summary(m.problems, integer_ratio=True),
+    "readmission_int": lambda m: m.disch2,
+    "discharge_activity_int": lambda m: m.disch3,
+    "final_discharge_int": lambda m: m.disch4,
+}
+
+
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    job = _JOBS[name]
+    integer_ratio = name in _INTEGER_JOBS
+    job = _INTEGER_JOBS[name] if integer_ratio else _JOBS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return round_doubles(job(metrics(spark, sf_dir)))
+        return round_doubles(job(metrics(spark, sf_dir, integer_ratio=integer_ratio)))
 
     run.__name__ = name
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query(name) for name in _JOBS}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    name: query(name) for name in [*_JOBS, *_INTEGER_JOBS]}

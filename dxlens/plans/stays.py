@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dxlens.functions.keys import composite_key
+from dxlens.functions.keys import composite_key, tuple_or_null
 from dxlens.functions.ratios import int_div, safe_div
 from dxlens.functions.temporal import day, days_between, midnight
 from dxlens.operators.intervals import DEFAULT_TASK_PAIRS, hot_key_join
@@ -132,7 +132,7 @@ def active_totals(present: DataFrame) -> DataFrame:
 
 def _activity_aggs():
     return [
-        F.countDistinct(_problem_tuple()).cast("int").alias("pr_updated"),
+        F.countDistinct(tuple_or_null("ptid", "dischid", "pdxid", "conceptid", "noteddate")).cast("int").alias("pr_updated"),
         F.count(F.lit(1)).cast("int").alias("tot_updates"),
         F.sum("del").cast("int").alias("del_updates"), F.sum("resol").cast("int").alias("resol_updates"),
         F.sum("noted").cast("int").alias("noted_updates"),
