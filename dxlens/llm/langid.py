@@ -35,6 +35,7 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 MAX_ROWS = 500
+CELLS = 16
 MAX_BYTES = 3 << 19
 STEPS = 60
 RATE = 0.5
@@ -125,8 +126,13 @@ def train(texts: list[bytes], languages: list[str], families: dict[str, tuple[st
 def sample(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """(text, lang): per language at most ``max_rows`` rows that may be learned from, first by a hash of the id."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where("lang IS NOT NULL").where(~held_out())
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("place", place).where(F.col("place") <= max_rows).select("doc_id", "lang").distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # first within cells of a language, so that the last selection meets CELLS * max_rows ids of it at most
+    known = known.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CELLS)))
+    for cell in (["lang", "cell"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*cell).orderBy(*order))
+        known = known.withColumn("place", place).where(F.col("place") <= max_rows).drop("place")
+    chosen = known.select("doc_id", "lang").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", utf8().alias("text"))
     return texts.join(F.broadcast(chosen), ["doc_id", "lang"])  # max_rows ids a language
 
