@@ -2,7 +2,8 @@
 
 An item within ``e`` edits of a stretch of a document has, of its ``e + 1``
 pieces, at least one that occurs there unchanged.  Items and documents are
-normalised (A-Z lower-cased, runs of ASCII white space as one space).  The pieces of a
+normalised (lower-cased by Unicode rules, runs of ASCII white space as one space; bytes that are
+not UTF-8 as U+FFFD); lengths, edits and places count bytes of the normalised text.  The pieces of a
 bounded block of items form an Aho-Corasick automaton on the executors; the documents
 stream through it, and each piece hit is verified by Myers' bit-parallel edit distance
 between the whole item and the stretch of the document that the hit implies.
@@ -34,7 +35,9 @@ PAIR_SCHEMA = pa.schema([(x.split(" ")[0], pa.int64()) for x in PAIR_FIELDS.spli
 
 
 def normalise(text: bytes | None) -> bytes:
-    return b" ".join((text or b"").lower().split())
+    text = text or b""
+    lower = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+    return b" ".join(lower.split())
 
 
 def budget(length: int, error_rate: float, min_piece: int) -> int:

@@ -273,6 +273,18 @@ def test_planted_items_are_found_within_the_budget(spark, make_docs, edge_docs):
     assert decontaminate.contaminations(edge_docs, none).count() == 0 == decontaminate.contaminations(make_docs([]), benchmark).count()
 
 
+def test_upper_cased_copies_of_any_script_are_found(spark, make_docs):
+    items = [(0, "L'été où l'élève français a goûté la crème brûlée à Orléans était très agréable"),
+             (1, "съешь же ещё этих мягких французских булок да выпей чаю"), (2, "η γρήγορη αλεπού πηδά πάνω από τους σκύλους")]
+    rows = [(i, f"some filler {text.upper()} more filler") for i, text in items] + [(3, "ΝΟΤΗΙΝΓ of the kind БУЛОК")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminations(make_docs(rows), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 0), (1, 1), (2, 2)}
+    assert [r.distance for r in found if r.doc_id < 2] == [0, 0]
+    assert [r.doc_id for r in decontaminate.clean_documents(make_docs(rows), benchmark).collect()] == [3]
+    assert decontaminate.normalise(b"\xff A\xc3\x89\n b") == "\ufffd aé b".encode()
+
+
 # classifiers
 
 def test_languages_on_held_out_documents(spark, make_docs, edge_docs):
