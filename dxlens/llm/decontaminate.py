@@ -119,7 +119,7 @@ class Matcher:
                 _, item, errors, places, reverse = self.items[number]
                 start = last + 1 - size - offset
                 best = found.get(number)
-                if best and best[0] == 0 or seen.get(number, -1) == start:
+                if best and best[0] == 0 or seen.get(number) == start:
                     continue
                 seen[number] = start
                 if start >= 0 and data.startswith(item, start):

@@ -285,6 +285,15 @@ def test_upper_cased_copies_of_any_script_are_found(spark, make_docs):
     assert decontaminate.normalise(b"\xff A\xc3\x89\n b") == "\ufffd aé b".encode()
 
 
+def test_an_item_without_its_first_byte_is_found_at_the_start_of_a_text(spark, make_docs):
+    item = '"the quick brown fox jumps over the lazy dog and runs away from the slow bear'
+    rows = [(1, item[1:] + " and more text"), (2, " \n " + item[1:]), (3, "x" + item[1:]), (4, item[2:]), (5, "other text")]
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = sorted(decontaminate.contaminations(make_docs(rows), benchmark).collect())
+    assert [(r.doc_id, r.distance, r.start) for r in found] == [(1, 1, 0), (2, 1, 0), (3, 1, 1), (4, 2, 0)]
+    assert [r.doc_id for r in decontaminate.clean_documents(make_docs(rows), benchmark).collect()] == [5]
+
+
 # classifiers
 
 def test_languages_on_held_out_documents(spark, make_docs, edge_docs):
