@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dxlens.llm.common import utf8
+
 BUCKETS = 1 << 18
+LONG_SHARE = 32
 GRAMS = (3, 4, 5)
 TRIM = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 
@@ -15,6 +21,37 @@ def held_out(column: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def sized(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, text_hash, size in bytes and the given columns of the rows that may be learned from."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
+                       F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), *columns).where(~held_out())
+
+
+def sample_order(max_bytes: int) -> list[F.Column]:
+    """By a hash of the id; texts over 1 / LONG_SHARE of ``max_bytes`` after all others, the shortest first."""
+    return [F.greatest("size", F.lit(max_bytes // LONG_SHARE)), F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_hash")]
+
+
+def fitting(sizes: Iterable[int], max_bytes: int) -> list[int]:
+    """The numbers of the rows to take, in order: each that still fits, and the first one whatever its size."""
+    taken, used = [], 0
+    for i, size in enumerate(sizes):
+        if not taken or used + size <= max_bytes:
+            taken.append(i)
+            used += size
+    return taken
+
+
+def texts_of(docs: DataFrame, keys: set[tuple[int, int]]) -> dict[tuple[int, int], bytes]:
+    """The text of each (doc_id, text_hash), once, however many rows have it."""
+    if not keys:
+        return {}
+    chosen = docs.sparkSession.createDataFrame(sorted(keys), "doc_id long, text_hash long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), utf8().alias("text"))
+    found = rows.join(F.broadcast(chosen), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    return {(row["doc_id"], row["text_hash"]): bytes(row["text"] or b"") for row in found.toLocalIterator()}
+
+
 def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").decode("utf-8", "replace").lower().encode().split()
 

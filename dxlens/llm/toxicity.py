@@ -9,7 +9,9 @@ rows.  As everything after the embeddings is linear, scoring needs one
 number per bucket: a misspelt word scores by the n-grams it shares with known ones.
 
 The sample is the ``max_rows`` labelled rows of each class that come first by a hash
-of their doc_id, cut further only where their texts exceed ``max_bytes``; it is all the driver ever holds.
+of their doc_id, texts over 1/32 of the class's half of ``max_bytes`` after all others; of these, in order, each
+that still fits into that half is learned, and the first one always. It is all the driver ever holds, and sizes
+decide before texts are fetched.
 Every text is scored whole, by tasks that remember each word's number.
 
 Edge cases: a text without words scores as the class balance alone; rows
@@ -27,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dxlens.llm.common import utf8
-from dxlens.llm.subwords import BUCKETS, Bags, held_out, subwords, tokens
+from dxlens.llm.common import Scratch, utf8
+from dxlens.llm.subwords import BUCKETS, Bags, fitting, held_out, sample_order, sized, subwords, texts_of, tokens
 
 DIMENSIONS = 4
 MIN_TEXTS = 8
@@ -123,26 +125,27 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, rate: floa
     return Model(weight, bias)
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(text, label) of at most ``max_rows`` labelled rows of each class that may be learned from, first by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list[tuple[bytes, int]]:
+    """(text, label) of at most ``max_rows`` labelled rows and half of ``max_bytes`` of text of each class."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("label IN (0, 1)").where(~held_out())
-    rank = F.xxhash64("doc_id")
-    # two small top-k selections choose the ids before any text is read
-    chosen = [known.where(F.col("label") == c).orderBy(rank, "doc_id").limit(max_rows) for c in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    counts = known.groupBy("doc_id").agg(*[F.count_if(F.col("label") == c).alias(f"n{c}") for c in (0, 1)])
+    # rows are chosen by hash and size before any text is fetched
+    rows = scratch.table(sized(docs).join(counts, "doc_id").withColumn("place", F.xxhash64("doc_id")), "sized")
+    chosen = []
+    for c in (0, 1):
+        first = rows.where(F.col(f"n{c}") > 0).orderBy(*sample_order(max_bytes // 2)).limit(max_rows).collect()
+        first = [row for row in first for _ in range(min(row[f"n{c}"], max_rows))][:max_rows]
+        chosen += [(row["place"], row["doc_id"], row["text_hash"], c)
+                   for row in map(first.__getitem__, fitting([row["size"] for row in first], max_bytes // 2))]
+    scratch.release()
+    texts = texts_of(docs, {(doc_id, text_hash) for _, doc_id, text_hash, _ in chosen})
+    return [(texts[doc_id, text_hash], c) for _, doc_id, text_hash, c in sorted(chosen)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
-    """Train on the bounded sample; a class's rows beyond half of ``max_bytes`` of text, in hash order, are left out."""
-    size = F.coalesce(F.length("text"), F.lit(0))
-    found = sample(docs, labels, max_rows).withColumn("size", size)
-    rows, used = [], {0: 0, 1: 0}
-    for row in found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).toLocalIterator():
-        used[row["label"]] += row["size"]
-        if used[row["label"]] <= max_bytes // 2:
-            rows.append((bytes(row["text"] or b""), row["label"]))
+    """Train on the bounded sample."""
+    rows = sample(docs, labels, max_rows, max_bytes)
     usable = labels.where("toxic IN (0, 1)").where(~held_out())
     prior = usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     return train([t for t, _ in rows], np.array([y for _, y in rows]), prior=prior)

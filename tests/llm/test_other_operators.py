@@ -342,6 +342,28 @@ def test_toxicity_learns_stems_and_misspellings(spark, make_docs, edge_docs):
     assert {r.score for r in toxicity.score(edge_docs, nothing).collect()} == {0.0}
 
 
+def test_a_long_labelled_text_does_not_end_its_class(spark, make_docs):
+    rows = [(i, f"plain words here w{i % 7} " + ("grumbok" if i % 2 else "harmless")) for i in range(200)]
+    labels = [(i, i % 2) for i in range(200)]
+    order = spark.createDataFrame(labels, "doc_id long, toxic int").where(~subwords.held_out()).selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").collect()
+    for c in (0, 1):
+        first = next(r.doc_id for r in order if r.doc_id % 2 == c)
+        docs = make_docs([(i, t + " long" * 2000 if i == first else t) for i, t in rows])
+        labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
+        taken = toxicity.sample(docs, labelled, max_bytes=16_000)
+        assert [sum(y == k for _, y in taken) for k in (0, 1)] == [sum(r.doc_id % 2 == k for r in order) - (k == c) for k in (0, 1)]
+        model = toxicity.fit(docs, labelled, max_bytes=16_000)
+        held = toxicity.score(docs, model).where(subwords.held_out()).collect()
+        assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in held if r.doc_id != first)
+    # all texts of a class over the bound: its shortest is kept; equal rows count each
+    long = make_docs([(i, "x " * (9000 + i) if i % 2 else "short") for i in range(40)] * 2)
+    kept = toxicity.sample(long, labelled, max_bytes=16_000)
+    ids = [r.doc_id for r in order if r.doc_id < 40]
+    assert [len(t) for t, y in kept if y] == [2 * (9000 + min(i for i in ids if i % 2))]
+    assert sum(not y for _, y in kept) == 2 * sum(i % 2 == 0 for i in ids)
+    assert len(toxicity.sample(long, labelled, max_rows=5)) == 10
+
+
 # token files
 
 def test_tokens_round_trip(spark, edge_docs, make_docs):
