@@ -5,7 +5,8 @@ subwords.  One linear SVM per family, against the rest, picks the family; inside
 family one SVM per pair of languages votes, ties going to the larger sum of margins and
 then to the smaller code.  All machines are trained together in numpy (squared hinge, L2, full-batch Adam) on a
 bounded sample of labelled rows: per language the ``max_rows`` rows first by a hash of
-their doc_id, up to ``max_bytes`` of text.  Being linear, they score a word once; tasks remember its margins.
+their doc_id, texts over 1/32 of ``max_bytes`` after all others; of these, in order, each that still fits into
+``max_bytes``, and the first one always.  Sizes decide before texts are fetched.  Being linear, they score a word once; tasks remember its margins.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; rows with a
 null lang or a null doc_id are predicted, never learned from; a language outside the family table is a family of its own; with no
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dxlens.llm.common import utf8
-from dxlens.llm.subwords import BUCKETS, Bags, held_out, subwords, tokens
+from dxlens.llm.subwords import BUCKETS, Bags, fitting, held_out, sample_order, sized, subwords, texts_of, tokens
 
 # fixed values: language codes by family
 FAMILIES = {
@@ -123,31 +124,33 @@ def train(texts: list[bytes], languages: list[str], families: dict[str, tuple[st
     return Model(known, groups, pairs, weight, b)
 
 
-def sample(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(text, lang): per language at most ``max_rows`` rows that may be learned from, first by a hash of the id."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where("lang IS NOT NULL").where(~held_out())
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+def sample(docs: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list[tuple[bytes, str]]:
+    """(text, lang): per language at most ``max_rows`` rows and ``max_bytes`` of text that may be learned from."""
+    # rows are chosen by hash and size before any text is fetched
+    known = sized(docs, "lang").where("lang IS NOT NULL")
+    order = sample_order(max_bytes)
     # first within cells of a language, so that the last selection meets CELLS * max_rows ids of it at most
     known = known.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CELLS)))
     for cell in (["lang", "cell"], ["lang"]):
         place = F.row_number().over(Window.partitionBy(*cell).orderBy(*order))
-        known = known.withColumn("place", place).where(F.col("place") <= max_rows).drop("place")
-    chosen = known.select("doc_id", "lang").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", utf8().alias("text"))
-    return texts.join(F.broadcast(chosen), ["doc_id", "lang"])  # max_rows ids a language
+        known = known.withColumn("place", place).where(F.col("place") <= max_rows)
+    first: dict[str, list] = {}
+    for row in known.withColumn("hash", F.xxhash64("doc_id")).collect():  # max_rows a language
+        first.setdefault(row["lang"], []).append(row)
+    chosen = []
+    for lang, rows in first.items():
+        rows.sort(key=lambda row: row["place"])
+        chosen += [(lang, row["hash"], row["doc_id"], row["text_hash"])
+                   for row in map(rows.__getitem__, fitting([row["size"] for row in rows], max_bytes))]
+    texts = texts_of(docs, {(doc_id, text_hash) for *_, doc_id, text_hash in chosen})
+    return [(texts[doc_id, text_hash], lang) for lang, _, doc_id, text_hash in sorted(chosen)]
 
 
 def fit(docs: DataFrame, families: dict[str, tuple[str, ...]] | None = None, max_rows: int = MAX_ROWS,
         max_bytes: int = MAX_BYTES) -> Model:
-    """Train on the bounded sample; a language's rows beyond ``max_bytes`` of text, in hash order, are left out."""
-    texts, languages, used = [], [], {}
-    for row in sample(docs, max_rows).orderBy("lang", F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).toLocalIterator():
-        text = bytes(row["text"] or b"")
-        used[row["lang"]] = used.get(row["lang"], 0) + len(text)
-        if used[row["lang"]] <= max_bytes:
-            texts.append(text)
-            languages.append(row["lang"])
-    return train(texts, languages, families)
+    """Train on the bounded sample."""
+    rows = sample(docs, max_rows, max_bytes)
+    return train([t for t, _ in rows], [x for _, x in rows], families)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

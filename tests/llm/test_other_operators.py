@@ -318,6 +318,24 @@ def test_languages_outside_the_family_table_and_single_ones():
     assert langid.train([b"a"], ["en"]).decide(np.array([1.0])) == ("en", 1.0)
 
 
+def test_a_long_text_does_not_end_the_sample_of_its_language(spark, make_docs):
+    words = {"aa": "mala pona telo", "bb": "grumm vextor krank"}
+    rows = [(i, f"{words[x]} {words[x][:4]}{i % 5}", x) for i in range(120) for x in (("aa", "bb")[i % 2],)]
+    order = make_docs(rows).where(~subwords.held_out()).selectExpr("doc_id", "lang", "xxhash64(doc_id) AS h").orderBy("h").collect()
+    first = next(r.doc_id for r in order if r.lang == "bb")
+    docs = make_docs([(i, t + " grumm" * 2000 if i == first else t, x) for i, t, x in rows])
+    taken = langid.sample(docs, max_bytes=8000)
+    assert [sum(x == y for _, y in taken) for x in ("aa", "bb")] == [sum(r.lang == x for r in order) - (x == "bb") for x in ("aa", "bb")]
+    model = langid.fit(docs, max_bytes=8000)
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert found == {i: x for i, _, x in rows}
+    long = make_docs([(i, "x " * (9000 + i), "aa") for i in range(20)] + [(i, "short", "bb") for i in range(20, 40)] * 2)
+    kept = langid.sample(long, max_bytes=8000)
+    ids = [r.doc_id for r in order]
+    assert [len(t) for t, x in kept if x == "aa"] == [2 * (9000 + min(ids))]
+    assert sum(x == "bb" for _, x in kept) == 2 * sum(20 <= i < 40 for i in ids)
+
+
 def test_toxicity_learns_stems_and_misspellings(spark, make_docs, edge_docs):
     rng = random.Random(1)
     plain = [f"{a}{b}" for a in ("ren", "tor", "mal", "sin", "pod") for b in ("a", "ot", "ik", "ul", "es", "ar")]
