@@ -41,7 +41,10 @@ def normalise(text: bytes | None) -> bytes:
 
 
 def budget(length: int, error_rate: float, min_piece: int) -> int:
-    """Edits allowed for an item of ``length`` bytes: its share, as far as pieces of ``min_piece`` bytes allow."""
+    """Edits allowed for an item of ``length`` bytes: its share, as far as pieces of ``min_piece`` bytes allow.
+
+    With the defaults the pieces alone set it: 0 below 24 bytes, 6 % at 81, 7.5 % at 200, 8 % at 1,000.
+    """
     return max(0, min(int(length * error_rate), length // min_piece - 1))
 
 
