@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dxlens.llm import ann, decontaminate, langid, line_dedup, mixing, simhash, substring_dedup, token_files, toxicity, warc
+from dxlens.llm import ann, decontaminate, divergence, langid, line_dedup, mixing, simhash, substring_dedup, token_files, toxicity, warc
 from dxlens.llm.common import read
 from dxlens.llm.subwords import held_out
 
@@ -165,3 +165,42 @@ def tokenizer_path() -> str:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_files.write_store(read(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
     return token_files.read_ids(store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read(spark, sf_dir, "documents"), min_docs=10, top_terms=10)
+
+
+ORACLE_SQL["op13_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS number, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+t AS (SELECT number, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT number) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+grid AS (
+  SELECT g.lang, g.source, k.term, k.lang_n, coalesce(n.n, 0) AS n
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+priced AS (
+  SELECT s.*, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v.v) AS p,
+         1 + (1000000000::HUGEINT * (lang_n + 2)) // (v.lang_total + 2 * v.v) AS q
+  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total FROM grid) s JOIN v ON s.lang = v.lang),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN priced x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN priced y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source),
+terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM priced WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value,
+       row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank
+FROM terms QUALIFY rank <= 10
+"""
