@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dxlens.llm import ann, decontaminate, divergence, langid, line_dedup, mixing, simhash, substring_dedup, token_files, toxicity, warc
-from dxlens.llm.common import read
+from dxlens.llm import ann, decontaminate, divergence, langid, line_dedup, mixing, runs, simhash, substring_dedup, token_files, toxicity, warc
+from dxlens.llm.common import WORD_PATTERN, read
 from dxlens.llm.subwords import held_out
 
 QUERIES = {}
@@ -204,3 +204,27 @@ UNION ALL
 SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank
 FROM terms QUALIFY rank <= 10
 """
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, chosen by crc32 of the id, a tail of the words repeats with a period.
+
+    A null id plants nothing.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN), 0))
+    planted = (docs.select("doc_id", "text", F.expr("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) div 10").alias("g"), words.alias("words"))
+               .withColumn("a", F.expr("IF(size(words) > 0, g % size(words), 0)"))
+               .withColumn("p", F.expr("1 + (size(words) - a) div (3 + g % 8)")))
+    tail = "transform(words, (w, i) -> IF(i < a, w, words[CAST(a + (i - a) % p AS INT)]))"
+    return planted.select("doc_id", F.expr(f"IF(size(words) > 0, array_join({tail}, ' '), text)").alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(with_planted_periods(read(spark, sf_dir, "documents")), min_words=24, min_exponent=3)
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+                      F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+                      F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
