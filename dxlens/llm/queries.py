@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dxlens.llm import ann, decontaminate, divergence, langid, line_dedup, mixing, runs, simhash, substring_dedup, token_files, toxicity, warc
+from dxlens.llm import ann, decontaminate, divergence, langid, licenses, line_dedup, mixing, runs, simhash, substring_dedup, token_files, toxicity, warc
 from dxlens.llm.common import WORD_PATTERN, read
 from dxlens.llm.subwords import held_out
 
@@ -228,3 +228,76 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
                       F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
                       F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(read(spark, sf_dir, "documents"))
+    named = "array_sort(array_distinct(transform({}, x -> x.label)))"
+    starts = F.expr("transform(base, x -> x.start)")
+    return out.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+                      F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                      F.expr(f"array_join({named.format('base')}, ',')").alias("base_labels"),
+                      F.expr("array_join(array_sort(array_union(transform(base, x -> x.label), "
+                             "transform(filter(matches, x -> x.verified), x -> x.label))), ',')").alias("labels"),
+                      F.round("score", 6).alias("score"))
+
+
+def _values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(str(v) if isinstance(v, (int, list)) else f"'{v}'" for v in r) + ")" for r in rows) + ")"
+
+
+def _license_sql(anchors: int = 8, slack: int = 8, min_share: float = 0.5) -> str:
+    """The scan as joins: postings by word, alignments by a range join, phrases by list slices."""
+    split = [[w.decode() for w in licenses.split_words(t.text.encode())] for t in licenses.TEMPLATES]
+    phrase = [(t, p.split()) for t, template in enumerate(licenses.TEMPLATES) for p in template.phrases]
+    place = [next(i for i in range(len(split[t])) if split[t][i:i + len(p)] == p) for t, p in phrase]
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+tpl AS (SELECT * FROM {_values([(i, t.label) for i, t in enumerate(licenses.TEMPLATES)])} AS x(t, label)),
+tw AS (SELECT * FROM {_values([(t, i, w) for t, words in enumerate(split) for i, w in enumerate(words)])} AS x(t, place, word)),
+ph AS (SELECT * FROM {_values([(t, at, p) for (t, p), at in zip(phrase, place)])} AS x(t, place, phrase)),
+bp AS (SELECT * FROM {_values([(p.split(), label) for p, label in licenses.BASE])} AS x(phrase, label)),
+w AS (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS i FROM d),
+wt AS (
+  SELECT v.word, round(1000000 * (1 + ln((1 + (SELECT count(*) FROM d))::DOUBLE / (1 + count(DISTINCT w.r)))))::BIGINT AS weight
+  FROM (SELECT DISTINCT word FROM tw) v LEFT JOIN w ON w.word = v.word GROUP BY v.word),
+an AS (
+  SELECT t, word, weight FROM (SELECT DISTINCT t, word FROM tw) JOIN wt USING (word)
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY weight DESC, word) <= {anchors}),
+tot AS (SELECT t, sum(weight) AS total FROM an GROUP BY t),
+hits AS (SELECT DISTINCT w.r, an.t, w.i - tw.place AS a, an.word, an.weight FROM w JOIN an ON an.word = w.word JOIN tw ON tw.t = an.t AND tw.word = an.word),
+win AS (
+  SELECT r, t, a, sum(weight) AS held FROM (
+    SELECT DISTINCT s.r, s.t, s.a, h.word, h.weight
+    FROM (SELECT DISTINCT r, t, a FROM hits) s JOIN hits h ON h.r = s.r AND h.t = s.t AND h.a BETWEEN s.a AND s.a + {slack})
+  GROUP BY r, t, a),
+seen AS (
+  SELECT win.r, win.t, win.a, held::DOUBLE / total AS share,
+         held >= {min_share} * total AND bool_and(len(list_filter(range(greatest(0, win.a + ph.place - {slack}), win.a + ph.place + {2 * slack + 1}),
+                                                                 lambda x: d.words[x + 1 : x + len(ph.phrase)] = ph.phrase)) > 0) AS verified
+  FROM win JOIN tot USING (t) JOIN ph USING (t) JOIN d ON d.r = win.r
+  GROUP BY win.r, win.t, win.a, held, total),
+best AS (
+  SELECT r, label, coalesce(max(share) FILTER (verified), max(share) / 2) AS score, bool_or(verified) AS verified
+  FROM seen JOIN tpl USING (t) GROUP BY r, t, label),
+base AS (
+  SELECT d.r, x.i AS start, bp.label
+  FROM w AS x JOIN bp ON x.word = bp.phrase[1] JOIN d ON d.r = x.r AND d.words[x.i + 1 : x.i + len(bp.phrase)] = bp.phrase),
+b AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+      FROM base GROUP BY r),
+l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+      FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM best WHERE verified) GROUP BY r),
+s AS (SELECT r, max(score) AS score FROM best GROUP BY r)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       round(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(s.score, 0) END::DOUBLE, 6) AS score
+FROM d LEFT JOIN b ON b.r = d.r LEFT JOIN l ON l.r = d.r LEFT JOIN s ON s.r = d.r
+"""
+
+
+ORACLE_SQL["op11_license_scan"] = _license_sql()
