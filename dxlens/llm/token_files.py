@@ -23,19 +23,21 @@ from re import compile as pattern
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dxlens.llm.common import RangeReader, Scratch, TaskFile, batched, records, utf8
+from dxlens.llm.common import RangeReader, Scratch, TaskFile, batched, records
 from dxlens.llm.mph import MinimalPerfectHash, fingerprint, pack, unpack
 
 MAGIC = b"DXTOKID1"
 HEADER_FORMAT = "<8sII"  # magic, bytes per id, end id
 HEADER_BYTES = struct.calcsize(HEADER_FORMAT)
 KEYS_PER_SHARD = 1 << 16
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 19
+BATCH_BYTES = 8 << 20
 
 ENTRY_FIELDS = "file string, shard long, doc_id long, occurrence long, offset long, n_tokens long"
 PLACE_FIELDS = "doc_id long, occurrence long, file string, shard long, offset long, n_tokens long"
@@ -45,69 +47,93 @@ class WordEncoder:
     """A tokenizers file applied to whole texts, remembering each word's ids.
 
     The file's pre-tokenizer never joins across ASCII white space and its normaliser
-    works letter by letter, so a text's ids are its words' ids in order.  Texts with
-    a special token's opening ``<|`` are encoded whole.
+    works letter by letter, so a text's ids are its words' ids in order.  Each batch's words are
+    told apart once (Arrow's dictionary), so that the memory is asked once per different word of a batch.
+    Words of Latin letters, digits and punctuation fall into the pre-tokenizer's pieces here, and the
+    file's model encodes each new piece; all other words go through the whole tokenizer, and so do texts with a
+    special token's opening ``<|``, unsplit.
     """
 
-    # letters that the normaliser keeps as they are, one pre-token a run of them
-    PLAIN = pattern(r"[a-zß-öø-ÿ]+")
-    TAIL = ".,;:!?"
+    # after lower-casing, the normaliser keeps these as they are, and each match is one pre-token; an
+    # apostrophe may open a clipped ending, so words with one are left to the tokenizer
+    PIECE = pattern(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+    SIMPLE = pattern(r"[a-zß-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
+    TAILED = r"^(?P<core>(?s:.*)[a-z])(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
+    SAMPLE = ("ab", "Straße.", "É9%x", "naïve--co2", "(a)", "x_y@z.org", "12.5", "ÿ!", "#tag", "a/b\\c")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.cache: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian bytes."""
+        top = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.width, self.letter = (2, "H") if top < 1 << 16 else (4, "I")
+        self.model = self.tokenizer.model
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(0xDF, 0x100)}
+        # two generations, so that words in use outlive the bound on memory
+        self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        if [self._pieces(w.lower()) for w in self.SAMPLE] != self._whole(list(self.SAMPLE)):
+            raise ValueError(f"{path}: its pre-tokenizer or normaliser differs from the one this encoder splits for")
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a string array without nulls, as little-endian bytes."""
+        special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)).tolist()
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = split.flatten().dictionary_encode()
+        ids = self._word_ids(words.dictionary).__getitem__
+        codes = words.indices.to_numpy().tolist()
+        bounds = (split.offsets.to_numpy() - split.offsets[0].as_py()).tolist()
+        out = [b"".join(map(ids, codes[a:z])) for a, z in zip(bounds, bounds[1:])]
+        for i in special:
+            out[i] = self._whole([texts[i].as_py()])[0]
+        return out
+
+    def _word_ids(self, words: pa.StringArray) -> list[bytes]:
+        """The ids of different words: those of the word without closing punctuation, then those of the punctuation."""
+        parts = pc.extract_regex(words, self.TAILED)
+        core, tail = (x.dictionary_encode() for x in (pc.coalesce(pc.struct_field(parts, 0), words), pc.struct_field(parts, 1).fill_null("")))
+        cores, tails = (self._ids(x.dictionary.to_numpy(zero_copy_only=False).tolist()) for x in (core, tail))
+        pairs = zip(core.indices.to_numpy().tolist(), tail.indices.to_numpy().tolist())
+        return [cores[c] + tails[t] for c, t in pairs]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
         if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        split = [[] if b"<|" in t else t.lower().split() for t in texts]
-        found = [list(map(self.cache.get, words)) for words in split]
-        missing = {w for words, ids in zip(split, found) for w, i in zip(words, ids) if i is None}
-        if missing:
-            self._learn(missing)
-        get = self.cache.__getitem__
-        return [self._encode([t.decode("utf-8", "replace")])[0] if b"<|" in t
-                else b"".join(ids) if None not in ids else b"".join(map(get, words))
-                for t, words, ids in zip(texts, split, found)]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.dtype).tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Encode new words; a plain word with trailing punctuation is its word's ids and the punctuation's."""
-        plain, other, tailed = set(), set(), []
-        for word in b"\n".join(words).decode("utf-8", "replace").split("\n"):
-            core = word.rstrip(self.TAIL)
-            if not self.PLAIN.fullmatch(core):
-                other.add(word)
+            self.cache, self.older = {"": b""}, self.cache
+        found, others = list(map(self.cache.get, words)), []
+        for i, word in enumerate(words):
+            if found[i] is not None:
                 continue
-            plain.add(core)
-            if len(core) < len(word):
-                tail = word[len(core):]
-                other.add(tail)
-                tailed.append((word, core, tail))
-        self._learn_plain([w for w in plain if w.encode() not in self.cache])
-        rest = [w for w in other if w.encode() not in self.cache]
-        self.cache.update(zip((w.encode() for w in rest), self._encode(rest)))
-        get = self.cache.__getitem__
-        self.cache.update((w.encode(), get(core.encode()) + get(tail.encode())) for w, core, tail in tailed)
-
-    def _learn_plain(self, words: list[str], chunk: int = 256) -> None:
-        """Many plain words in one text: each is one pre-token, whose last id ends a word."""
-        chunks = [words[i:i + chunk] for i in range(0, len(words), chunk)]
-        width = self.dtype.itemsize
-        for held, raw in zip(chunks, self._encode([" ".join(c) for c in chunks])):
-            cuts = ((np.flatnonzero(self.ends[np.frombuffer(raw, self.dtype)]) + 1) * width).tolist()
-            parts = [raw[a:z] for a, z in zip([0, *cuts], cuts)] if len(cuts) == len(held) else self._encode(held)
-            self.cache.update(zip((w.encode() for w in held), parts))
+            if word.isascii() and word.isalpha():
+                found[i] = self._piece(word)
+                continue
+            low = word.lower()
+            if self.SIMPLE.fullmatch(low):
+                found[i] = self._pieces(low)
+            else:
+                others.append(i)
+        for i, ids in zip(others, self._whole([words[i] for i in others])):
+            found[i] = self.cache[words[i]] = ids
+        return found
+
+    def _pieces(self, word: str) -> bytes:
+        return b"".join([self.cache.get(p) or self._piece(p) for p in self.PIECE.findall(word)])
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a pre-token that is not in the younger generation."""
+        ids = self.older.get(piece)
+        if ids is None:
+            tokens = self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))
+            ids = self.packed(*[t.id for t in tokens])
+        self.cache[piece] = ids
+        return ids
+
+    def packed(self, *ids: int) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [self.packed(*e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -135,33 +161,29 @@ def _write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int) ->
     schema = pa.schema([("file", pa.string()), ("shard", pa.int64()), ("doc_id", pa.int64()), ("occurrence", pa.int64()),
                         ("offset", pa.int64()), ("n_tokens", pa.int64())])
 
-    def groups(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-        held, weight = [], 0
-        for row in rows:
-            held.append(row)
-            weight += len(row[1] or b"")
-            if len(held) >= 512 or weight > 4 << 20:
-                yield held
-                held, weight = [], 0
-        if held:
-            yield held
+    def groups(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
+        texts = pc.fill_null(batch.column(1), "")
+        held = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // BATCH_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(texts)]
+        for a, z in zip(cuts, cuts[1:]):
+            yield batch.column(0).slice(a, z - a).to_pylist(), texts.slice(a, z - a)
 
     def run(batches):
         enc, file = encoder(tokenizer), None
-        end = np.asarray([end_id], enc.dtype).tobytes()
+        end = enc.packed(end_id)
 
         def entries():
             nonlocal file
             last, seen, at = object(), 0, 0
             shard = TaskContext.get().partitionId()
-            for rows in groups(records(batches)):
+            for ids, texts in (g for batch in batches if len(batch) for g in groups(batch)):
                 if file is None:
                     file = TaskFile(folder, f"shard-{shard:06d}", ".ids")
-                    file.write(struct.pack(HEADER_FORMAT, MAGIC, enc.dtype.itemsize, end_id))
-                for (doc_id, _), ids in zip(rows, enc.encode([t or b"" for _, t in rows])):
-                    file.write(ids + end)
+                    file.write(struct.pack(HEADER_FORMAT, MAGIC, enc.width, end_id))
+                for doc_id, tokens in zip(ids, enc.encode(texts)):
+                    file.write(tokens + end)
                     seen = seen + 1 if doc_id == last else 0
-                    last, n = doc_id, len(ids) // enc.dtype.itemsize + 1
+                    last, n = doc_id, len(tokens) // enc.width + 1
                     yield file.uri, shard, doc_id, seen, at, n
                     at += n
             if file is not None:
@@ -210,7 +232,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch |
     """Encode every text of ``docs`` (doc_id, text), write the shard files in ascending doc_id order and index them."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "tokens")
-    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), utf8().alias("text"))
+    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
                .repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text"))
     entries = scratch.table(_write_shards(ordered, scratch.path("shards"), tokenizer, end_id), "entries")
     starts, so_far = {}, 0
@@ -231,7 +253,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch |
 
     index = scratch.table(_with_shard(entries, shards).groupBy("index_shard")
                           .applyInArrow(build, "index_shard long, arrays binary"), "index")
-    return TokenStore(index, entries.select("doc_id", "occurrence"), starts, shards, encoder(tokenizer).dtype.itemsize)
+    return TokenStore(index, entries.select("doc_id", "occurrence"), starts, shards, encoder(tokenizer).width)
 
 
 def locate(store: TokenStore, keys: DataFrame) -> DataFrame:
