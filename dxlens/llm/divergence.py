@@ -26,89 +26,87 @@ empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dxlens.llm.common import Scratch, utf8
+from dxlens.llm.common import Scratch
 
 TERM_PATTERN = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNIT = 1_000_000_000
-HELD_CHUNKS = 1 << 18
+HELD_BYTES = 32 << 20
 CELLS = 1 << 20
-_CHUNK_SCHEMA = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.binary()),
-                           ("docs", pa.int64()), ("n", pa.int64()), ("rows", pa.list_(pa.int64()))])
 
 
-def chunk_sums(docs: DataFrame, min_docs: int, held_chunks: int = HELD_CHUNKS) -> DataFrame:
-    """(lang, source, chunk, docs, n, rows): chunks counted per document and added up within tasks.
+def chunk_sums(docs: DataFrame, min_docs: int, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """(lang, chunk, docs, rows, sources, n): chunks counted per document and added up over some ``held_bytes`` of text.
 
-    ``rows`` numbers the documents, or is empty where ``docs`` reaches ``min_docs``.
-    A task passes its sums on whenever it holds ``held_chunks`` of them.
+    ``rows`` numbers the documents, and is empty where ``docs`` reaches ``min_docs``; ``n`` are the
+    chunk's occurrences in each of ``sources``, which are hashes of the names.
     """
 
-    def emitted(held: dict) -> pa.RecordBatch:
-        lang, source, chunk, docs, n, rows = [], [], [], [], [], []
-        for (a, b), chunks in held.items():
-            lang += [a] * len(chunks)
-            source += [b] * len(chunks)
-            chunk += chunks
-            for d, m, numbers in chunks.values():
-                docs.append(d)
-                n.append(m)
-                rows.append(numbers if d < min_docs else [])
-        columns = (lang, source, chunk, docs, n, rows)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CHUNK_SCHEMA)], schema=_CHUNK_SCHEMA)
+    def added(table: pa.Table) -> pa.RecordBatch:
+        words = pc.ascii_split_whitespace(_flat(table["text"]))
+        chunks = words.flatten().dictionary_encode()
+        code, width = chunks.indices.to_numpy().astype(np.int64), max(1, len(chunks.dictionary))
+        langs, sources = (_flat(table[c]).dictionary_encode() for c in ("lang", "source"))
+        doc = np.repeat(np.arange(len(table)), np.diff(words.offsets.to_numpy()))
+        blank = chunks.dictionary.index("").as_py()
+        if blank >= 0:
+            doc, code = doc[code != blank], code[code != blank]
+        # every document's different chunks with their counts, then ordered by language, chunk and source
+        key, n = np.unique(doc * width + code, return_counts=True)
+        doc, code = np.divmod(key, width)
+        chunk = langs.indices.to_numpy().astype(np.int64)[doc] * width + code
+        source = sources.indices.to_numpy()[doc]
+        order = np.lexsort((source, chunk))
+        chunk, source, n, doc = chunk[order], source[order], n[order], doc[order]
+        new = np.diff(chunk, prepend=-1) != 0
+        start, part = np.flatnonzero(new), np.flatnonzero(new | (np.diff(source, prepend=-1) != 0))
+        held = np.diff(np.append(start, len(chunk)))
+        few = held < min_docs
+        lang, code = np.divmod(chunk[start], width)
+        parts = np.append(np.searchsorted(part, start), len(part))
+        return pa.RecordBatch.from_arrays([
+            langs.dictionary.take(pa.array(lang)), chunks.dictionary.take(pa.array(code)), pa.array(held),
+            _lists(np.append(0, np.cumsum(np.where(few, held, 0))), table["number"].to_numpy()[doc[np.repeat(few, held)]]),
+            _lists(parts, sources.dictionary.to_numpy()[source[part]]),
+            _lists(parts, np.add.reduceat(n, part) if len(part) else n, pa.int32())], names=["lang", "chunk", "docs", "rows", "sources", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
+        held, size = [], 0
         for batch in batches:
-            for number, lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                chunks = held.setdefault((lang, source), {})
-                before = len(chunks)
-                for chunk, n in Counter(text.split()).items():
-                    entry = chunks.get(chunk)
-                    if entry is None:
-                        chunks[chunk] = [1, n, [number]]
-                        continue
-                    entry[0] += 1
-                    entry[1] += n
-                    if entry[0] < min_docs:
-                        entry[2].append(number)
-                size += len(chunks) - before
-                if size >= held_chunks:
-                    yield emitted(held)
-                    held, size = {}, 0
-        if size:
-            yield emitted(held)
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("number"), _named("lang"), _named("source"),
-                           F.coalesce(utf8(), F.lit("").cast("binary")).alias("text"))
-    return (numbered.mapInArrow(run, "lang string, source string, chunk binary, docs long, n long, rows array<long>")
-            .withColumn("chunk", F.col("chunk").cast("string")))
+            held.append(batch)
+            size += batch.nbytes
+            if size >= held_bytes:
+                yield added(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield added(pa.Table.from_batches(held))
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("number"), _named("lang"), _key().alias("source"), _named("text"))
+    return numbered.mapInArrow(run, "lang string, chunk string, docs long, rows array<long>, sources array<long>, n array<int>")
+
+
+def _key():
+    return F.xxhash64(_named("source"))
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def _named(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit("")).alias(column)
 
 
-def kept_terms(spread: DataFrame, sums: DataFrame, terms: DataFrame, min_docs: int) -> DataFrame:
-    """(lang, term): terms in at least ``min_docs`` documents of the language, exactly.
-
-    ``spread`` bounds each term's documents (lang, term, top, all), ``sums`` holds the
-    documents' numbers, ``terms`` the terms of each chunk.
-    """
-    open_terms = spread.where((F.col("top") < min_docs) & (F.col("all") >= min_docs)).select("lang", "term")
-    chunks = terms.select("chunk", F.explode(F.array_distinct("terms")).alias("term")).join(open_terms, "term")
-    counted = (sums.select("lang", "chunk", "rows").join(chunks, ["lang", "chunk"])
-               .select("lang", "term", F.explode("rows").alias("number")).distinct()
-               .groupBy("lang", "term").count().where(F.col("count") >= min_docs).select("lang", "term"))
-    return spread.where(F.col("top") >= min_docs).select("lang", "term").unionByName(counted)
+def _lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType = pa.int64()) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 
 
 def probability(n: str, total: str, terms: str):
@@ -170,36 +168,53 @@ def _ranked(rows: DataFrame):
     return rows.withColumn("rank", F.row_number().over(order))
 
 
+def kept_counts(docs: DataFrame, min_docs: int, scratch: Scratch, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """(lang, key, term, n) of the terms that at least ``min_docs`` documents of the language hold, exactly; ``key`` hashes the source."""
+    sums = scratch.table(chunk_sums(docs, min_docs, held_bytes), "sums")
+    terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM_PATTERN), 0)
+    chunks = scratch.table(
+        sums.select("chunk", "lang", "docs").repartition("chunk")
+        .groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"))
+        .groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))
+        .select("chunk", "langs", terms.alias("terms")).where(F.size("terms") > 0), "chunks")
+    spread = scratch.table(
+        chunks.select(F.explode(F.array_distinct("terms")).alias("term"), "langs").select("term", F.inline("langs"))
+        .groupBy("lang", "term").agg(F.max("docs").alias("top"), F.sum("docs").alias("all"))
+        .where(F.col("all") >= min_docs)
+        .select("lang", "term", (F.col("top") < min_docs).alias("open")), "spread")
+    # within a chunk a term may stand several times: all count as occurrences, the documents once
+    wanted = (chunks.select("chunk", F.explode("terms").alias("term"), F.col("langs.lang").alias("langs"))
+              .select("chunk", "term", F.explode("langs").alias("lang")).join(spread, ["lang", "term"]))
+    hits = scratch.table(sums.join(wanted, ["lang", "chunk"])
+                         .select("lang", "term", F.when(F.col("open"), F.col("rows")).alias("rows"), "sources", "n"), "hits")
+    scratch.drop("sums", "chunks")
+    rare = (hits.select("lang", "term", F.explode("rows").alias("row")).distinct()
+            .groupBy("lang", "term").count().where(F.col("count") >= min_docs).select("lang", "term"))
+    kept = spread.where(~F.col("open")).select("lang", "term").unionByName(rare)
+    counts = (hits.select("lang", "term", F.explode(F.arrays_zip("sources", "n")).alias("x"))
+              .groupBy("lang", F.col("x.sources").alias("key"), "term").agg(F.sum("x.n").alias("n")))
+    counts = scratch.table(counts.join(kept, ["lang", "term"]).select("lang", "key", "term", "n"), "counts")
+    scratch.drop("hits", "spread")
+    return counts
+
+
 def source_divergence(docs: DataFrame, min_docs: int = 10, top_terms: int = 10, cells: int = CELLS,
-                      held_chunks: int = HELD_CHUNKS) -> DataFrame:
+                      held_bytes: int = HELD_BYTES) -> DataFrame:
     """lang, source, part, item, value, rank of ``docs`` (text, lang, source).
 
     Part ``pair``: the divergence from every other source of the language, all ranks.  Part ``term``:
     the ``top_terms`` kept terms that set the source most apart from its language as a whole.
+    Two sources of one name hash would be counted as one: that fails, and no result is given.
     """
     scratch = Scratch(docs.sparkSession, "divergence")
-    sums = scratch.table(chunk_sums(docs, min_docs, held_chunks), "sums")
-    by_chunk = sums.select("chunk", "lang", "source", "docs", "n").repartition("chunk")
-    terms = scratch.table(
-        by_chunk.select("chunk").distinct()
-        .select("chunk", F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM_PATTERN), 0).alias("terms"))
-        .where(F.size("terms") > 0), "terms")
-    joined = by_chunk.join(terms, "chunk")
-    # within a chunk a term may stand several times: all count as occurrences, the documents once
-    counts = scratch.table(joined.select("lang", "source", "n", F.explode("terms").alias("term"))
-                           .groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "counts")
-    spread = scratch.table(
-        joined.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"), F.first("terms").alias("terms"))
-        .select("lang", "docs", F.explode(F.array_distinct("terms")).alias("term"))
-        .groupBy("lang", "term").agg(F.max("docs").alias("top"), F.sum("docs").alias("all")), "spread")
-    kept = scratch.table(kept_terms(spread, sums, terms, min_docs), "kept")
-    scratch.drop("sums", "terms", "spread")
-    counts = scratch.table(counts.join(kept, ["lang", "term"]), "kept_counts")
-    scratch.drop("counts")
+    named = scratch.table(docs.select(_named("lang"), _named("source"), _key().alias("key")).distinct(), "named")
+    if not named.groupBy("lang", "key").count().where("count > 1").isEmpty():
+        raise ValueError("two sources of a language have the same 64-bit hash")
+    counts = kept_counts(docs, min_docs, scratch, held_bytes).join(named, ["lang", "key"]).drop("key")
 
     langs = counts.groupBy("lang").agg(F.countDistinct("term").alias("v"), F.sum("n").alias("lang_total"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = (docs.select(_named("lang"), _named("source")).distinct()
+    groups = (named.select("lang", "source")
               .join(langs, "lang", "left").join(totals, ["lang", "source"], "left").na.fill(0, ["v", "lang_total", "total"]))
     groups = scratch.table(groups.withColumn("p0", F.when(F.col("v") > 0, probability("0L", "total", "v")).otherwise(0)), "groups")
     priced = (counts.join(groups, ["lang", "source"])

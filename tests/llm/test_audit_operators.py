@@ -218,12 +218,12 @@ def audit_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,cells,held", [(1, 1 << 20, 1 << 18), (2, 8, 5), (3, 1, 1)])
+@pytest.mark.parametrize("seed,cells,held", [(1, 1 << 20, 1 << 25), (2, 8, 2_000), (3, 1, 1)])
 def test_audit_equals_brute_force(spark, make_docs, seed, cells, held):
     rows = audit_rows(seed)
-    # few chunks held and few cells: partial sums, many blocks and tiles
+    # little text held and few cells: partial sums, many blocks and tiles
     want = brute_audit(rows)
-    assert audit(spark, make_docs(rows).repartition(5), cells=cells, held_chunks=held) == want
+    assert audit(spark, make_docs(rows).repartition(5), cells=cells, held_bytes=held) == want
     assert oracle_audit(rows) == want
 
 
