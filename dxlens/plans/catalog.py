@@ -43,7 +43,7 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def _one_patient(m: ProblemListMetrics) -> DataFrame:
     return snapshot.patient_snapshot(m.log, m.inputs.disch, m.terms, snapshot.busiest_patient(m.log),
-                                     hot=m.hot_patients)
+                                     loads=m.loads)
 
 
 def _one_patient_latest(m: ProblemListMetrics) -> DataFrame:
@@ -51,7 +51,7 @@ def _one_patient_latest(m: ProblemListMetrics) -> DataFrame:
     patient = snapshot.busiest_patient(m.log)
     pairs = snapshot.snapshot_pairs(snapshot.patient_rows(m.log, patient),
                                     snapshot.patient_rows(m.inputs.disch, patient),
-                                    m.concepts, hot=m.hot_patients)
+                                    m.concepts, loads=m.loads)
     return snapshot.attach_terms(snapshot.latest_update(pairs), m.terms, snapshot.SNAPSHOT_COLUMNS)
 
 

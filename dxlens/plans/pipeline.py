@@ -18,7 +18,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dxlens.operators.intervals import DEFAULT_TASK_PAIRS, hot_keys
+from dxlens.operators.dyadic import KeyLoads, key_depths
+from dxlens.operators.intervals import DEFAULT_TASK_PAIRS
 from dxlens.plans import billing, report, snapshot, stays, terminology
 from dxlens.sources.sinks import delete_path, materialise, publish, write_table
 
@@ -98,13 +99,18 @@ class ProblemListMetrics:
 
     @cached_property
     def hot_patients(self) -> DataFrame:
-        """Patients with more than ``task_pairs`` edit x stay pairs, and their grid sizes.
+        """Patients whose edit x stay pairs outweigh dyadic copies, with their depth.
 
         Shared by the three range joins (D5, D13, D14); the counts are upper
         bounds for the distinct projections D14 joins.
         """
-        return self._keep(hot_keys(self.log.where(F.col("ptid").isNotNull()), ["ptid"], self.task_pairs,
-                                   small=self.inputs.disch.where(F.col("ptid").isNotNull())), "hot_patients")
+        return self._keep(key_depths(self.log.where(F.col("ptid").isNotNull()), self.inputs.disch.where(F.col("ptid").isNotNull()),
+                                     ["ptid"], self.task_pairs), "hot_patients")
+
+    @cached_property
+    def loads(self) -> KeyLoads:
+        """The hot patients, and whether one of them may need the grid as well."""
+        return KeyLoads(self.hot_patients, not self.hot_patients.where("_grid").isEmpty())
 
     @cached_property
     def concepts(self) -> DataFrame:
@@ -125,7 +131,7 @@ class ProblemListMetrics:
     def snapshot_pairs(self) -> DataFrame:
         """D5 pairs without names (``dcprobstemp1`` before the name join)."""
         return self._keep(snapshot.snapshot_pairs(self.log, self.inputs.disch, self.concepts, self.task_pairs,
-                                                         self.hot_patients), "snapshot_pairs")
+                                                  self.loads), "snapshot_pairs")
 
     @cached_property
     def latest(self) -> DataFrame:
@@ -182,13 +188,13 @@ class ProblemListMetrics:
     def updated_during(self) -> DataFrame:
         """D13."""
         return self._keep(stays.updated_during(self.log, self.inputs.disch, self.terms, self.task_pairs,
-                                               self.hot_patients), "updated_during")
+                                               self.loads), "updated_during")
 
     @cached_property
     def present_during(self) -> DataFrame:
         """D14."""
         return self._keep(stays.present_during(self.log, self.inputs.disch, self.terms, self.task_pairs,
-                                               self.hot_patients), "present_during")
+                                               self.loads), "present_during")
 
     @cached_property
     def pr_present(self) -> DataFrame:

@@ -14,7 +14,8 @@ from dxlens.functions.keys import composite_key
 from dxlens.functions.ratios import percent
 from dxlens.functions.temporal import day, days_between, midnight, ts_literal
 from dxlens.operators.grouping import argmin_then_max, fill_from_group_min, flag_members, flag_repeats
-from dxlens.operators.intervals import DEFAULT_TASK_PAIRS, hot_key_join
+from dxlens.operators.dyadic import KeyLoads, ancestors, cover, day_number, interval_join
+from dxlens.operators.intervals import DEFAULT_TASK_PAIRS
 
 # Fixed values of the longitudinal problem key.
 NOTED_SENTINEL = "1900-01-01 00:00:00"
@@ -98,15 +99,15 @@ def patient_mrns(log: DataFrame, patient: DataFrame | int) -> DataFrame:
 
 
 def patient_snapshot(log: DataFrame, disch: DataFrame, names: DataFrame, patient: DataFrame | int,
-                     hot: DataFrame | None = None) -> DataFrame:
+                     loads: KeyLoads | None = None) -> DataFrame:
     """D5 for one patient: both sides pinned to the patient before the join."""
-    return snapshot(patient_rows(log, patient), patient_rows(disch, patient), names, hot=hot)
+    return snapshot(patient_rows(log, patient), patient_rows(disch, patient), names, loads=loads)
 
 
 # ----------------------------------------------------------------------- D5
 
 def snapshot_pairs(log: DataFrame, disch: DataFrame, concepts: DataFrame,
-                   task_pairs: int = DEFAULT_TASK_PAIRS, hot: DataFrame | None = None) -> DataFrame:
+                   task_pairs: int = DEFAULT_TASK_PAIRS, loads: KeyLoads | None = None) -> DataFrame:
     """D5 without names: every edit active at each discharge of its patient.
 
     At day level: noted <= discharge, entered <= discharge, and resolved or
@@ -124,8 +125,11 @@ def snapshot_pairs(log: DataFrame, disch: DataFrame, concepts: DataFrame,
     residual = ((day(F.col("b.noteddate")) <= dd) & (day(F.col("b.entrydate")) <= dd)
                 & ((day(F.col("b.resoldate")) > dd) | (day(F.col("b.deldate")) > dd)
                    | (F.col("b.resoldate").isNull() & F.col("b.deldate").isNull())))
-    pairs = hot_key_join(p, d, ["ptid"], residual, row_id=["probid"], small_row_id=["dischid"],
-                          task_pairs=task_pairs, hot=hot)
+    # an edit is active from the later of noting and entry to the day before the later of its ends
+    low = F.greatest(day_number(F.col("noteddate")), day_number(F.col("entrydate")))
+    high = F.greatest(day_number(F.col("resoldate")), day_number(F.col("deldate"))) - 1
+    pairs = interval_join(p, d, ["ptid"], lambda n: cover(low, high, n), lambda n: ancestors(day_number(F.col("dischdate")), n),
+                          residual, row_id=["probid"], small_row_id=["dischid"], task_pairs=task_pairs, loads=loads)
     cols = [F.col("b.snomed" if c == "conceptid" else f"{'s' if c in _FROM_DISCHARGE else 'b'}.{c}").alias(c)
             for c in SNAPSHOT_COLUMNS if c not in ("term", "datediff", "dcprobid")]
     cols.append(days_between(F.col("b.entrydate"), midnight(F.col("s.dischdate"))).alias("datediff"))
@@ -141,10 +145,10 @@ def attach_terms(df: DataFrame, names: DataFrame, columns: list[str] | None = No
 
 
 def snapshot(log: DataFrame, disch: DataFrame, names: DataFrame, task_pairs: int = DEFAULT_TASK_PAIRS,
-             hot: DataFrame | None = None) -> DataFrame:
+             loads: KeyLoads | None = None) -> DataFrame:
     """Problem list at each discharge, with names."""
     concepts = names.select("conceptid").distinct()
-    return attach_terms(snapshot_pairs(log, disch, concepts, task_pairs, hot), names, SNAPSHOT_COLUMNS)
+    return attach_terms(snapshot_pairs(log, disch, concepts, task_pairs, loads), names, SNAPSHOT_COLUMNS)
 
 
 # ----------------------------------------------------------------------- D6

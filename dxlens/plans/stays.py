@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from dxlens.functions.keys import composite_key, tuple_or_null
 from dxlens.functions.ratios import int_div, safe_div
 from dxlens.functions.temporal import day, days_between, midnight
-from dxlens.operators.intervals import DEFAULT_TASK_PAIRS, hot_key_join
+from dxlens.operators.dyadic import KeyLoads, ancestors, cover, day_number, interval_join
+from dxlens.operators.intervals import DEFAULT_TASK_PAIRS
 
 
 def _still_open_at(admit) -> F.Column:
@@ -31,7 +32,7 @@ UPDATED_COLUMNS = [
 
 
 def updated_during(log: DataFrame, disch: DataFrame, names: DataFrame,
-                   task_pairs: int = DEFAULT_TASK_PAIRS, hot: DataFrame | None = None) -> DataFrame:
+                   task_pairs: int = DEFAULT_TASK_PAIRS, loads: KeyLoads | None = None) -> DataFrame:
     """Edits entered during a stay of the same patient (``updated_during``).
 
     Day level: entered between admission and discharge day, noted by the
@@ -50,8 +51,9 @@ def updated_during(log: DataFrame, disch: DataFrame, names: DataFrame,
     dd, ad, ed = day(F.col("s.dischdate")), day(F.col("s.admitdate")), day(F.col("b.entrydate"))
     residual = ((day(F.col("b.noteddate")) <= dd) & _still_open_at(F.col("s.admitdate"))
                 & (ed <= dd) & (ed >= ad))
-    pairs = hot_key_join(p, d, ["ptid"], residual, row_id=["probid"], small_row_id=["dischid"],
-                          task_pairs=task_pairs, hot=hot)
+    pairs = interval_join(p, d, ["ptid"], lambda n: ancestors(day_number(F.col("entrydate")), n),
+                          lambda n: cover(day_number(F.col("admitdate")), day_number(F.col("dischdate")), n),
+                          residual, row_id=["probid"], small_row_id=["dischid"], task_pairs=task_pairs, loads=loads)
     since_admit = days_between(midnight(F.col("s.admitdate")), F.col("b.entrydate"))
     rows = pairs.select(
         F.col("s.ptid").alias("ptid"), F.col("s.dischid").alias("dischid"), F.col("b.pdxid").alias("pdxid"),
@@ -69,6 +71,9 @@ def updated_during(log: DataFrame, disch: DataFrame, names: DataFrame,
     return rows.join(n, "conceptid").select(*UPDATED_COLUMNS)
 
 
+# which of the two starts lies in the other interval, above the node numbers
+_EDIT_STARTS, _STAY_STARTS = 1 << 20, 1 << 21
+
 PRESENT_COLUMNS = [
     "ptid", "admitdate", "dischdate", "dischid", "pdxid", "conceptid", "term", "noteddate", "resoldate",
     "deldate", "dcprobid", "dcdxid", "dcbilldxid", "picd9desc",
@@ -76,7 +81,7 @@ PRESENT_COLUMNS = [
 
 
 def present_during(log: DataFrame, disch: DataFrame, names: DataFrame,
-                   task_pairs: int = DEFAULT_TASK_PAIRS, hot: DataFrame | None = None) -> DataFrame:
+                   task_pairs: int = DEFAULT_TASK_PAIRS, loads: KeyLoads | None = None) -> DataFrame:
     """Distinct problems present during a stay (``present_during``).
 
     Noted by the discharge day and not closed before the admission day.  Both
@@ -91,8 +96,24 @@ def present_during(log: DataFrame, disch: DataFrame, names: DataFrame,
          .select("ptid", "dischid", "admitdate", "dischdate").distinct())
     residual = (day(F.col("b.noteddate")) <= day(F.col("s.dischdate"))) & _still_open_at(F.col("s.admitdate"))
     row_id = ["ptid", "pdxid", "snomed", "noteddate", "resoldate", "deldate", "picd9desc"]
-    pairs = hot_key_join(p, d, ["ptid"], residual, row_id=row_id,
-                          small_row_id=["dischid", "admitdate", "dischdate"], task_pairs=task_pairs, hot=hot)
+    # two intervals overlap if the edit's starts within the stay, or else the stay's within the edit; a
+    # stay without an admission day starts, for edits without an end, after its discharge day
+    noted, admit, left = (day_number(F.col(c)) for c in ("noteddate", "admitdate", "dischdate"))
+    closed = F.greatest(day_number(F.col("resoldate")), day_number(F.col("deldate")))
+
+    def edit_nodes(n):
+        return F.when(n == 0, F.array(F.lit(0))).otherwise(
+            F.concat(ancestors(noted, n, _EDIT_STARTS), cover(noted + 1, closed, n, _STAY_STARTS)))
+
+    def stay_nodes(n):
+        return F.when(n == 0, F.array(F.lit(0))).otherwise(
+            F.concat(cover(admit, left, n, _EDIT_STARTS), ancestors(F.coalesce(admit, left + 1), n, _STAY_STARTS)))
+
+    starts_within = day(F.col("b.noteddate")) >= day(F.col("s.admitdate"))
+    once = (F.when(F.col("b._node") >= _STAY_STARTS, ~F.coalesce(starts_within, F.lit(False)))
+            .when(F.col("b._node") >= _EDIT_STARTS, starts_within).otherwise(True))
+    pairs = interval_join(p, d, ["ptid"], edit_nodes, stay_nodes, residual & once, row_id=row_id,
+                          small_row_id=["dischid", "admitdate", "dischdate"], task_pairs=task_pairs, loads=loads)
     rows = pairs.select(
         F.col("b.ptid").alias("ptid"), F.col("s.admitdate").alias("admitdate"),
         F.col("s.dischdate").alias("dischdate"), F.col("s.dischid").alias("dischid"),

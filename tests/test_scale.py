@@ -1,9 +1,12 @@
 """Skew handling and plan shape."""
 
 import collections
+import random
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from dxlens.operators.dyadic import KeyLoads, ancestors, cover, day_number, interval_join, key_depths, with_nodes
 from dxlens.operators.intervals import hot_key_join, hot_keys
 
 
@@ -34,7 +37,7 @@ def test_snapshot_scan_prunes_columns_and_pushes_filters(spark):
 
 
 def test_pipeline_with_a_patient_holding_a_third_of_all_edits(spark):
-    """One patient owns a third of the edits: salted range joins give the same rows."""
+    """One patient owns a third of the edits: dyadic and grid-split range joins give the same rows."""
     from dxlens.plans.catalog import metrics
     from dxlens.plans.pipeline import ProblemListMetrics
     from .conftest import SMALL
@@ -44,10 +47,57 @@ def test_pipeline_with_a_patient_holding_a_third_of_all_edits(spark):
     inputs = type(base)(base.descr, base.relats, skewed_log, base.disch, base.billdata)
     plain = ProblemListMetrics(inputs, study_end="2024-06-06", materialise="none")
     salted = ProblemListMetrics(inputs, study_end="2024-06-06", materialise="none", task_pairs=40)
-    assert {r.ptid: r._buckets for r in salted.hot_patients.collect()}[7] > 4
+    assert {r.ptid: r._grid for r in salted.hot_patients.collect()}[7]
+    deep = ProblemListMetrics(inputs, study_end="2024-06-06", materialise="none", task_pairs=40)
+    both = [x.where(F.col("ptid").isNotNull()) for x in (deep.log, inputs.disch)]
+    deep.loads = KeyLoads(key_depths(*both, ["ptid"], 40, gain=0))
+    assert max(r._depth for r in deep.loads.depths.collect()) > 4
     for name in ("snapshot_pairs", "updated_during", "present_during"):
-        a, b = getattr(plain, name), getattr(salted, name)
-        assert a.count() == b.count() and a.exceptAll(b).count() == 0, name
+        a = getattr(plain, name)
+        for b in (getattr(salted, name), getattr(deep, name)):
+            assert a.count() == b.count() and a.exceptAll(b).count() == 0, name
+
+
+def _point_in_interval(intervals, points, **options):
+    low, high, at = day_number(F.col("low")), day_number(F.col("high")), day_number(F.col("at"))
+    exact = (F.col("b.low") <= F.col("s.at")) & (F.col("b.high").isNull() | (F.col("b.high") >= F.col("s.at")))
+    return interval_join(intervals, points, ["k"], lambda n: cover(low, high, n), lambda n: ancestors(at, n), exact,
+                         row_id=["b_id"], small_row_id=["s_id"], **options)
+
+
+def test_interval_join_equals_range_join_for_any_days(spark):
+    rng = random.Random(3)
+
+    def some_day():
+        return date(1900, 1, 1) + timedelta(rng.choice([rng.randint(0, 60), rng.randint(-900, 90_000), 65_535, 65_536, 0]))
+
+    rows = [(rng.randint(0, 3), i, some_day(), rng.choice([None, some_day()])) for i in range(400)]
+    intervals = spark.createDataFrame(rows, "k int, b_id int, low date, high date")
+    points = spark.createDataFrame([(rng.randint(0, 3), i, rng.choice([some_day(), some_day(), None])) for i in range(300)], "k int, s_id int, at date")
+    plain = intervals.alias("b").join(points.alias("s"), F.expr("b.k = s.k AND b.low <= s.at AND coalesce(b.high >= s.at, true)"))
+    want = sorted(tuple(r) for r in plain.select("b_id", "s_id").collect())
+    assert len(want) > 1000
+    for depth in (0, 1, 5, 16):
+        depths = spark.createDataFrame([(k, depth, k < 2) for k in range(4)], "k int, _depth int, _grid boolean")
+        for split, task_pairs in ((True, 50), (False, 50)):
+            got = _point_in_interval(intervals, points, loads=KeyLoads(depths, split), task_pairs=task_pairs)
+            assert sorted(tuple(r) for r in got.select("b_id", "s_id").collect()) == want, depth
+
+
+def test_one_patient_with_many_edits_and_stays_forms_few_pairs(spark):
+    """20,000 intervals and 20,000 points of one key: the pairs tested are near the pairs found."""
+    start = F.lit("1950-01-01").cast("date")
+    intervals = spark.range(20_000).select(F.lit(1).alias("k"), F.col("id").alias("b_id"), F.expr("date_add(DATE'1950-01-01', int(id * 7919 % 20000))").alias("low"))
+    intervals = intervals.withColumn("high", F.expr("date_add(low, int(b_id % 9))"))
+    points = spark.range(20_000).select(F.lit(1).alias("k"), F.col("id").alias("s_id"), F.date_add(start, F.expr("int(id * 31 % 20000)")).alias("at"))
+    depths = key_depths(intervals, points, ["k"])
+    assert [tuple(r) for r in depths.collect()] == [(1, 15, True)]
+    b = with_nodes(intervals, ["k"], depths, lambda n: cover(day_number(F.col("low")), day_number(F.col("high")), n))
+    s = with_nodes(points, ["k"], depths, lambda n: ancestors(day_number(F.col("at")), n))
+    formed = b.join(s, ["k", "_node"]).count()
+    found = _point_in_interval(intervals, points).count()
+    assert found == intervals.select(F.sum(F.least(F.lit(19_999), F.expr("datediff(high, DATE'1950-01-01')")) - F.expr("datediff(low, DATE'1950-01-01')") + 1)).first()[0]
+    assert formed < 2 * found  # all pairs would be 400 million
 
 
 def test_grid_split_when_both_sides_are_hot(spark):
