@@ -150,18 +150,31 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as it needs to differ from every column."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def keys_joined(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """Equi-join in which null keys match each other; ``on`` columns come from the left."""
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    keys = free_names([*left.columns, *right.columns], *on)
+    renamed = right.select(*[F.col(c).alias(keys[on.index(c)]) if c in on else F.col(c) for c in right.columns])
     cond = None
-    for c in on:
-        test = left[c].eqNullSafe(renamed[f"_r_{c}"])
+    for c, key in zip(on, keys):
+        test = left[c].eqNullSafe(renamed[key])
         cond = test if cond is None else cond & test
-    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
+    return left.join(renamed, cond, how).drop(*keys)
 
 
 def running_totals(df: DataFrame, order: list, weight: str, scratch: Scratch, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from dxlens.llm.common import batched, records, utf8
 
 ERROR_RATE = 0.1
-MIN_PIECE = 12
+MIN_PIECE = 5
 BLOCK_BYTES = 4 << 20
 
 PAIR_FIELDS = "doc_id long, text_hash long, item_id long, distance long, start long, stop long, budget long"
@@ -43,7 +43,7 @@ def normalise(text: bytes | None) -> bytes:
 def budget(length: int, error_rate: float, min_piece: int) -> int:
     """Edits allowed for an item of ``length`` bytes: its share, as far as pieces of ``min_piece`` bytes allow.
 
-    With the defaults the pieces alone set it: 0 below 24 bytes, 6 % at 81, 7.5 % at 200, 8 % at 1,000.
+    With the defaults the share alone sets it: a tenth, in pieces of 9 bytes (5 for items of 10 bytes, none below).
     """
     return max(0, min(int(length * error_rate), length // min_piece - 1))
 

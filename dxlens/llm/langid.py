@@ -18,10 +18,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from itertools import combinations
-from re import compile as pattern
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ STEPS = 60
 RATE = 0.5
 RIDGE = 1e-6
 CACHED_WORDS = 1 << 18
-LETTER = pattern(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dxlens.llm.common import WORD_PATTERN, Scratch, keys_joined, running_totals
+from dxlens.llm.common import free_names, keys_joined, running_totals, Scratch, WORD_PATTERN
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -86,7 +86,11 @@ def schedule(sources: DataFrame, scratch: Scratch, block_words: int) -> DataFram
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS,
         block_words: int = BLOCK_WORDS, seed: str = SEED) -> DataFrame:
-    """doc_id, text_hash, size, source, source_size, target, taken per row of ``docs`` (doc_id, text, source)."""
+    """doc_id, text_hash, size, source, source_size, target, taken, slots, first_slot per row of ``docs`` (doc_id, text, source).
+
+    ``slots`` are the schedule's positions at which the passes over the document begin, by epoch
+    (at most ``max_repeats`` of them); sorted by it the mix holds all sources in proportion from the start.
+    """
     scratch = Scratch(docs.sparkSession, "mixing")
     sized = scratch.table(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), word_count().alias("size"), "source",
@@ -107,32 +111,44 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
             .withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / block_words), F.floor((end - 1) / block_words))))
             .withColumn("from", F.greatest(F.col("offset") - F.col("block") * block_words, F.lit(0)))
             .withColumn("to", F.least(end - F.col("block") * block_words, F.lit(block_words))))
-    slots = schedule(sources, scratch, block_words).select("number", "block", "words")
+    slots = schedule(sources, scratch, block_words).select("number", "block", "t", "epoch", "words")
     met = held.join(slots, ["number", "block"], "left")
     takes = F.greatest(F.least(F.col("to"), F.coalesce("words", F.lit(0))) - F.col("from"), F.lit(0))
-    taken = met.groupBy(*row, "number", "offset").agg(F.coalesce(F.sum(takes), F.lit(0)).alias("taken")).drop("number", "offset")
-    return taken.unionByName(stream.where("size = 0").select(*row, F.lit(0).cast("long").alias("taken")))
+    # a pass over a document begins in the slot of its epoch that takes the document's first words
+    begins = F.when((takes > 0) & (F.col("block") == F.floor(F.col("offset") / block_words)), F.struct("epoch", F.col("t").alias("slot")))
+    taken = (met.groupBy(*row, "number", "offset")
+             .agg(F.coalesce(F.sum(takes), F.lit(0)).alias("taken"),
+                  F.transform(F.array_sort(F.collect_list(begins)), lambda x: x["slot"]).alias("slots")).drop("number", "offset"))
+    taken = taken.withColumn("first_slot", F.array_min("slots"))
+    return taken.unionByName(stream.where("size = 0").select(*row, F.lit(0).cast("long").alias("taken"),
+                                                             F.array().cast("array<long>").alias("slots"), F.lit(None).cast("long").alias("first_slot")))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, position: str | None = None, **options) -> DataFrame:
     """The documents as the mix takes them: a row per whole pass over a document, and one with its first words for a part.
 
     The last epoch covers the start of each source's stream, so a partly taken document gives its first words.
+    ``position`` names a column for the schedule's position of each row; without it the rows
+    are written in the order of the schedule, range-partitioned.  All columns are kept, whatever their names.
     """
     columns = docs.columns
+    text_hash, twin, size, taken, slots, number, slot = free_names(columns, "text_hash", "twin", "size", "taken", "slots", "pass", "slot")
     plan = mix(docs, **options).where("taken > 0").select(
-        "doc_id", F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+        "doc_id", F.col("text_hash").alias(text_hash), F.col("size").alias(size), F.col("taken").alias(taken), F.col("slots").alias(slots))
     # identical rows are told apart by number on both sides
-    key = ["doc_id", "_hash"]
-    plan = plan.withColumn("_twin", F.row_number().over(Window.partitionBy(*key).orderBy("_taken")))
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    rows = rows.withColumn("_twin", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
-    met = keys_joined(rows, plan, [*key, "_twin"], "inner")
-    passes = F.ceil(F.col("_taken") / F.col("_size"))
-    part = F.col("_taken") - F.col("_pass") * F.col("_size")
+    key = ["doc_id", text_hash]
+    plan = plan.withColumn(twin, F.row_number().over(Window.partitionBy(*key).orderBy(taken, slots)))
+    rows = docs.withColumn(text_hash, F.xxhash64("text"))
+    rows = rows.withColumn(twin, F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+    met = keys_joined(rows, plan, [*key, twin], "inner")
+    passes = F.ceil(F.col(taken) / F.col(size))
+    part = F.col(taken) - F.col(number) * F.col(size)
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(part >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), part.cast("int")), " "))
-    out = met.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1))).withColumn("text", text)
+    text = F.when(part >= F.col(size), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), part.cast("int")), " "))
+    out = met.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), passes - 1))).withColumn("text", text)
+    out = out.withColumn(slot, F.get(F.col(slots), F.col(number).cast("int")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    if position is not None:
+        return out.select(*columns, F.col(slot).alias(position))
+    return out.repartitionByRange(slot, "doc_id").sortWithinPartitions(slot, "doc_id").select(*columns)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dxlens.llm.common import Scratch, utf8
+from dxlens.llm.common import free_names, Scratch, utf8
 from dxlens.llm.subwords import BUCKETS, Bags, fitting, held_out, sample_order, sized, subwords, texts_of, tokens
 
 DIMENSIONS = 4
@@ -151,12 +151,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes:
     return train([t for t, _ in rows], np.array([y for _, y in rows]), prior=prior)
 
 
-def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """The given columns of ``docs`` with ``score``, the probability that the text is toxic."""
+def score(docs: DataFrame, model: Model, columns: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The given columns of ``docs`` with ``name``, the probability that the text is toxic.
+
+    ``name`` must differ from the columns kept; other names in ``docs`` do not matter.
+    """
     columns = ["doc_id"] if columns is None else columns
+    text, = free_names(columns, "text")
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.weight, model.bias))  # BUCKETS numbers, whatever the corpus
-    schema = docs.select(*columns).withColumn("score", F.lit(0.0)).schema
+    schema = docs.select(*columns).withColumn(name, F.lit(0.0)).schema
 
     def run(batches):
         weight, bias = sent.value
@@ -173,6 +177,6 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
                     scores[a + i] = sum(map(cache.__getitem__, bag)) / (len(bag) + PAD)
             with np.errstate(over="ignore"):
                 p = 1 / (1 + np.exp(-(scores + bias)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p)], names=[*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p)], names=[*batch.schema.names[1:], name])
 
-    return docs.select(utf8().alias("_text"), *columns).mapInArrow(run, schema)
+    return docs.select(utf8().alias(text), *columns).mapInArrow(run, schema)
