@@ -48,8 +48,9 @@ def _stage(fn: Stage) -> Stage:
 @_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, common.read(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, docs.columns)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    name, = common.free_names(docs.columns, "score")
+    scored = toxicity.score(docs, model, docs.columns, name)
+    return scored.where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 @_stage
