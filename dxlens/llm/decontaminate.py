@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from dxlens.llm.common import batched, records, utf8
 
 ERROR_RATE = 0.1
 MIN_PIECE = 5
+GRAM = 4
 BLOCK_BYTES = 4 << 20
 
 PAIR_FIELDS = "doc_id long, text_hash long, item_id long, distance long, start long, stop long, budget long"
@@ -62,6 +64,13 @@ def masks(item: bytes) -> dict[int, int]:
     return found
 
 
+def gram_codes(text: bytes) -> list[int]:
+    """The text's stretches of GRAM bytes, as numbers."""
+    letters = np.frombuffer(text, np.uint8).astype(np.uint32)
+    n = max(0, len(letters) - GRAM + 1)
+    return sum((letters[i:i + n] << np.uint32(8 * i) for i in range(GRAM)), np.zeros(n, np.uint32)).tolist()
+
+
 def best_match(length: int, places: dict[int, int], text: bytes) -> tuple[int, int]:
     """(distance, end): the least edit distance of the item to any stretch of ``text``, and where the first such ends.
 
@@ -103,7 +112,8 @@ class Matcher:
             errors = budget(len(text), error_rate, min_piece)
             for offset, piece in pieces(text, errors):
                 owners.setdefault(piece.decode("latin-1"), []).append((len(self.items), offset))
-            self.items.append((item_id, text, errors, masks(text), masks(text[::-1])))
+            grams = gram_codes(text)
+            self.items.append((item_id, text, errors, masks(text), masks(text[::-1]), grams, len(grams) - GRAM * errors))
         for piece, whose in owners.items():
             self.automaton.add_word(piece, (len(piece), whose))
         if owners:
@@ -117,9 +127,10 @@ class Matcher:
             return
         found: dict[int, tuple[int, int, int]] = {}
         seen: dict[int, int] = {}
+        codes: list[int] = []
         for last, (size, whose) in self.automaton.iter(data.decode("latin-1")):  # bytes as characters
             for number, offset in whose:
-                _, item, errors, places, reverse = self.items[number]
+                _, item, errors, places, reverse, grams, shared = self.items[number]
                 start = last + 1 - size - offset
                 best = found.get(number)
                 if best and best[0] == 0 or seen.get(number) == start:
@@ -130,6 +141,11 @@ class Matcher:
                     continue
                 low = max(0, start - errors)
                 stretch = data[low:max(0, start) + len(item) + errors]
+                # an edit destroys at most GRAM of the item's grams, so most must stand in the stretch
+                if shared > 0:
+                    codes = codes or gram_codes(data)
+                    if sum(map(set(codes[low:max(low, low + len(stretch) - GRAM + 1)]).__contains__, grams)) < shared:
+                        continue
                 distance, end = best_match(len(item), places, stretch)
                 if distance <= errors and (best is None or distance < best[0]):
                     # the longest start for that end: the same search backwards from it
