@@ -9,6 +9,7 @@ joins that row back on the group key.  NULL keys never match, exactly like the
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +53,23 @@ def argmin_then_max(df: DataFrame, keys: Sequence[str], minimise: str, tiebreak:
     return present.join(best, [*keys, tiebreak], "inner").select(*df.columns)
 
 
+def packed_argmin(df: DataFrame, keys: Sequence[str], minimise: str, tiebreak: str) -> DataFrame:
+    """``keys`` and the ``tiebreak`` of the row with the smallest ``minimise``, then the largest ``tiebreak``.
+
+    Both are whole numbers, |``minimise``| below 2^62 (beyond it the decimal overflows and the job
+    fails) and ``tiebreak`` a long.  They are packed in order into one decimal, a buffer of fixed
+    width, so the partial aggregate is a hash aggregate; a struct would make it a sort aggregate.
+    Rows with a NULL in a key, in ``minimise`` or in ``tiebreak`` take no part.
+    """
+    cell = F.lit(Decimal(1 << 64))
+    turned = F.lit(Decimal((1 << 63) - 1)) - F.col(tiebreak).cast("decimal(19,0)")
+    packed = (F.col(minimise).cast("decimal(19,0)") * cell).cast("decimal(38,0)") + turned.cast("decimal(20,0)")
+    best = (df.where(all_present(*keys, minimise, tiebreak))
+            .groupBy(*keys).agg(F.min(packed.cast("decimal(38,0)")).alias("_best")))
+    low = F.pmod(F.col("_best"), cell.cast("decimal(38,0)")).cast("decimal(20,0)")
+    return best.select(*keys, (F.lit(Decimal((1 << 63) - 1)) - low).cast("long").alias(tiebreak))
+
+
 def flag_repeats(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     """``out`` = 1 when two or more rows share ``keys`` (all non-NULL), else 0."""
     repeated = (df.where(all_present(*keys)).groupBy(*keys).count()

@@ -1,16 +1,19 @@
 """All jobs wired together over one set of inputs.
 
 :class:`ProblemListMetrics` exposes each intermediate and published table as a
-lazily built attribute.  Tables read by later jobs are materialised once
+lazily built attribute.  Tables that several jobs read are materialised once
 (``materialise``: ``table`` writes Parquet to the shared checkpoint folder and
 reads it back, ``checkpoint`` uses ``DataFrame.checkpoint``, ``persist`` keeps
-them on the executors, ``none`` keeps plain lazy plans).
+them on the executors, ``none`` keeps plain lazy plans).  Without ``outputs`` every table is; with ``outputs`` only those that
+the jobs behind them read more than once (:func:`shared_tables`), the rest stay lazy plans.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+import uuid
+from collections import Counter
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from dxlens.operators.dyadic import KeyLoads, key_depths
 from dxlens.operators.intervals import DEFAULT_TASK_PAIRS
 from dxlens.plans import billing, report, snapshot, stays, terminology
-from dxlens.sources.sinks import delete_path, materialise, publish, write_table
+from dxlens.sources.sinks import delete_path, materialise, publish, table_root, write_table
 
 DEFAULT_STUDY_END = "2015-06-06"
 
@@ -39,24 +42,77 @@ class Inputs:
         return cls(**{k: tables[k] for k in ("descr", "relats", "pldata", "disch", "billdata")})
 
 
+# What each job reads of the others, once for every scan of it.
+GRAPH: dict[str, tuple[str, ...]] = {
+    "names": (), "log": (),
+    "terms": ("names", "log"),
+    "hot_patients": ("log",),
+    "loads": ("hot_patients", "hot_patients", "hot_patients"),   # one test, one join to either side
+    "concepts": ("terms",),
+    "snapshot_pairs": ("log", "concepts", "loads"),
+    "snapshot": ("snapshot_pairs", "terms"),
+    "latest": ("log", "log", "concepts", "loads", "terms"),
+    "candidate_closure": ("concepts",),
+    "closure": ("candidate_closure", "latest"),
+    "subsumption": ("latest", "latest", "closure"),
+    "problems": ("latest", "latest", "subsumption", "closure", "terms"),
+    "summary": ("problems", "problems"),
+    "disch2": ("summary",),
+    "updated_during": ("log", "terms", "loads"),
+    "present_during": ("log", "terms", "loads"),
+    "pr_present": ("present_during",),
+    "pr_updated": ("updated_during",),
+    "pusumm": ("pr_present", "pr_updated"),
+    "disch3": ("disch2", "pusumm"),
+    "outside": ("log", "updated_during"),
+    "billdata": (),
+    "match_concept": ("present_during",),
+    "match_dx": ("match_concept",),
+    "stats_dx": ("match_dx",),
+    "stats_concept": ("match_concept",),
+    "disch4": ("disch3", "stats_dx", "stats_concept"),
+}
+# tables that are files already when they are built
+_FILES = {"candidate_closure"}
+
+
+def shared_tables(outputs: Iterable[str]) -> set[str]:
+    """Tables that are read more than once on the way to ``outputs`` (named once for every read of the caller)."""
+    reads = Counter(outputs)
+    todo, needed = list(reads), set()
+    while todo:
+        job = todo.pop()
+        if job in needed:
+            continue
+        needed.add(job)
+        reads.update(GRAPH[job])
+        todo.extend(GRAPH[job])
+    # a selection or a pair of tables is read through, not stored
+    for through in ("concepts", "loads", "snapshot"):
+        if reads[through] > 1:
+            reads.update(GRAPH[through])
+    return {job for job, n in reads.items() if n > 1} - {"concepts", "loads", "snapshot", "billdata"} - _FILES
+
+
 class ProblemListMetrics:
     """Problem-list quality metrics for one set of inputs.
 
     ``integer_ratio`` reproduces truncating integer ratios (see
     :func:`dxlens.functions.ratios.percent`); ``study_end`` censors readmission
-    times; ``task_pairs`` is the number of edit x stay pairs above which range joins
+    times; ``outputs`` names the attributes the caller reads, once for every read; ``task_pairs`` is the number of edit x stay pairs above which range joins
     split a patient over several tasks; ``max_depth`` limits the closure (default: no limit).
     """
 
     def __init__(self, inputs: Inputs, *, study_end: str = DEFAULT_STUDY_END, integer_ratio: bool = False,
                  materialise: str = "table", task_pairs: int = DEFAULT_TASK_PAIRS,
-                 max_depth: int | None = None):
+                 max_depth: int | None = None, outputs: Iterable[str] | None = None):
         self.inputs = inputs
         self.study_end = study_end
         self.integer_ratio = integer_ratio
         self.how = materialise
         self.task_pairs = task_pairs
         self.max_depth = max_depth
+        self.shared = None if outputs is None else shared_tables(outputs)
         self._tables: list[str] = []
 
     @property
@@ -64,7 +120,9 @@ class ProblemListMetrics:
         return self.inputs.pldata.sparkSession
 
     def _keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Materialise a table that later jobs read."""
+        """Materialise a table that several jobs read."""
+        if self.shared is not None and name not in self.shared:
+            return df
         if self.how != "table":
             return materialise(df, self.how, name)
         out, path = write_table(df, name)
@@ -77,7 +135,7 @@ class ProblemListMetrics:
             delete_path(self.spark, path)
         self._tables.clear()
         for name in list(self.__dict__):
-            if name not in ("inputs", "study_end", "integer_ratio", "how", "task_pairs", "max_depth", "_tables"):
+            if name not in ("inputs", "study_end", "integer_ratio", "how", "task_pairs", "max_depth", "shared", "_tables"):
                 del self.__dict__[name]
 
     # -- terminology ---------------------------------------------------------
@@ -136,7 +194,8 @@ class ProblemListMetrics:
     @cached_property
     def latest(self) -> DataFrame:
         """D6 ``pldata2`` before the flag columns."""
-        rows = snapshot.latest_update(self.snapshot_pairs)
+        keys = snapshot.snapshot_keys(self.log, self.inputs.disch, self.concepts, self.task_pairs, self.loads)
+        rows = snapshot.latest_from_keys(keys, self.log, self.inputs.disch)
         return self._keep(snapshot.attach_terms(rows, self.terms, snapshot.SNAPSHOT_COLUMNS), "latest")
 
     @cached_property
@@ -149,8 +208,9 @@ class ProblemListMetrics:
         it can run while the snapshot is still being built.
         """
         edges = terminology.isa_edges(self.inputs.relats)
-        return self._keep(terminology.descendant_closure(edges, self.concepts, max_depth=self.max_depth),
-                          "candidate_closure")
+        root = f"{table_root(self.spark)}/closure-{uuid.uuid4().hex}"
+        self._tables.append(root)
+        return terminology.descendant_closure(edges, self.concepts, max_depth=self.max_depth, root=root)
 
     @cached_property
     def closure(self) -> DataFrame:
@@ -322,6 +382,19 @@ class ProblemListMetrics:
             names.append(prefix + view)
         return names
 
+    def register_functions(self, prefix: str = "") -> list[str]:
+        """Register D9's lookups as temporary SQL functions of a concept id: ``DescLookup``, ``LogDescLookup``.
+
+        Their bodies are scalar subqueries over the view of the closure, which the optimizer turns
+        into one aggregate and one left join per call site; no row is looked up by itself.
+        """
+        view, plain, log = prefix + "closure", prefix + "DescLookup", prefix + "LogDescLookup"
+        self.closure.createOrReplaceTempView(view)
+        count = f"(SELECT count(*) FROM {view} c WHERE c.destinationid = concept)"
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {plain}(concept BIGINT) RETURNS INT RETURN CAST({count} AS INT)")
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {log}(concept BIGINT) RETURNS DOUBLE RETURN log10(1 + {count})")
+        return [plain, log]
+
     # -- outputs -------------------------------------------------------------
     def outputs(self) -> dict[str, DataFrame]:
         """The published tables."""

@@ -8,6 +8,8 @@ SQL side), so that every job's work grows with the test tables.
   an inactive later version, a synonym row of another type).
 * ``relats`` from ``part``: two is-a edges per key > 0, to key/3 (inactive when
   key % 19 = 0) and to key/5.
+  With ``chains``, besides, for every part key a node :data:`CHAIN_BASE` + key below the node of
+  key - 1, or, where key % 40 = 0, below concept key/40: chains 40 levels deep that nothing shortens.
 * ``pldata`` from ``events``: one edit per event.
 * ``disch``  from ``orders``: one stay per order.
 * ``billdata`` from ``lineitem`` joined to ``orders``.
@@ -38,6 +40,8 @@ ADMIT_BASE = "2024-01-01 08:00:00"
 DISCH_BASE = "2024-01-01 15:00:00"
 READMIT_BASE = "2024-01-01 09:00:00"
 STUDY_END = "2024-06-06"
+CHAIN_BASE = 1_000_000_000_000
+CHAIN_LENGTH = 40
 
 TABLES = ("part", "events", "orders", "lineitem")
 
@@ -90,6 +94,16 @@ def relats_from_part(part: DataFrame) -> DataFrame:
         F.lit(MODIFIER).alias("modifierid")), schemas.RELATS)
 
 
+def chains_from_part(part: DataFrame) -> DataFrame:
+    key = F.col("p_partkey").cast("long")
+    parent = F.when(key % CHAIN_LENGTH == 0, F.floor(key / CHAIN_LENGTH)).otherwise(key - 1 + CHAIN_BASE)
+    return schemas.conform(part.select(
+        (key * 10 + 3).alias("id"), F.lit("20020131").alias("effectivetime"), F.lit(1).alias("active"),
+        F.lit(MODULE).alias("moduleid"), (key + CHAIN_BASE).alias("sourceid"), parent.alias("destinationid"),
+        F.lit(0).alias("relationshipgroup"), F.lit(ISA_TYPE).alias("typeid"),
+        F.lit(STATED).alias("characteristictypeid"), F.lit(MODIFIER).alias("modifierid")), schemas.RELATS)
+
+
 def pldata_from_events(events: DataFrame) -> DataFrame:
     e, ts = F.col("event_id"), F.col("ts")
     overlen = e % 50
@@ -144,12 +158,15 @@ def billdata_from_lineitem(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         schemas.BILLDATA)
 
 
-def load_bridge(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The five inputs derived from the test tables under ``sf_dir``."""
+def load_bridge(spark: SparkSession, sf_dir: str, chains: bool = False) -> dict[str, DataFrame]:
+    """The five inputs derived from the test tables under ``sf_dir``; ``chains`` adds deep is-a chains."""
     src = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    relats = relats_from_part(src["part"])
+    if chains:
+        relats = relats.unionByName(chains_from_part(src["part"]))
     return {
         "descr": descr_from_part(src["part"]),
-        "relats": relats_from_part(src["part"]),
+        "relats": relats,
         "pldata": pldata_from_events(src["events"]),
         "disch": disch_from_orders(src["orders"]),
         "billdata": billdata_from_lineitem(src["lineitem"], src["orders"]),

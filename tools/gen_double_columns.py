@@ -17,7 +17,7 @@ from dxlens.plans.catalog import _JOBS, metrics  # noqa: E402
 spark = get_session("local[4]", shuffle_partitions=4)
 m = metrics(spark, sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001", materialise="none")
 print("DOUBLE_COLUMNS = {")
-for name, job in _JOBS.items():
+for name, (_, job) in _JOBS.items():
     if name in ("discharge_summary_int", "activity_ratios_int"):
         continue
     cols = [f.name for f in job(m).schema.fields if isinstance(f.dataType, T.DoubleType)]
