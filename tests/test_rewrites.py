@@ -12,7 +12,7 @@ import duckdb
 import pandas as pd
 
 from dxlens.operators.closure import descendant_closure
-from dxlens.operators.grouping import argmin_then_max, flag_repeats, latest_per_group
+from dxlens.operators.grouping import argmin_then_max, flag_repeats, latest_per_group, packed_argmin
 
 SEEDS = range(8)
 
@@ -102,3 +102,24 @@ def test_closure_equals_plain_search(spark):
             want = _bag((top, node, depth) for top in seeds for node, depth in _least_depths(edges, top).items()
                         if limit is None or depth <= limit)
             assert got == want, (seed, limit)
+
+
+def test_packed_argmin_equals_plain_choice(spark):
+    big = 2 ** 62 - 1
+    for seed in SEEDS:
+        rnd = random.Random(seed)
+        rows = [(rnd.choice([None, 1, 2, 3]), rnd.choice([1, 2]), rnd.choice([None, -big, -7, 0, 5, big]),
+                 rnd.choice([None, -2 ** 63, -1, 0, 4, 2 ** 63 - 1])) for _ in range(60)]
+        df = spark.createDataFrame(rows, "k long, g long, v long, p long")
+        got = {(r.k, r.g): r.p for r in packed_argmin(df, ["k", "g"], "v", "p").collect()}
+        want = {}
+        for k, g, v, p in rows:
+            if None not in (k, g, v, p):
+                want[k, g] = min(want.get((k, g), (v, -p)), (v, -p))
+        assert got == {key: -t for key, (_, t) in want.items()}, seed
+
+
+def test_packed_argmin_is_a_hash_aggregate(spark):
+    df = spark.range(100).selectExpr("id % 7 AS k", "id % 5 AS v", "id AS p")
+    plan = packed_argmin(df, ["k"], "v", "p")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

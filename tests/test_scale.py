@@ -116,3 +116,97 @@ def test_grid_split_when_both_sides_are_hot(spark):
     plain = big.alias("b").join(small.alias("s"), (F.col("b.k") == F.col("s.k")) & cond)
     want = collections.Counter(tuple(r) for r in plain.select("b.rid", "s.sid").collect())
     assert got == want and max(got.values()) == 1
+
+
+def test_closure_loop_shuffles_neither_edges_nor_visited(spark):
+    from dxlens.operators.closure import _Search
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    e = spark.range(1, 200).selectExpr("id AS child", "id DIV 2 AS parent")
+    search = _Search(e, spark.range(3).selectExpr("id AS seed"), None)
+    try:
+        search.store_edges(e)
+        assert search.append(search.reached(spark.range(3).selectExpr("id AS seed", "id AS node")), 1)
+        plan = search.next_level(2)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        search.close()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth_of = [len(line) - len(line.lstrip(" :+-|")) for line in plan]
+
+    def exchanges_above(at):
+        # the operators on the way from this scan up to the root
+        found, depth = [], depth_of[at]
+        for i in range(at - 1, -1, -1):
+            if depth_of[i] < depth:
+                depth = depth_of[i]
+                found.append(plan[i])
+        return found
+
+    scans = [i for i, line in enumerate(plan) if "Scan parquet" in line]
+    assert len(scans) == 3
+    for i in scans:
+        shuffled = False
+        for line in exchanges_above(i):
+            if "Join" in line:
+                break
+            shuffled = shuffled or "Exchange" in line
+        is_level = "PartitionFilters: [isnotnull(depth" in plan[i]
+        assert shuffled == is_level, "\n".join(plan)
+
+
+def test_shared_tables_are_those_read_twice(spark):
+    from dxlens.plans.catalog import _INTEGER_JOBS, _JOBS, metrics
+    from dxlens.plans.pipeline import GRAPH, ProblemListMetrics, shared_tables
+    from .conftest import SMALL
+
+    stored = shared_tables(["disch4"])
+    assert len(stored) <= 9 and {"log", "terms", "latest", "problems", "present_during"} <= stored
+    assert "disch2" not in stored and "disch3" not in stored and "disch4" not in stored
+    assert all(set(reads.split()) <= set(GRAPH) for reads, _ in [*_JOBS.values(), *_INTEGER_JOBS.values()])
+
+    # what the jobs really read is what the graph declares
+    seen, stack = {}, []
+
+    class Traced(ProblemListMetrics):
+        def __getattribute__(self, name):
+            if name not in GRAPH:
+                return super().__getattribute__(name)
+            if stack:
+                seen.setdefault(stack[-1], set()).add(name)
+            stack.append(name)
+            try:
+                return super().__getattribute__(name)
+            finally:
+                stack.pop()
+
+    plain = metrics(spark, SMALL, outputs=["disch4", "outside", "snapshot"])
+    traced = Traced(plain.inputs, study_end=plain.study_end, max_depth=3, outputs=["disch4", "outside", "snapshot"])
+    for name in ("disch4", "outside", "snapshot"):
+        getattr(traced, name)
+    assert {job: read for job, read in seen.items() if read != set(GRAPH[job])} == {}
+    assert len(traced._tables) <= 11
+    traced.release()
+
+
+def test_final_discharge_is_a_plan_of_its_own_operators(spark):
+    from dxlens.plans.catalog import QUERIES
+    from .conftest import SMALL
+
+    plan = QUERIES["final_discharge"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" in plan
+
+
+def test_latest_from_keys_equals_latest_of_pairs(spark):
+    from dxlens.plans import snapshot
+    from dxlens.plans.catalog import metrics
+    from .conftest import SMALL
+
+    m = metrics(spark, SMALL, outputs=["log", "log", "terms", "terms", "loads"])
+    log = m.log.unionByName(m.log.where("probid % 11 = 0"))        # repeated edits stay repeated
+    pairs = snapshot.snapshot_pairs(log, m.inputs.disch, m.concepts, loads=m.loads)
+    keys = snapshot.snapshot_keys(log, m.inputs.disch, m.concepts, loads=m.loads)
+    got = snapshot.latest_from_keys(keys, log, m.inputs.disch)
+    want = snapshot.latest_update(pairs).select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > 0
+    m.release()
