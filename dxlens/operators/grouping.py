@@ -87,6 +87,21 @@ def flag_members(df: DataFrame, members: DataFrame, keys: Sequence[str], out: st
             .select(*base.columns, F.coalesce(F.col(out), F.lit(0)).alias(out)))
 
 
+def flag_repeats_and_members(df: DataFrame, members: DataFrame, keys: Sequence[str], repeats: str, found: str) -> DataFrame:
+    """:func:`flag_repeats` and :func:`flag_members` on the same ``keys``, by one grouping and one join.
+
+    Keys of both tables are counted together on narrow rows; only keys with a flag set are joined back.
+    """
+    rows = (df.select(*keys, F.lit(1).alias("_rows"), F.lit(0).alias("_member"))
+            .unionByName(members.select(*keys, F.lit(0).alias("_rows"), F.lit(1).alias("_member"))))
+    marks = (rows.where(all_present(*keys)).groupBy(*keys)
+             .agg((F.sum("_rows") > 1).cast("int").alias(repeats), F.max("_member").alias(found))
+             .where((F.col(repeats) == 1) | (F.col(found) == 1)))
+    base = df.drop(repeats, found)
+    return (base.join(marks, list(keys), "left")
+            .select(*base.columns, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in (repeats, found)]))
+
+
 def fill_from_group_min(df: DataFrame, keys: Sequence[Column | str], target: str, source: str,
                         fixable: Column) -> DataFrame:
     """Fill NULL ``target`` with the group's earliest ``source``.

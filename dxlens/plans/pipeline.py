@@ -227,11 +227,8 @@ class ProblemListMetrics:
     @cached_property
     def problems(self) -> DataFrame:
         """``pldata2`` with all flags: D6a duplic, D8 subsumed, D9 specificity, D10 tags."""
-        p = snapshot.with_duplicate_flag(self.latest)
-        p = snapshot.with_subsumed_flag(p, self.subsumption)
-        p = terminology.with_specificity(p, self.closure)
-        p = terminology.with_semantic_tags(p, self.terms)
-        return self._keep(p, "problems")
+        p = snapshot.with_list_flags(self.latest, self.subsumption)
+        return self._keep(terminology.with_concept_facts(p, self.closure, self.terms), "problems")
 
     @cached_property
     def summary(self) -> DataFrame:

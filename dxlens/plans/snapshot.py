@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from dxlens.functions.keys import composite_key
 from dxlens.functions.ratios import percent
 from dxlens.functions.temporal import day, days_between, micros_between, midnight, ts_literal
-from dxlens.operators.grouping import argmin_then_max, fill_from_group_min, flag_members, flag_repeats, packed_argmin
+from dxlens.operators.grouping import (
+    argmin_then_max, fill_from_group_min, flag_members, flag_repeats, flag_repeats_and_members, packed_argmin)
 from dxlens.operators.dyadic import KeyLoads, ancestors, cover, day_number, interval_join
 from dxlens.operators.intervals import DEFAULT_TASK_PAIRS
 
@@ -242,6 +243,11 @@ def with_subsumed_flag(problems: DataFrame, pairs: DataFrame) -> DataFrame:
     return flag_members(problems, pairs, ["dischid", "conceptid"], "subsumed")
 
 
+def with_list_flags(problems: DataFrame, pairs: DataFrame) -> DataFrame:
+    """D6a and D8 at once: ``duplic`` and ``subsumed``, which share their key."""
+    return flag_repeats_and_members(problems, pairs, ["dischid", "conceptid"], "duplic", "subsumed")
+
+
 # ---------------------------------------------------------------------- D8a
 
 def subsumed_review(pairs: DataFrame, names: DataFrame) -> DataFrame:

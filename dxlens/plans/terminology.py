@@ -3,7 +3,7 @@ semantic tags (D10)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dxlens.functions.labels import first_label
@@ -71,17 +71,25 @@ def with_specificity(problems: DataFrame, closure_df: DataFrame) -> DataFrame:
                     F.log10(n + 1).alias("descendantslog")))
 
 
+def _tag_flags(term: Column) -> list[Column]:
+    return [term.contains(tag).cast("int").alias(f"_{label}") for label, tag in SEMANTIC_TAGS]
+
+
+def _tag_columns() -> list[Column]:
+    """``finding`` and ``snomedtype`` of a concept from its tag flags."""
+    rules = [(F.col(f"_{label}") == 1, label) for label, _ in reversed(SEMANTIC_TAGS)]
+    return [F.col("_finding").alias("finding"), first_label(rules, OTHER_TYPE).alias("snomedtype")]
+
+
 def concept_tags(names: DataFrame) -> DataFrame:
     """Per concept: ``finding`` flag and ``snomedtype`` label from its names.
 
     A concept with several current names gets a tag when any name carries it;
     the label is the highest-priority tag present.
     """
-    flags = [F.max(F.col("term").contains(tag).cast("int")).alias(f"_{label}") for label, tag in SEMANTIC_TAGS]
-    per_concept = names.groupBy("conceptid").agg(*flags)
-    rules = [(F.col(f"_{label}") == 1, label) for label, _ in reversed(SEMANTIC_TAGS)]
-    return per_concept.select("conceptid", F.col("_finding").alias("finding"),
-                              first_label(rules, OTHER_TYPE).alias("snomedtype"))
+    flags = names.select("conceptid", *_tag_flags(F.col("term")))
+    per_concept = flags.groupBy("conceptid").agg(*[F.max(c).alias(c) for c in flags.columns[1:]])
+    return per_concept.select("conceptid", *_tag_columns())
 
 
 def with_semantic_tags(problems: DataFrame, names: DataFrame) -> DataFrame:
@@ -91,3 +99,26 @@ def with_semantic_tags(problems: DataFrame, names: DataFrame) -> DataFrame:
     return (base.join(tags, "conceptid", "left")
             .select(*base.columns, F.coalesce(F.col("finding"), F.lit(0)).alias("finding"),
                     F.coalesce(F.col("snomedtype"), F.lit(OTHER_TYPE)).alias("snomedtype")))
+
+
+def concept_facts(closure_df: DataFrame, names: DataFrame) -> DataFrame:
+    """One row per concept: its number of descendants (``_n``, D9), ``finding`` and ``snomedtype``.
+
+    Closure rows and names are added up in one grouping by concept.
+    """
+    flags = [f"_{label}" for label, _ in SEMANTIC_TAGS]
+    below = closure_df.select(F.col("destinationid").alias("conceptid"), F.lit(1).alias("_n"), *[F.lit(0).alias(c) for c in flags])
+    named = names.select("conceptid", F.lit(0).alias("_n"), *_tag_flags(F.col("term")))
+    per_concept = (below.unionByName(named).where(F.col("conceptid").isNotNull()).groupBy("conceptid")
+                   .agg(F.sum("_n").alias("_n"), *[F.max(c).alias(c) for c in flags]))
+    return per_concept.select("conceptid", "_n", *_tag_columns())
+
+
+def with_concept_facts(problems: DataFrame, closure_df: DataFrame, names: DataFrame) -> DataFrame:
+    """D9 and D10 at once: the columns of :func:`with_specificity` and :func:`with_semantic_tags` by one join."""
+    base = problems.drop("descendants", "descendantslog", "finding", "snomedtype")
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    return (base.join(concept_facts(closure_df, names), "conceptid", "left")
+            .select(*base.columns, n.cast("int").alias("descendants"), F.log10(n + 1).alias("descendantslog"),
+                    F.coalesce(F.col("finding"), F.lit(0)).alias("finding"),
+                    F.coalesce(F.col("snomedtype"), F.lit(OTHER_TYPE)).alias("snomedtype")))

@@ -10,9 +10,11 @@ import random
 
 import duckdb
 import pandas as pd
+import pytest
 
 from dxlens.operators.closure import descendant_closure
-from dxlens.operators.grouping import argmin_then_max, flag_repeats, latest_per_group, packed_argmin
+from dxlens.operators.grouping import argmin_then_max, flag_members, flag_repeats, flag_repeats_and_members, latest_per_group, packed_argmin
+from dxlens.plans import report, terminology
 
 SEEDS = range(8)
 
@@ -123,3 +125,42 @@ def test_packed_argmin_is_a_hash_aggregate(spark):
     df = spark.range(100).selectExpr("id % 7 AS k", "id % 5 AS v", "id AS p")
     plan = packed_argmin(df, ["k"], "v", "p")._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_both_flags_equal_the_single_ones(spark):
+    """One grouping for repeats and members sets what the two separate joins set, NULL keys included."""
+    for seed in SEEDS[:3]:
+        df, _ = _spark_and_duck(spark, _rows(seed))
+        members = spark.createDataFrame([(k, g) for k, g, *_ in _rows(seed + 100, 8)] + [(9, 9), (None, 1), (1, None)], "k long, g long")
+        both = flag_repeats_and_members(df, members, ["k", "g"], "twice", "member")
+        single = flag_members(flag_repeats(df, ["k", "g"], "twice"), members, ["k", "g"], "member")
+        assert both.schema == single.schema
+        assert _bag(both.collect()) == _bag(single.collect())
+        none = flag_repeats_and_members(df, members.limit(0), ["k", "g"], "twice", "member")
+        assert {r.member for r in none.collect()} == {0}
+
+
+def test_concept_facts_equal_the_two_joins(spark):
+    """D9 and D10 by one join: concepts without descendants, without names, with tied names and a NULL id."""
+    problems = spark.createDataFrame([(i, c) for i, c in enumerate([1, 1, 2, 3, 4, 5, None])], "probid long, conceptid long")
+    closure = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (2, 3, 1), (4, 3, 1), (None, 7, 1)], "destinationid long, sourceid long, depth int")
+    names = spark.createDataFrame([(1, "a (finding)"), (1, "b (disorder)"), (2, "c (person)"), (3, "d"), (5, None), (None, "e (finding)")],
+                                  "conceptid long, term string")
+    both = terminology.with_concept_facts(problems, closure, names)
+    single = terminology.with_semantic_tags(terminology.with_specificity(problems, closure), names)
+    assert both.columns == single.columns
+    assert [f.dataType for f in both.schema] == [f.dataType for f in single.schema]
+    assert _bag(both.collect()) == _bag(single.collect())
+
+
+def test_reconciliation_equals_distinct_counts(spark):
+    """Distinct non-NULL keys of each stage, empty stages and stages of NULLs only as 0, by one shuffle of keys."""
+    keys = {"a": [1, 1, 2, None], "b": [2, 3, 4, 4], "c": [], "d": [None, None], "e": [5]}
+    stages = {n: spark.createDataFrame([(k, "x") for k in ks], "dischid long, other string") for n, ks in keys.items()}
+    out = report.reconciliation(stages)
+    assert [(r.stage, r.discharges) for r in out.collect()] == [
+        (n, df.select("dischid").where("dischid IS NOT NULL").distinct().count()) for n, df in stages.items()]
+    plan = report.reconciliation(stages)._jdf.queryExecution().executedPlan().toString()  # not run yet: one plan, not two
+    assert plan.count("hashpartitioning") == 1 and "SortAggregate" not in plan
+    with pytest.raises(ValueError):
+        report.reconciliation({})
