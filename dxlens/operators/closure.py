@@ -14,9 +14,10 @@ cycles too, when a level finds nothing new; ``max_depth`` stops it earlier.  The
 asks whether the new level is empty; all rows stay on the executors.
 
 Edges and visited pairs are bucketed tables in the shared checkpoint folder, the edges by parent,
-the pairs by (seed, node) in as many buckets as there are shuffle partitions.  So neither is shuffled
+the pairs by (seed, node), in as many buckets as the edges fill (:data:`EDGES_A_BUCKET`), at least one a core and at most
+as many as there are shuffle partitions: every level pays for each bucket.  So neither is shuffled
 inside the loop: a level shuffles its own rows only, once to the edges and once to the visited
-pairs.  A level is one partition (``depth``) of the pairs' table and is appended as
+pairs, each time into the same buckets.  A level is one partition (``depth``) of the pairs' table and is appended as
 files, which cuts the lineage (an executor loss re-reads stored levels) and
 keeps the plan size constant.  The planner broadcasts a table whose stored size is
 under the broadcast threshold (a terminology-sized edge table) instead.
@@ -31,13 +32,16 @@ from pyspark.sql import functions as F
 
 from dxlens.sources.sinks import delete_path, table_root
 
+EDGES_A_BUCKET = 100_000
+
 
 class _Search:
     """The stored edges and visited pairs of one closure."""
 
     def __init__(self, edges: DataFrame, seeds: DataFrame, root: str | None):
         self.spark: SparkSession = edges.sparkSession
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        filled = max(edges.count() // EDGES_A_BUCKET, self.spark.sparkContext.defaultParallelism)
+        self.buckets = min(filled, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         tag = uuid.uuid4().hex
         self.root = root or f"{table_root(self.spark)}/closure-{tag}"
         self.edge_table, self.pair_table = f"dxlens_edges_{tag}", f"dxlens_pairs_{tag}"
@@ -63,9 +67,10 @@ class _Search:
 
     def reached(self, frontier: DataFrame) -> DataFrame:
         """The distinct (seed, child) one edge below ``frontier``."""
-        f = frontier.alias("f")
+        f = frontier.repartition(self.buckets, "node").alias("f")
         return (f.join(self.edges, F.col("f.node") == F.col("e.parent"))
-                .select(F.col("f.seed").alias("seed"), F.col("e.child").alias("node")).distinct())
+                .select(F.col("f.seed").alias("seed"), F.col("e.child").alias("node"))
+                .repartition(self.buckets, "seed", "node").distinct())
 
     def next_level(self, depth: int) -> DataFrame:
         """Pairs first reached at ``depth``."""
