@@ -12,6 +12,9 @@ Copies cost rows, all pairs of a key cost ``big x small``.  :func:`key_depths` w
 the two for each key: keys with few pairs stay at depth 0 (one node, one copy, the
 plain join), the others get cells of about one row.  Where even the real pairs of one
 node exceed ``task_pairs``, :func:`interval_join` splits it with the grid of :mod:`intervals`.
+
+Where no key needs nodes, both sides are dealt by the keys into as many partitions as their rows fill
+(:func:`plain_partitions`); groupings by the keys and more columns then need no shuffle of the pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dxlens.operators.intervals import DEFAULT_TASK_PAIRS, hot_key_join, hot_keys
@@ -30,6 +33,9 @@ ORIGIN = "1900-01-01"
 GAIN = 4 * BITS
 _LAST = (1 << BITS) - 1
 _OPEN = 1 << 30
+# rows of both sides in a partition of the plain join; a plain key has at most GAIN pairs a row
+PLAIN_ROWS = 50_000
+MOST_PARTITIONS = 4096
 
 
 def day_number(ts: Column) -> Column:
@@ -73,10 +79,21 @@ def cover(low: Column, high: Column, depth: Column, tag: int = 0) -> Column:
 
 @dataclass
 class KeyLoads:
-    """``depths``: the keys that do not take the plain join; ``split``: whether any of them may need the grid."""
+    """``depths``: the keys that do not take the plain join; ``split``: whether any of them may need the grid.
+
+    ``partitions``: set if there is no such key; the plain join then deals both sides into so many.
+    """
 
     depths: DataFrame
     split: bool = True
+    partitions: int | None = None
+
+
+def plain_partitions(spark: SparkSession, rows: int) -> int:
+    """Partitions of a plain join of ``rows`` rows of both sides."""
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    low, high = min(spark.sparkContext.defaultParallelism, shuffled), max(shuffled, MOST_PARTITIONS)
+    return max(low, min(high, rows // PLAIN_ROWS))
 
 
 def key_depths(big: DataFrame, small: DataFrame, keys: Sequence[str], task_pairs: int = DEFAULT_TASK_PAIRS,
@@ -108,6 +125,14 @@ def interval_join(big: DataFrame, small: DataFrame, keys: Sequence[str], big_nod
     belong together share one node exactly.  ``loads`` is computed from both sides by default.
     """
     loads = loads or KeyLoads(key_depths(big, small, keys, task_pairs))
+    if loads.partitions:
+        cond = residual
+        for k in keys:
+            cond = cond & (F.col(f"b.{k}") == F.col(f"s.{k}"))
+        # nodes of depth 0 select the rows that take part
+        big = big.withColumn("_node", F.explode(big_nodes(F.lit(0)))).repartition(loads.partitions, *keys)
+        small = small.withColumn("_node", F.explode(small_nodes(F.lit(0)))).repartition(loads.partitions, *keys)
+        return big.alias("b").join(small.alias("s"), cond)
     big, small = with_nodes(big, keys, loads.depths, big_nodes), with_nodes(small, keys, loads.depths, small_nodes)
     on = [*keys, "_node"]
     if loads.split:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dxlens.functions.keys import composite_key
+from dxlens.functions.keys import all_present, composite_key
 from dxlens.operators.matching import full_match, match_stats
 
 BILL_KEY = [("ptid", "ptid"), ("dischid", "dischid"), ("pdxid", "bepicdxid")]
@@ -20,21 +20,26 @@ def billing_keys(billdata: DataFrame) -> DataFrame:
     return billdata.withColumn("dcxbillid", composite_key("ptid", "dischid", "bepicdxid"))
 
 
-def _match(present: DataFrame, billdata: DataFrame, problem_cols: list[str]) -> DataFrame:
+def _match(present: DataFrame, billdata: DataFrame, problem_cols: list[str], partitions: int | None) -> DataFrame:
     # Both sides are cut to the distinct columns the result uses, then fully
-    # joined on the column tuple (NULL parts never match).  Callers project
-    # the result and remove duplicates once.
-    p = present.select("ptid", "dischid", "pdxid", *problem_cols, "picd9desc").distinct()
-    b = billdata.select("ptid", "dischid", "bepicdxid", "bicd9desc").distinct()
-    j = full_match(p, b, BILL_KEY, "p", "b")
-    return j.select(
+    # joined on the column tuple (NULL parts never match).  Duplicates are
+    # removed once more before the text ids are made, which are functions of
+    # the columns kept: on unmatched rows the other side's diagnosis is NULL.
+    p = present.select("ptid", "dischid", "pdxid", *problem_cols, "picd9desc")
+    b = billdata.select("ptid", "dischid", "bepicdxid", "bicd9desc")
+    if partitions:  # explicit, so that pairs that pack well are not merged into few partitions
+        p, b = p.repartition(partitions, *[c for c, _ in BILL_KEY]), b.repartition(partitions, *[c for _, c in BILL_KEY])
+    j = full_match(p.distinct(), b.distinct(), BILL_KEY, "p", "b").select(
         F.coalesce(F.col("p.ptid"), F.col("b.ptid")).alias("ptid"),
         F.coalesce(F.col("p.dischid"), F.col("b.dischid")).alias("dischid"),
         F.col("p.pdxid").alias("pdxid"), *[F.col(f"p.{c}").alias(c) for c in problem_cols],
         F.col("b.bepicdxid").alias("bepicdxid"),
-        F.coalesce(F.col("b.bicd9desc"), F.col("p.picd9desc")).alias("icd9desc"),
-        composite_key("p.ptid", "p.dischid", "p.pdxid").alias("dcbilldxid"),
-        composite_key("b.ptid", "b.dischid", "b.bepicdxid").alias("dcxbillid"))
+        F.coalesce(F.col("b.bicd9desc"), F.col("p.picd9desc")).alias("icd9desc"))
+    if partitions:  # dealt by what the statistics group by
+        j = j.repartition(partitions, "ptid", "dischid")
+    j = j.distinct()
+    return (j.withColumn("dcbilldxid", composite_key("ptid", "dischid", "pdxid"))
+            .withColumn("dcxbillid", composite_key("ptid", "dischid", "bepicdxid")))
 
 
 MATCH_DX_COLUMNS = ["ptid", "dischid", "pdxid", "bepicdxid", "icd9desc", "dcbilldxid", "dcxbillid"]
@@ -44,7 +49,7 @@ MATCH_CONCEPT_COLUMNS = ["ptid", "dischid", "pdxid", "conceptid", "bepicdxid", "
 
 def match_dx(present: DataFrame, billdata: DataFrame) -> DataFrame:
     """Problem-list diagnosis ids against billing diagnosis ids (``pbmatchdx``)."""
-    return _match(present, billdata, []).select(*MATCH_DX_COLUMNS).distinct()
+    return _match(present, billdata, [], None).select(*MATCH_DX_COLUMNS)
 
 
 def match_dx_from_concept(match_pr: DataFrame) -> DataFrame:
@@ -54,14 +59,21 @@ def match_dx_from_concept(match_pr: DataFrame) -> DataFrame:
     present problem carries at least one concept), and D20's columns are a
     subset of D21's, so no second full join is needed.
     """
-    return match_pr.select(*MATCH_DX_COLUMNS).distinct()
+    parts = match_pr.select("ptid", "dischid", "pdxid", "bepicdxid", "icd9desc").distinct()
+    return (parts.withColumn("dcbilldxid", composite_key("ptid", "dischid", "pdxid"))
+            .withColumn("dcxbillid", composite_key("ptid", "dischid", "bepicdxid")).select(*MATCH_DX_COLUMNS))
 
 
-def match_concept(present: DataFrame, billdata: DataFrame) -> DataFrame:
-    """The same at concept level, with ``conceptid`` and ``dcprobid`` (``pbmatchpr``)."""
-    m = _match(present, billdata, ["conceptid", "noteddate"])
-    m = m.withColumn("dcprobid", composite_key("ptid", "dischid", "pdxid", "conceptid", "noteddate"))
-    return m.select(*MATCH_CONCEPT_COLUMNS).distinct()
+def match_concept(present: DataFrame, billdata: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The same at concept level, with ``conceptid`` and ``dcprobid`` (``pbmatchpr``).
+
+    The noted date counts as far as it shows in ``dcprobid``.  ``partitions``: both sides are dealt by the key into
+    so many, and the result by patient and stay.
+    """
+    named = ["ptid", "dischid", "pdxid", "conceptid"]
+    shown = present.withColumn("noteddate", F.when(all_present(*named), F.col("noteddate")))
+    m = _match(shown, billdata, ["conceptid", "noteddate"], partitions)
+    return m.withColumn("dcprobid", composite_key(*named, "noteddate")).select(*MATCH_CONCEPT_COLUMNS)
 
 
 # Distinct counts use column tuples: an undelimited text id can stand for two

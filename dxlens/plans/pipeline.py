@@ -21,7 +21,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dxlens.operators.dyadic import KeyLoads, key_depths
+from dxlens.operators.dyadic import KeyLoads, key_depths, plain_partitions
 from dxlens.operators.intervals import DEFAULT_TASK_PAIRS
 from dxlens.plans import billing, report, snapshot, stays, terminology
 from dxlens.sources.sinks import delete_path, materialise, publish, table_root, write_table
@@ -47,7 +47,7 @@ GRAPH: dict[str, tuple[str, ...]] = {
     "names": (), "log": (),
     "terms": ("names", "log"),
     "hot_patients": ("log",),
-    "loads": ("hot_patients", "hot_patients", "hot_patients"),   # one test, one join to either side
+    "loads": ("hot_patients", "hot_patients", "hot_patients", "log"),   # one test, one join to either side; the size
     "concepts": ("terms",),
     "snapshot_pairs": ("log", "concepts", "loads"),
     "snapshot": ("snapshot_pairs", "terms"),
@@ -66,7 +66,7 @@ GRAPH: dict[str, tuple[str, ...]] = {
     "disch3": ("disch2", "pusumm"),
     "outside": ("log", "updated_during"),
     "billdata": (),
-    "match_concept": ("present_during",),
+    "match_concept": ("present_during", "loads"),
     "match_dx": ("match_concept",),
     "stats_dx": ("match_dx",),
     "stats_concept": ("match_concept",),
@@ -91,7 +91,11 @@ def shared_tables(outputs: Iterable[str]) -> set[str]:
     for through in ("concepts", "loads", "snapshot"):
         if reads[through] > 1:
             reads.update(GRAPH[through])
-    return {job for job, n in reads.items() if n > 1} - {"concepts", "loads", "snapshot", "billdata"} - _FILES
+    stored = {job for job, n in reads.items() if n > 1} - {"concepts", "loads", "snapshot", "billdata"} - _FILES
+    # both readers of the match group it as it is dealt: they share its last shuffle
+    stored -= {"match_concept"}
+    # names in use meet the edits of every range join; from a file the planner knows how few they are
+    return stored | ({"terms"} & needed)
 
 
 class ProblemListMetrics:
@@ -112,7 +116,11 @@ class ProblemListMetrics:
         self.how = materialise
         self.task_pairs = task_pairs
         self.max_depth = max_depth
+        outputs = None if outputs is None else list(outputs)
         self.shared = None if outputs is None else shared_tables(outputs)
+        # problems that the caller does not read are stored without the columns that no other job reads
+        self.measured_only = outputs is not None and not {"latest", "problems"} & set(outputs)
+        self.text_ids_apart = outputs is not None and "match_concept" not in outputs
         self._tables: list[str] = []
 
     @property
@@ -135,7 +143,7 @@ class ProblemListMetrics:
             delete_path(self.spark, path)
         self._tables.clear()
         for name in list(self.__dict__):
-            if name not in ("inputs", "study_end", "integer_ratio", "how", "task_pairs", "max_depth", "shared", "_tables"):
+            if name not in ("inputs", "study_end", "integer_ratio", "how", "task_pairs", "max_depth", "shared", "measured_only", "text_ids_apart", "_tables"):
                 del self.__dict__[name]
 
     # -- terminology ---------------------------------------------------------
@@ -167,7 +175,9 @@ class ProblemListMetrics:
 
     @cached_property
     def loads(self) -> KeyLoads:
-        """The hot patients, and whether one of them may need the grid as well."""
+        """The hot patients, and whether one of them may need the grid as well; the partitions where there are none."""
+        if self.hot_patients.isEmpty():
+            return KeyLoads(self.hot_patients, False, plain_partitions(self.spark, self.log.count() + self.inputs.disch.count()))
         return KeyLoads(self.hot_patients, not self.hot_patients.where("_grid").isEmpty())
 
     @cached_property
@@ -196,7 +206,8 @@ class ProblemListMetrics:
         """D6 ``pldata2`` before the flag columns."""
         keys = snapshot.snapshot_keys(self.log, self.inputs.disch, self.concepts, self.task_pairs, self.loads)
         rows = snapshot.latest_from_keys(keys, self.log, self.inputs.disch)
-        return self._keep(snapshot.attach_terms(rows, self.terms, snapshot.SNAPSHOT_COLUMNS), "latest")
+        columns = snapshot.MEASURED_COLUMNS if self.measured_only else snapshot.SNAPSHOT_COLUMNS
+        return self._keep(snapshot.attach_terms(rows, self.terms, columns), "latest")
 
     @cached_property
     def candidate_closure(self) -> DataFrame:
@@ -256,7 +267,10 @@ class ProblemListMetrics:
     @cached_property
     def pr_present(self) -> DataFrame:
         """D15."""
-        return self._keep(stays.active_counts(self.present_during), "pr_present")
+        present = self.present_during
+        if self.shared is None or "present_during" in self.shared:  # read back, it has lost how it was dealt
+            present = present.repartition("ptid", "dischid")
+        return self._keep(stays.active_counts(present), "pr_present")
 
     @cached_property
     def pr_updated(self) -> DataFrame:
@@ -292,7 +306,10 @@ class ProblemListMetrics:
     @cached_property
     def match_concept(self) -> DataFrame:
         """D21 ``pbmatchpr``."""
-        return self._keep(billing.match_concept(self.present_during, self.inputs.billdata), "match_concept")
+        match = billing.match_concept(self.present_during, self.inputs.billdata, self.loads.partitions)
+        if self.text_ids_apart:
+            match = match.drop("dcbilldxid", "dcxbillid", "dcprobid")
+        return self._keep(match, "match_concept")
 
     @cached_property
     def stats_dx(self) -> DataFrame:

@@ -29,6 +29,9 @@ SNAPSHOT_COLUMNS = [
     "dischdate", "noteddate", "entrydate", "resoldate", "deldate", "hospprob", "probdesc", "overview",
     "overlen", "priority", "prov_id", "provtype", "provdept", "datediff", "dcprobid",
 ]
+# Snapshot columns that the summaries, flags and review lists read.
+MEASURED_COLUMNS = ["dischid", "pdxid", "probid", "conceptid", "resoldate", "deldate", "hospprob", "probdesc", "overview",
+                    "overlen", "priority", "datediff"]
 # Snapshot columns taken from the discharge; the others come from the edit.
 _FROM_DISCHARGE = {"ptid", "dischid", "csn", "mrn", "admitdate", "dischdate"}
 
@@ -338,11 +341,14 @@ def _with_probcount(problems: DataFrame, measures: DataFrame, keys: list[str]) -
     if not keys:
         joined = measures.withColumn("_one", F.lit(1)).join(distinct.withColumn("_one", F.lit(1)), "_one")
     else:
-        cond = None
-        for k in keys:
-            c = measures[k].eqNullSafe(distinct[k])
-            cond = c if cond is None else cond & c
-        joined = measures.join(distinct, cond, "left")
+        # both sides are dealt by the key already, which a NULL-safe comparison would not make use of;
+        # the group of the NULL key comes from its own single row
+        key, = keys
+        missing = (problems.where(F.col(key).isNull() & F.col("probid").isNotNull()).select("probid").distinct()
+                   .agg(F.count(F.lit(1)).cast("int").alias("_missing")))
+        met = measures.join(distinct, measures[key] == distinct[key], "left").crossJoin(F.broadcast(missing))
+        count = F.when(measures[key].isNull(), F.col("_missing")).otherwise(F.col("probcount"))
+        joined = met.select(*[measures[c] for c in measures.columns], count.alias("probcount"))
     cols = [c for c in SUMMARY_COLUMNS if c in measures.columns or c == "probcount"]
     return joined.select(*[measures[k] for k in keys],
                          *[F.coalesce(F.col("probcount"), F.lit(0)).alias("probcount") if c == "probcount"

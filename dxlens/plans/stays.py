@@ -24,6 +24,11 @@ def _still_open_at(admit) -> F.Column:
             | (F.col("b.resoldate").isNull() & F.col("b.deldate").isNull()))
 
 
+def _named(edits: DataFrame, names: DataFrame) -> DataFrame:
+    """Edits with the names of their concepts (ties fan out): met before the stays, not once for every pair."""
+    return edits.join(names.withColumnRenamed("conceptid", "snomed"), "snomed")
+
+
 UPDATED_COLUMNS = [
     "ptid", "dischid", "pdxid", "probid", "conceptid", "term", "admitdate", "dischdate", "noteddate",
     "entrydate", "resoldate", "deldate", "hospprob", "prov_id", "provtype", "provdept", "datediff",
@@ -46,6 +51,7 @@ def updated_during(log: DataFrame, disch: DataFrame, names: DataFrame,
     p = log.where(F.col("prov_id").isNotNull() & F.col("snomed").isNotNull()
                   & F.col("noteddate").isNotNull() & F.col("entrydate").isNotNull()
                   & F.col("ptid").isNotNull())
+    p = _named(p, names.select("conceptid", "term"))
     d = disch.where(F.col("ptid").isNotNull() & F.col("dischdate").isNotNull()
                     & F.col("admitdate").isNotNull())
     dd, ad, ed = day(F.col("s.dischdate")), day(F.col("s.admitdate")), day(F.col("b.entrydate"))
@@ -57,7 +63,7 @@ def updated_during(log: DataFrame, disch: DataFrame, names: DataFrame,
     since_admit = days_between(midnight(F.col("s.admitdate")), F.col("b.entrydate"))
     rows = pairs.select(
         F.col("s.ptid").alias("ptid"), F.col("s.dischid").alias("dischid"), F.col("b.pdxid").alias("pdxid"),
-        F.col("b.probid").alias("probid"), F.col("b.snomed").alias("conceptid"),
+        F.col("b.probid").alias("probid"), F.col("b.snomed").alias("conceptid"), F.col("b.term").alias("term"),
         F.col("s.admitdate").alias("admitdate"), F.col("s.dischdate").alias("dischdate"),
         *[F.col(f"b.{c}").alias(c) for c in ("noteddate", "entrydate", "resoldate", "deldate", "hospprob",
                                              "prov_id", "provtype", "provdept")],
@@ -67,8 +73,7 @@ def updated_during(log: DataFrame, disch: DataFrame, names: DataFrame,
         *[F.when(ed == day(F.col(f"b.{src}")), 1).otherwise(0).alias(out)
           for out, src in (("del", "deldate"), ("resol", "resoldate"), ("noted", "noteddate"))],
     ).withColumn("dcprobid", composite_key("ptid", "dischid", "pdxid", "conceptid", "noteddate"))
-    n = names.select("conceptid", "term")
-    return rows.join(n, "conceptid").select(*UPDATED_COLUMNS)
+    return rows.select(*UPDATED_COLUMNS)
 
 
 # which of the two starts lies in the other interval, above the node numbers
@@ -92,6 +97,7 @@ def present_during(log: DataFrame, disch: DataFrame, names: DataFrame,
     """
     p = (log.where(F.col("snomed").isNotNull() & F.col("noteddate").isNotNull() & F.col("ptid").isNotNull())
          .select("ptid", "pdxid", "snomed", "noteddate", "resoldate", "deldate", "picd9desc").distinct())
+    p = _named(p, names.select("conceptid", "term").distinct())
     d = (disch.where(F.col("ptid").isNotNull() & F.col("dischdate").isNotNull())
          .select("ptid", "dischid", "admitdate", "dischdate").distinct())
     residual = (day(F.col("b.noteddate")) <= day(F.col("s.dischdate"))) & _still_open_at(F.col("s.admitdate"))
@@ -117,13 +123,12 @@ def present_during(log: DataFrame, disch: DataFrame, names: DataFrame,
     rows = pairs.select(
         F.col("b.ptid").alias("ptid"), F.col("s.admitdate").alias("admitdate"),
         F.col("s.dischdate").alias("dischdate"), F.col("s.dischid").alias("dischid"),
-        F.col("b.pdxid").alias("pdxid"), F.col("b.snomed").alias("conceptid"),
+        F.col("b.pdxid").alias("pdxid"), F.col("b.snomed").alias("conceptid"), F.col("b.term").alias("term"),
         *[F.col(f"b.{c}").alias(c) for c in ("noteddate", "resoldate", "deldate", "picd9desc")])
     rows = (rows.withColumn("dcprobid", composite_key("ptid", "dischid", "pdxid", "conceptid", "noteddate"))
             .withColumn("dcdxid", composite_key("ptid", "dischid", "pdxid", "noteddate"))
             .withColumn("dcbilldxid", composite_key("ptid", "dischid", "pdxid")))
-    n = names.select("conceptid", "term").distinct()
-    return rows.join(n, "conceptid").select(*PRESENT_COLUMNS)
+    return rows.select(*PRESENT_COLUMNS)
 
 
 def _active(present: DataFrame, by: list[str]) -> DataFrame:
