@@ -2,6 +2,9 @@
 
 from dxlens.operators.closure import _Search, descendant_closure
 
+from .conftest import SMALL, ts
+from .helpers import billdata, disch, pldata
+
 
 def test_closure_levels_pay_for_the_edges_not_for_shuffle_partitions(spark):
     e = spark.range(1, 200).selectExpr("id AS child", "id DIV 2 AS parent")
@@ -31,3 +34,63 @@ def test_closure_levels_pay_for_the_edges_not_for_shuffle_partitions(spark):
         assert {tuple(r) for r in got.collect()} == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_pairs_dealt_by_patient_are_not_shuffled_to_be_counted(spark):
+    from dxlens.operators.dyadic import KeyLoads
+    from dxlens.plans import stays
+
+    log = pldata(spark, [{"probid": i, "ptid": i % 3, "pdxid": i % 2, "snomed": i % 5, "prov_id": 1, "noteddate": ts("2024-01-01"),
+                          "entrydate": ts("2024-01-02"), "resoldate": ts("2024-01-04") if i % 4 == 0 else None} for i in range(40)])
+    stay = disch(spark, [{"dischid": i, "ptid": i % 3, "admitdate": ts("2024-01-02"), "dischdate": ts(f"2024-01-0{3 + i % 4}"), "los": 1}
+                         for i in range(9)])
+    names = spark.createDataFrame([(c, t) for c in range(4) for t in ("a", "b")][1:], "conceptid long, term string")
+    none = spark.createDataFrame([], "ptid long, _depth int, _grid boolean")
+    general, plain = KeyLoads(none, False), KeyLoads(none, False, 6)
+    for build in (stays.present_during, stays.updated_during):
+        got, want = build(log, stay, names, loads=plain), build(log, stay, names, loads=general)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > 0
+    present = stays.present_during(log, stay, names, loads=plain)
+    plan = stays.active_counts(present)._jdf.queryExecution().executedPlan().toString().split("\n")
+    pairs = next(i for i, line in enumerate(plan) if "Join" in line and "ptid" in line)
+    assert sum("Exchange" in line for line in plan[:pairs]) == 1   # the counts by stay
+
+
+def test_match_dealt_by_key_equals_full_match(spark):
+    from dxlens.plans import billing
+
+    when = ts("2024-01-01")
+    present = spark.createDataFrame(
+        [(1, 10, 5, 7, when, "x"), (1, 10, 5, 7, when, "y"), (1, 10, 5, 8, None, "x"), (1, 10, None, 7, when, "x"),
+         (1, 10, None, 7, ts("2024-01-02"), "x"), (1, None, 5, 7, when, "x"), (2, 10, 5, 7, when, "z")],
+        "ptid long, dischid long, pdxid long, conceptid long, noteddate timestamp_ntz, picd9desc string")
+    bill = billdata(spark, [{"ptid": p, "dischid": d, "bepicdxid": x, "bicd9desc": t} for p, d, x, t in [
+        (1, 10, 5, "A"), (1, 10, 5, None), (1, 10, 5, "x"), (1, 10, None, "A"), (3, 11, 6, "B"), (3, 11, 6, "B"), (None, 10, 5, "A")]])
+    rows = sorted(map(str, billing.match_concept(present, bill).collect()))
+    assert rows == sorted(map(str, billing.match_concept(present, bill, 5).collect())) and len(rows) == len(set(rows)) == 11
+    plan = billing.match_stats_concept(billing.match_concept(present, bill, 5))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 3   # either side and their rows by stay
+
+
+def test_summary_of_a_missing_stay_and_its_shuffles(spark):
+    from dxlens.plans import snapshot
+
+    columns = ("dischid long, probid long, conceptid long, resoldate timestamp_ntz, deldate timestamp_ntz, duplic int, subsumed int, "
+               "descendants int, descendantslog double, finding int, hospprob int, overview int, overlen int, probdesc int, "
+               "priority string, datediff double")
+    tail = (7, None, None, 0, 0, 1, 0.3, 1, 1, 1, 4, 1, None, 0.5)
+    problems = spark.createDataFrame([(d, p, *tail) for d, p in [(1, 1), (1, 1), (1, 2), (None, 3), (None, 4), (None, 4), (2, None)]], columns)
+    out = snapshot.discharge_summary(problems)
+    assert {r.dischid: (r.probcount, r.snomedcount) for r in out.collect()} == {1: (2, 3), None: (2, 3), 2: (0, 1)}
+    assert "hashpartitioning(coalesce" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_match_is_not_stored_and_stored_problems_are_narrow(spark):
+    from dxlens.plans import snapshot
+    from dxlens.plans.catalog import metrics
+    from dxlens.plans.pipeline import shared_tables
+
+    assert "match_concept" not in shared_tables(["disch4"]) and "terms" in shared_tables(["match_concept"])
+    m = metrics(spark, SMALL, outputs=["disch4"])
+    assert m.latest.columns == snapshot.MEASURED_COLUMNS
+    m.release()
