@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dxlens.llm.common import free_names, Scratch, utf8
 from dxlens.llm.subwords import BUCKETS, Bags, fitting, held_out, sample_order, sized, subwords, texts_of, tokens
@@ -52,9 +53,12 @@ class Model:
     weight: np.ndarray
     bias: float
 
-    def words(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
+    def words(self, words: list[bytes], chunk: int = 1 << 12) -> np.ndarray:
+        """Each word's number; words are worked off in chunks, so that only the numbers outlive a chunk."""
+        parts = [self._words(words[i:i + chunk]) for i in range(0, len(words), chunk)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _words(self, words: list[bytes]) -> np.ndarray:
         buckets, starts = subwords(words)
         sizes = np.diff([*starts, len(buckets)])
         return np.add.reduceat(self.weight[buckets].astype(np.float64), starts) / sizes
@@ -161,6 +165,10 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None, name:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.weight, model.bias))  # BUCKETS numbers, whatever the corpus
     schema = docs.select(*columns).withColumn(name, F.lit(0.0)).schema
+    # a text that is kept anyway crosses to the task once, not a second time as bytes
+    at = columns.index("text") if "text" in columns and docs.schema["text"].dataType == T.StringType() else None
+    given = docs.select(*columns) if at is not None else docs.select(*columns, utf8().alias(text))
+    at, width = len(columns) if at is None else at, len(columns)
 
     def run(batches):
         weight, bias = sent.value
@@ -168,7 +176,7 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None, name:
         for batch in batches:
             scores = np.empty(batch.num_rows)
             for a in range(0, batch.num_rows, 256):
-                bags = [set(tokens(t)) for t in batch.column(0).slice(a, 256).to_pylist()]
+                bags = [set(tokens(t)) for t in batch.column(at).slice(a, 256).cast(pa.large_binary()).to_pylist()]
                 if len(cache) > CACHED_WORDS:
                     cache.clear()
                 new = list({w for bag in bags for w in bag if w not in cache})
@@ -177,6 +185,6 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None, name:
                     scores[a + i] = sum(map(cache.__getitem__, bag)) / (len(bag) + PAD)
             with np.errstate(over="ignore"):
                 p = 1 / (1 + np.exp(-(scores + bias)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p)], names=[*batch.schema.names[1:], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(p)], names=[*batch.schema.names[:width], name])
 
-    return docs.select(utf8().alias(text), *columns).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
