@@ -204,8 +204,11 @@ class ProblemListMetrics:
     @cached_property
     def latest(self) -> DataFrame:
         """D6 ``pldata2`` before the flag columns."""
-        keys = snapshot.snapshot_keys(self.log, self.inputs.disch, self.concepts, self.task_pairs, self.loads)
-        rows = snapshot.latest_from_keys(keys, self.log, self.inputs.disch)
+        if self.loads.partitions:
+            rows = snapshot.latest_in_place(self.log, self.inputs.disch, self.concepts, self.task_pairs, self.loads)
+        else:
+            keys = snapshot.snapshot_keys(self.log, self.inputs.disch, self.concepts, self.task_pairs, self.loads)
+            rows = snapshot.latest_from_keys(keys, self.log, self.inputs.disch)
         columns = snapshot.MEASURED_COLUMNS if self.measured_only else snapshot.SNAPSHOT_COLUMNS
         return self._keep(snapshot.attach_terms(rows, self.terms, columns), "latest")
 

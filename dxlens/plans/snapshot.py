@@ -7,10 +7,10 @@ enrichment with readmission.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dxlens.functions.keys import composite_key
+from dxlens.functions.keys import all_present, composite_key
 from dxlens.functions.ratios import percent
 from dxlens.functions.temporal import day, days_between, micros_between, midnight, ts_literal
 from dxlens.operators.grouping import (
@@ -154,8 +154,11 @@ def _active_pairs(log: DataFrame, disch: DataFrame, concepts: DataFrame, task_pa
     # an edit is active from the later of noting and entry to the day before the later of its ends
     low = F.greatest(day_number(F.col("noteddate")), day_number(F.col("entrydate")))
     high = F.greatest(day_number(F.col("resoldate")), day_number(F.col("deldate"))) - 1
-    return interval_join(p, d, ["ptid"], lambda n: cover(low, high, n), lambda n: ancestors(day_number(F.col("dischdate")), n),
-                         _active(), row_id=["probid"], small_row_id=["dischid"], task_pairs=task_pairs, loads=loads)
+    # numbered once a row, not once a pair; the test of two numbers is that of :func:`_active`
+    p, d = p.withColumns({"_low": low, "_high": high}), d.withColumn("_at", day_number(F.col("dischdate")))
+    active = (F.col("b._low") <= F.col("s._at")) & (F.col("b._high").isNull() | (F.col("b._high") >= F.col("s._at")))
+    return interval_join(p, d, ["ptid"], lambda n: cover(F.col("_low"), F.col("_high"), n), lambda n: ancestors(F.col("_at"), n),
+                         active, row_id=["probid"], small_row_id=["dischid"], task_pairs=task_pairs, loads=loads)
 
 
 def _snapshot_columns(pairs: DataFrame) -> DataFrame:
@@ -209,6 +212,21 @@ def latest_from_keys(keys: DataFrame, log: DataFrame, disch: DataFrame) -> DataF
     return _snapshot_columns(b.join(s, same & _active()))
 
 
+def latest_in_place(log: DataFrame, disch: DataFrame, concepts: DataFrame, task_pairs: int = DEFAULT_TASK_PAIRS,
+                    loads: KeyLoads | None = None) -> DataFrame:
+    """D6 from the pairs where they stand: the same rows as :func:`latest_update` of the pairs.
+
+    For pairs dealt by patient (``loads.partitions``): a window over the problem sorts each task's own pairs, so they
+    are neither shuffled nor joined back to the log and the discharges.  A task spills what it cannot sort in memory.
+    """
+    pairs = _active_pairs(log, disch, concepts, task_pairs, loads)
+    problem = [F.col(c) for c in ("s.ptid", "s.dischid", "b.pdxid", "b.snomed", "b.noteddate")]
+    last_first = [micros_between(F.col("b.entrydate"), midnight(F.col("s.dischdate"))).asc(), F.col("b.probid").desc()]
+    chosen = F.first("b.probid").over(Window.partitionBy(*problem).orderBy(*last_first))
+    named = pairs.where(all_present(*problem, F.col("b.probid")))
+    return _snapshot_columns(named.withColumn("_chosen", chosen).where(F.col("b.probid") == F.col("_chosen")))
+
+
 # ---------------------------------------------------------------------- D6a
 
 def duplicate_groups(problems: DataFrame) -> DataFrame:

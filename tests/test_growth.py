@@ -94,3 +94,27 @@ def test_the_match_is_not_stored_and_stored_problems_are_narrow(spark):
     m = metrics(spark, SMALL, outputs=["disch4"])
     assert m.latest.columns == snapshot.MEASURED_COLUMNS
     m.release()
+
+
+def test_latest_in_place_equals_latest_of_pairs_and_does_not_shuffle_them(spark):
+    from dxlens.operators.dyadic import KeyLoads
+    from dxlens.plans import snapshot
+
+    days = ["2024-01-01", "2024-01-02 07:00:00", "2024-01-02 09:00:00", None]
+    log = pldata(spark, [{"probid": i // 2, "ptid": i % 3 if i % 11 else None, "pdxid": i % 2 if i % 13 else None,
+                          "snomed": i % 4, "prov_id": 1 if i % 17 else None, "noteddate": ts("2024-01-01"),
+                          "entrydate": ts(days[i % 4]) if days[i % 4] else None, "overlen": i % 5,
+                          "resoldate": ts(f"2024-01-0{1 + i % 6}") if i % 3 == 0 else None,
+                          "deldate": ts(f"2024-01-0{2 + i % 5}") if i % 5 == 0 else None} for i in range(200)])
+    log = log.unionByName(log.where("probid % 5 = 0"))             # repeated edits stay repeated
+    stays = [{"dischid": i // 2, "ptid": i % 3, "dischdate": ts(f"2024-01-0{1 + i % 7} 10:00:00") if i % 6 else None}
+             for i in range(20)]
+    stay = disch(spark, stays + stays[3:6])                        # and so do discharges
+    concepts = spark.range(1, 4).selectExpr("id AS conceptid")
+    loads = KeyLoads(spark.createDataFrame([], "ptid long, _depth int, _grid boolean"), False, 6)
+    got = snapshot.latest_in_place(log, stay, concepts, loads=loads)
+    want = snapshot.latest_update(snapshot.snapshot_pairs(log, stay, concepts, loads=loads)).select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > got.distinct().count() > 20
+    plan = got._jdf.queryExecution().executedPlan().toString().split("\n")
+    pairs = next(i for i, line in enumerate(plan) if "Join" in line and "ptid" in line and "LeftSemi" not in line)
+    assert sum("Exchange" in line for line in plan[:pairs]) == 0
