@@ -25,6 +25,6 @@ def full_match(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]],
 
 def match_stats(df: DataFrame, keys: Sequence[str], counts: Mapping[str, Column],
                 dtype: str = "double") -> DataFrame:
-    """Per group of ``keys``: the number of rows meeting each condition."""
-    aggs = [F.sum(cond.cast("int")).cast(dtype).alias(name) for name, cond in counts.items()]
+    """Per group of ``keys``: the number of rows meeting each condition (or, of a numeric column, its sum)."""
+    aggs = [F.sum(cond.cast("long")).cast(dtype).alias(name) for name, cond in counts.items()]
     return df.groupBy(*keys).agg(*aggs)

@@ -131,6 +131,22 @@ def match_stats_concept(match: DataFrame) -> DataFrame:
         "plconceptids": c, "conceptidmatch": c & bill, "unmatchedconceptid": c & ~bill})
 
 
+def match_stats_both(match_pr: DataFrame) -> DataFrame:
+    """D22 at both levels from one pass over a D21 table: the columns of both statistics per (patient, stay).
+
+    The rows of D20 are the groups of :func:`match_dx_from_concept`; each carries how many D21 rows with a concept
+    it stands for, so no row is matched or dealt a second time.
+    """
+    groups = (match_pr.groupBy("ptid", "dischid", "pdxid", "bepicdxid", "icd9desc")
+              .agg(F.count("conceptid").alias("_concepts")))
+    pl, bill, concepts = F.col("pdxid").isNotNull(), F.col("bepicdxid").isNotNull(), F.col("_concepts")
+    return match_stats(groups, ["ptid", "dischid"], {
+        "pldxids": pl, "billdxids": bill, "dxidmatch": pl & bill,
+        "unmatchedpldxid": pl & ~bill, "unmatchedbilldxid": ~pl & bill,
+        "plconceptids": concepts, "conceptidmatch": F.when(bill, concepts).otherwise(0),
+        "unmatchedconceptid": F.when(bill, 0).otherwise(concepts)})
+
+
 FINAL_COLUMNS = ["pldxids", "plconceptids", "billdxids", "dxidmatch", "conceptidmatch", "unmatchedpldxid",
                  "unmatchedbilldxid", "unmatchedconceptid"]
 

@@ -70,7 +70,8 @@ GRAPH: dict[str, tuple[str, ...]] = {
     "match_dx": ("match_concept",),
     "stats_dx": ("match_dx",),
     "stats_concept": ("match_concept",),
-    "disch4": ("disch3", "stats_dx", "stats_concept"),
+    "match_stats": ("match_concept",),
+    "disch4": ("disch3", "match_stats"),   # of declared outputs; of all tables, the stored stats_dx and stats_concept
 }
 # tables that are files already when they are built
 _FILES = {"candidate_closure"}
@@ -94,6 +95,8 @@ def shared_tables(outputs: Iterable[str]) -> set[str]:
     stored = {job for job, n in reads.items() if n > 1} - {"concepts", "loads", "snapshot", "billdata"} - _FILES
     # both readers of the match group it as it is dealt: they share its last shuffle
     stored -= {"match_concept"}
+    # both statistics of a stay come from one pass
+    stored |= {"match_stats"} & needed
     # names in use meet the edits of every range join; from a file the planner knows how few they are
     return stored | ({"terms"} & needed)
 
@@ -121,6 +124,7 @@ class ProblemListMetrics:
         # problems that the caller does not read are stored without the columns that no other job reads
         self.measured_only = outputs is not None and not {"latest", "problems"} & set(outputs)
         self.text_ids_apart = outputs is not None and "match_concept" not in outputs
+        self.present_only = outputs is not None and "present_during" not in outputs
         self._tables: list[str] = []
 
     @property
@@ -143,7 +147,7 @@ class ProblemListMetrics:
             delete_path(self.spark, path)
         self._tables.clear()
         for name in list(self.__dict__):
-            if name not in ("inputs", "study_end", "integer_ratio", "how", "task_pairs", "max_depth", "shared", "measured_only", "text_ids_apart", "_tables"):
+            if name not in ("inputs", "study_end", "integer_ratio", "how", "task_pairs", "max_depth", "shared", "measured_only", "text_ids_apart", "present_only", "_tables"):
                 del self.__dict__[name]
 
     # -- terminology ---------------------------------------------------------
@@ -264,8 +268,10 @@ class ProblemListMetrics:
     @cached_property
     def present_during(self) -> DataFrame:
         """D14."""
-        return self._keep(stays.present_during(self.log, self.inputs.disch, self.terms, self.task_pairs,
-                                               self.loads), "present_during")
+        present = stays.present_during(self.log, self.inputs.disch, self.terms, self.task_pairs, self.loads)
+        if self.present_only:   # stored without the names, dates and text ids that no other job reads
+            present = present.select(*stays.COUNTED_COLUMNS)
+        return self._keep(present, "present_during")
 
     @cached_property
     def pr_present(self) -> DataFrame:
@@ -324,10 +330,20 @@ class ProblemListMetrics:
         """D22 ``pbmatchsummpr``."""
         return self._keep(billing.match_stats_concept(self.match_concept), "stats_concept")
 
+    @cached_property
+    def match_stats(self) -> DataFrame:
+        """``pbmatchsummdx`` and ``pbmatchsummpr`` side by side."""
+        return self._keep(billing.match_stats_both(self.match_concept), "match_stats")
+
     @cached_property
     def disch4(self) -> DataFrame:
         """The published discharge table."""
-        return self._keep(billing.final_discharge(self.disch3, self.stats_dx, self.stats_concept), "disch4")
+        if self.shared is None:
+            stats_dx, stats_concept = self.stats_dx, self.stats_concept
+        else:
+            stats_dx = self.match_stats.select("ptid", "dischid", *billing.DX_STATS)
+            stats_concept = self.match_stats.select("ptid", "dischid", *billing.CONCEPT_STATS)
+        return self._keep(billing.final_discharge(self.disch3, stats_dx, stats_concept), "disch4")
 
     def reconciliation(self) -> DataFrame:
         """D24."""

@@ -83,6 +83,8 @@ PRESENT_COLUMNS = [
     "ptid", "admitdate", "dischdate", "dischid", "pdxid", "conceptid", "term", "noteddate", "resoldate",
     "deldate", "dcprobid", "dcdxid", "dcbilldxid", "picd9desc",
 ]
+# what the counts (D15) and the billing match (D20, D21) read of them
+COUNTED_COLUMNS = ["ptid", "dischid", "pdxid", "conceptid", "noteddate", "picd9desc"]
 
 
 def present_during(log: DataFrame, disch: DataFrame, names: DataFrame,

@@ -118,3 +118,30 @@ def test_latest_in_place_equals_latest_of_pairs_and_does_not_shuffle_them(spark)
     plan = got._jdf.queryExecution().executedPlan().toString().split("\n")
     pairs = next(i for i, line in enumerate(plan) if "Join" in line and "ptid" in line and "LeftSemi" not in line)
     assert sum("Exchange" in line for line in plan[:pairs]) == 0
+
+
+def test_both_match_statistics_in_one_pass_equal_the_two(spark):
+    from dxlens.plans import billing
+    from dxlens.plans.catalog import metrics
+    from dxlens.plans.pipeline import shared_tables
+    from dxlens.plans.stays import COUNTED_COLUMNS
+
+    when = ts("2024-01-01")
+    present = spark.createDataFrame(
+        [(1, 10, 5, 7, when, "x"), (1, 10, 5, 7, when, "y"), (1, 10, 5, 8, None, "x"), (1, 10, None, 7, when, "x"),
+         (1, 10, 5, None, when, "x"), (1, None, 5, 7, when, "x"), (2, 10, 5, 7, when, "z"), (1, 10, 6, 7, when, None)],
+        "ptid long, dischid long, pdxid long, conceptid long, noteddate timestamp_ntz, picd9desc string")
+    bill = billdata(spark, [{"ptid": p, "dischid": d, "bepicdxid": x, "bicd9desc": t} for p, d, x, t in [
+        (1, 10, 5, "A"), (1, 10, 5, None), (1, 10, 5, "x"), (1, 10, None, "A"), (3, 11, 6, "B"), (3, 11, 6, "B"), (None, 10, 5, "A")]])
+    match = billing.match_concept(present, bill, 5)
+    both = billing.match_stats_both(match.drop("dcbilldxid", "dcxbillid", "dcprobid"))
+    keys = ["ptid", "dischid"]
+    for got, want in ((both.select(*keys, *billing.DX_STATS), billing.match_stats_dx(billing.match_dx_from_concept(match))),
+                      (both.select(*keys, *billing.CONCEPT_STATS), billing.match_stats_concept(match))):
+        assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 3   # either side and their rows by stay
+    assert "match_stats" in shared_tables(["disch4"]) and "match_dx" not in shared_tables(["disch4"])
+    m = metrics(spark, SMALL, outputs=["disch4"])
+    assert m.present_during.columns == COUNTED_COLUMNS
+    m.release()
