@@ -60,7 +60,7 @@ GRAPH: dict[str, tuple[str, ...]] = {
     "disch2": ("summary",),
     "updated_during": ("log", "terms", "loads"),
     "present_during": ("log", "terms", "loads"),
-    "pr_present": ("present_during",),
+    "pr_present": ("present_during", "loads"),
     "pr_updated": ("updated_during",),
     "pusumm": ("pr_present", "pr_updated"),
     "disch3": ("disch2", "pusumm"),
@@ -278,7 +278,8 @@ class ProblemListMetrics:
         """D15."""
         present = self.present_during
         if self.shared is None or "present_during" in self.shared:  # read back, it has lost how it was dealt
-            present = present.repartition("ptid", "dischid")
+            dealt = [self.loads.partitions] if self.loads.partitions else []
+            present = present.repartition(*dealt, "ptid", "dischid")
         return self._keep(stays.active_counts(present), "pr_present")
 
     @cached_property

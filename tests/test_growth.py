@@ -145,3 +145,13 @@ def test_both_match_statistics_in_one_pass_equal_the_two(spark):
     m = metrics(spark, SMALL, outputs=["disch4"])
     assert m.present_during.columns == COUNTED_COLUMNS
     m.release()
+
+
+def test_stored_presence_is_dealt_into_as_many_partitions_as_its_rows_fill(spark):
+    from dxlens.operators.dyadic import KeyLoads
+    from dxlens.plans.catalog import metrics
+
+    m = metrics(spark, SMALL, outputs=["pr_present", "match_concept"])
+    m.loads = KeyLoads(m.hot_patients, False, 13)
+    assert ", 13)" in m.pr_present._jdf.queryExecution().executedPlan().toString() and m.pr_present.count() > 0
+    m.release()
