@@ -15,6 +15,7 @@ node exceed ``task_pairs``, :func:`interval_join` splits it with the grid of :mo
 
 Where no key needs nodes, both sides are dealt by the keys into as many partitions as their rows fill
 (:func:`plain_partitions`); groupings by the keys and more columns then need no shuffle of the pairs.
+Where some do, the copies are dealt by key and node into as many as the rows and the pairs of those keys fill.
 """
 
 from __future__ import annotations
@@ -82,11 +83,18 @@ class KeyLoads:
     """``depths``: the keys that do not take the plain join; ``split``: whether any of them may need the grid.
 
     ``partitions``: set if there is no such key; the plain join then deals both sides into so many.
+    ``dealt``: set if there is one; the copies are dealt by key and node into so many.
     """
 
     depths: DataFrame
     split: bool = True
     partitions: int | None = None
+    dealt: int | None = None
+
+    @property
+    def tasks(self) -> int | None:
+        """Partitions that the pairs fill, however they are joined."""
+        return self.partitions or self.dealt
 
 
 def plain_partitions(spark: SparkSession, rows: int) -> int:
@@ -109,6 +117,15 @@ def key_depths(big: DataFrame, small: DataFrame, keys: Sequence[str], task_pairs
             .select(*keys, F.when(many, depth).otherwise(0).alias("_depth"), (pairs > task_pairs).alias("_grid")))
 
 
+def pairs_of(big: DataFrame, small: DataFrame, keys: Sequence[str], depths: DataFrame) -> int:
+    """All pairs of the keys in ``depths``, of which a join by nodes forms a part."""
+    def counted(df, name):
+        return df.join(depths.select(*keys), list(keys), "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+    pairs = F.sum(F.col("_nb").cast("double") * F.col("_ns"))
+    return int(counted(big, "_nb").join(counted(small, "_ns"), list(keys)).agg(pairs).first()[0] or 0)
+
+
 def with_nodes(df: DataFrame, keys: Sequence[str], depths: DataFrame, nodes: Callable[[Column], Column]) -> DataFrame:
     """A copy of every row for each of its nodes: ``_node``, and ``_grid``."""
     return (df.join(depths, list(keys), "left").withColumn("_depth", F.coalesce("_depth", F.lit(0)))
@@ -138,8 +155,11 @@ def interval_join(big: DataFrame, small: DataFrame, keys: Sequence[str], big_nod
     if loads.split:
         hot = hot_keys(big.where("_grid"), on, task_pairs, small.where("_grid"))
         return hot_key_join(big.drop("_grid"), small.drop("_grid"), on, residual, row_id=row_id, small_row_id=small_row_id,
-                            task_pairs=task_pairs, hot=hot)
+                            task_pairs=task_pairs, hot=hot, partitions=loads.dealt)
     cond = residual
     for k in on:
         cond = cond & (F.col(f"b.{k}") == F.col(f"s.{k}"))
-    return big.drop("_grid").alias("b").join(small.drop("_grid").alias("s"), cond)
+    big, small = big.drop("_grid"), small.drop("_grid")
+    if loads.dealt:  # explicit, so that copies that pack well are not merged into few partitions of many pairs
+        big, small = big.repartition(loads.dealt, *on), small.repartition(loads.dealt, *on)
+    return big.alias("b").join(small.alias("s"), cond)

@@ -53,7 +53,8 @@ def hot_keys(big: DataFrame, keys: Sequence[str], task_pairs: int, small: DataFr
 def hot_key_join(big: DataFrame, small: DataFrame, keys: Sequence[str], residual: Column | None = None,
                  *, row_id: Sequence[str], small_row_id: Sequence[str] | None = None,
                  task_pairs: int = DEFAULT_TASK_PAIRS,
-                 big_alias: str = "b", small_alias: str = "s", hot: DataFrame | None = None) -> DataFrame:
+                 big_alias: str = "b", small_alias: str = "s", hot: DataFrame | None = None,
+                 partitions: int | None = None) -> DataFrame:
     """Inner join ``big`` and ``small`` on ``keys`` and ``residual``.
 
     ``residual`` may refer to both sides through ``big_alias`` and
@@ -62,7 +63,7 @@ def hot_key_join(big: DataFrame, small: DataFrame, keys: Sequence[str], residual
     hot key's rows over its buckets (without ``small_row_id`` the small side
     is only replicated, never split).  ``hot`` is a precomputed
     :func:`hot_keys` table (e.g. shared by several joins of the same inputs);
-    by default it is computed from both sides.
+    by default it is computed from both sides.  ``partitions``: both sides are dealt into so many.
     """
     if hot is None:
         hot = hot_keys(big, keys, task_pairs, small, bool(small_row_id))
@@ -75,15 +76,17 @@ def hot_key_join(big: DataFrame, small: DataFrame, keys: Sequence[str], residual
     big_s = (big.join(hot, list(keys), "left")
              .withColumn("_sa", bucket(row_id, a))
              .withColumn("_sb", F.explode(F.sequence(F.lit(0), b - 1)))
-             .drop("_buckets", "_spread").alias(big_alias))
+             .drop("_buckets", "_spread"))
     small_s = (small.join(hot, list(keys), "left")
                .withColumn("_sb", bucket(small_row_id, b) if small_row_id else F.lit(0))
                .withColumn("_sa", F.explode(F.sequence(F.lit(0), a - 1)))
-               .drop("_buckets", "_spread").alias(small_alias))
+               .drop("_buckets", "_spread"))
+    if partitions:
+        big_s, small_s = (df.repartition(partitions, *keys, "_sa", "_sb") for df in (big_s, small_s))
     cond = ((F.col(f"{big_alias}._sa") == F.col(f"{small_alias}._sa"))
             & (F.col(f"{big_alias}._sb") == F.col(f"{small_alias}._sb")))
     for k in keys:
         cond = cond & (F.col(f"{big_alias}.{k}") == F.col(f"{small_alias}.{k}"))
     if residual is not None:
         cond = cond & residual
-    return big_s.join(small_s, cond, "inner")
+    return big_s.alias(big_alias).join(small_s.alias(small_alias), cond, "inner")

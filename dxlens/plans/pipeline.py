@@ -21,7 +21,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dxlens.operators.dyadic import KeyLoads, key_depths, plain_partitions
+from dxlens.operators.dyadic import GAIN, KeyLoads, key_depths, pairs_of, plain_partitions
 from dxlens.operators.intervals import DEFAULT_TASK_PAIRS
 from dxlens.plans import billing, report, snapshot, stays, terminology
 from dxlens.sources.sinks import delete_path, materialise, publish, table_root, write_table
@@ -47,7 +47,7 @@ GRAPH: dict[str, tuple[str, ...]] = {
     "names": (), "log": (),
     "terms": ("names", "log"),
     "hot_patients": ("log",),
-    "loads": ("hot_patients", "hot_patients", "hot_patients", "log"),   # one test, one join to either side; the size
+    "loads": ("hot_patients", "hot_patients", "hot_patients", "log", "log"),   # one test, one join to either side; the size and pairs
     "concepts": ("terms",),
     "snapshot_pairs": ("log", "concepts", "loads"),
     "snapshot": ("snapshot_pairs", "terms"),
@@ -77,17 +77,23 @@ GRAPH: dict[str, tuple[str, ...]] = {
 _FILES = {"candidate_closure"}
 
 
+def needed_tables(outputs: Iterable[str]) -> set[str]:
+    """``outputs`` and all tables on the way to them."""
+    todo, needed = list(outputs), set()
+    while todo:
+        job = todo.pop()
+        if job not in needed:
+            needed.add(job)
+            todo.extend(GRAPH[job])
+    return needed
+
+
 def shared_tables(outputs: Iterable[str]) -> set[str]:
     """Tables that are read more than once on the way to ``outputs`` (named once for every read of the caller)."""
     reads = Counter(outputs)
-    todo, needed = list(reads), set()
-    while todo:
-        job = todo.pop()
-        if job in needed:
-            continue
-        needed.add(job)
+    needed = needed_tables(reads)
+    for job in needed:
         reads.update(GRAPH[job])
-        todo.extend(GRAPH[job])
     # a selection or a pair of tables is read through, not stored
     for through in ("concepts", "loads", "snapshot"):
         if reads[through] > 1:
@@ -179,10 +185,16 @@ class ProblemListMetrics:
 
     @cached_property
     def loads(self) -> KeyLoads:
-        """The hot patients, and whether one of them may need the grid as well; the partitions where there are none."""
+        """The hot patients, and whether one of them may need the grid as well; the partitions that all pairs fill.
+
+        A plain patient has at most ``GAIN`` pairs a row; a hot one counts as the rows that its pairs stand for as well.
+        """
+        rows = self.log.count() + self.inputs.disch.count()
         if self.hot_patients.isEmpty():
-            return KeyLoads(self.hot_patients, False, plain_partitions(self.spark, self.log.count() + self.inputs.disch.count()))
-        return KeyLoads(self.hot_patients, not self.hot_patients.where("_grid").isEmpty())
+            return KeyLoads(self.hot_patients, False, plain_partitions(self.spark, rows))
+        rows += pairs_of(self.log, self.inputs.disch, ["ptid"], self.hot_patients) // GAIN
+        return KeyLoads(self.hot_patients, not self.hot_patients.where("_grid").isEmpty(),
+                        dealt=plain_partitions(self.spark, rows))
 
     @cached_property
     def concepts(self) -> DataFrame:
@@ -277,8 +289,9 @@ class ProblemListMetrics:
     def pr_present(self) -> DataFrame:
         """D15."""
         present = self.present_during
-        if self.shared is None or "present_during" in self.shared:  # read back, it has lost how it was dealt
-            dealt = [self.loads.partitions] if self.loads.partitions else []
+        stored = self.shared is None or "present_during" in self.shared
+        if stored or self.loads.dealt:  # read back, it has lost how it was dealt; dealt by nodes, a stay is in many partitions
+            dealt = [self.loads.tasks] if self.loads.tasks else []
             present = present.repartition(*dealt, "ptid", "dischid")
         return self._keep(stays.active_counts(present), "pr_present")
 
@@ -316,7 +329,7 @@ class ProblemListMetrics:
     @cached_property
     def match_concept(self) -> DataFrame:
         """D21 ``pbmatchpr``."""
-        match = billing.match_concept(self.present_during, self.inputs.billdata, self.loads.partitions)
+        match = billing.match_concept(self.present_during, self.inputs.billdata, self.loads.tasks)
         if self.text_ids_apart:
             match = match.drop("dcbilldxid", "dcxbillid", "dcprobid")
         return self._keep(match, "match_concept")

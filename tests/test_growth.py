@@ -155,3 +155,34 @@ def test_stored_presence_is_dealt_into_as_many_partitions_as_its_rows_fill(spark
     m.loads = KeyLoads(m.hot_patients, False, 13)
     assert ", 13)" in m.pr_present._jdf.queryExecution().executedPlan().toString() and m.pr_present.count() > 0
     m.release()
+
+
+def test_pairs_of_hot_patients_are_dealt_and_counted_in_as_many_partitions_as_they_fill(spark):
+    from dxlens.operators.dyadic import key_depths, pairs_of
+    from dxlens.plans.catalog import metrics
+    from dxlens.plans.pipeline import Inputs, ProblemListMetrics
+    from pyspark.sql import functions as F
+
+    base = metrics(spark, SMALL, materialise="none").inputs
+    log = base.pldata.withColumn("ptid", F.when(F.col("probid") % 3 == 0, F.lit(7)).otherwise(F.col("ptid")))
+    stay = base.disch.withColumn("ptid", F.when(F.col("dischid") % 5 == 0, F.lit(7)).otherwise(F.col("ptid")))
+    inputs = Inputs(base.descr, base.relats, log, stay, base.billdata)
+    both = [x.where(F.col("ptid").isNotNull()) for x in (log, stay)]
+    hot = key_depths(*both, ["ptid"])
+    edits, stays_of = (x.where("ptid = 7").count() for x in both)
+    assert [r.ptid for r in hot.collect()] == [7] and pairs_of(*both, ["ptid"], hot) == edits * stays_of
+    for task_pairs, grid in ((50_000_000, False), (2_000, True)):
+        m = ProblemListMetrics(inputs, study_end="2024-06-06", materialise="none", task_pairs=task_pairs, outputs=["pr_present", "stats_concept"])
+        found = m.loads
+        assert found.partitions is None and found.dealt == found.tasks >= 1 and found.split == grid
+        rows = {}
+        for dealt in (None, 13):
+            found.dealt = dealt
+            for name in ("pr_present", "stats_concept", "present_during", "updated_during"):
+                m.__dict__.pop(name, None)
+            m.__dict__.pop("match_concept", None)
+            plans = {name: getattr(m, name) for name in ("pr_present", "stats_concept", "updated_during")}
+            text = plans["pr_present"]._jdf.queryExecution().executedPlan().toString()
+            assert text.count(", 13)") == (3 if dealt else 0)   # either side by node, their pairs by stay
+            rows[dealt] = {name: sorted(map(str, df.collect())) for name, df in plans.items()}
+        assert rows[13] == rows[None] and all(rows[13].values())
