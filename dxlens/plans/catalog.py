@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dxlens.plans import billing, snapshot, stays
-from dxlens.plans.pipeline import Inputs, ProblemListMetrics
+from dxlens.plans.pipeline import Inputs, ProblemListMetrics, needed_tables
 from dxlens.sources.bridge import STUDY_END, load_bridge
 
 # depth limit of the original closure statement; the library itself has none
@@ -31,7 +31,8 @@ def metrics(spark: SparkSession, sf_dir: str, integer_ratio: bool = False,
     query is built; the returned plan holds the other jobs.  ``chains`` adds is-a chains deeper
     than the original's limit, and follows them without one.
     """
-    return ProblemListMetrics(Inputs.from_mapping(load_bridge(spark, sf_dir, chains)), study_end=STUDY_END,
+    bills = outputs is None or not {"billdata", "match_concept"}.isdisjoint(needed_tables(outputs))
+    return ProblemListMetrics(Inputs.from_mapping(load_bridge(spark, sf_dir, chains, bills)), study_end=STUDY_END,
                               integer_ratio=integer_ratio, materialise=materialise,
                               max_depth=None if chains else REFERENCE_DEPTH, outputs=outputs)
 

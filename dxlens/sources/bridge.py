@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from dxlens import schemas
 from dxlens.functions.temporal import ts_literal
+from dxlens.operators.dyadic import PLAIN_ROWS, plain_partitions
 
 # Fixed values of the test projection.
 FSN_TYPE = 900000000000003001        # fully specified name
@@ -43,6 +44,9 @@ STUDY_END = "2024-06-06"
 CHAIN_BASE = 1_000_000_000_000
 CHAIN_LENGTH = 40
 
+# narrow rows of both sides in a partition of the join that makes the bills
+BILL_ROWS = 10 * PLAIN_ROWS
+
 TABLES = ("part", "events", "orders", "lineitem")
 
 
@@ -144,9 +148,18 @@ def disch_from_orders(orders: DataFrame) -> DataFrame:
         F.col("o_orderpriority").alias("rom"), (k % 100).alias("cc_time")), schemas.DISCH)
 
 
-def billdata_from_lineitem(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+def bill_partitions(lineitem: DataFrame, orders: DataFrame) -> int | None:
+    """Partitions that the rows behind the bills fill; None where one is enough.  Counted from the files' footers."""
+    rows = lineitem.count() + orders.count()
+    return plain_partitions(lineitem.sparkSession, rows * PLAIN_ROWS // BILL_ROWS) if rows > 2 * BILL_ROWS else None
+
+
+def billdata_from_lineitem(lineitem: DataFrame, orders: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``partitions``: both sides are dealt into so many, as narrow rows pack so well that they would be merged into few."""
     li = lineitem.select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
     o = orders.select("o_orderkey", "o_custkey")
+    if partitions:
+        li, o = li.repartition(partitions, "l_orderkey"), o.repartition(partitions, "o_orderkey")
     joined = li.join(o, li.l_orderkey == o.o_orderkey)
     pk = F.col("l_partkey")
     return schemas.conform(joined.select(
@@ -158,8 +171,11 @@ def billdata_from_lineitem(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         schemas.BILLDATA)
 
 
-def load_bridge(spark: SparkSession, sf_dir: str, chains: bool = False) -> dict[str, DataFrame]:
-    """The five inputs derived from the test tables under ``sf_dir``; ``chains`` adds deep is-a chains."""
+def load_bridge(spark: SparkSession, sf_dir: str, chains: bool = False, bills: bool = True) -> dict[str, DataFrame]:
+    """The five inputs derived from the test tables under ``sf_dir``; ``chains`` adds deep is-a chains.
+
+    ``bills``: whether the bills are read, and so worth a count of the rows that they are joined from.
+    """
     src = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     relats = relats_from_part(src["part"])
     if chains:
@@ -169,5 +185,6 @@ def load_bridge(spark: SparkSession, sf_dir: str, chains: bool = False) -> dict[
         "relats": relats,
         "pldata": pldata_from_events(src["events"]),
         "disch": disch_from_orders(src["orders"]),
-        "billdata": billdata_from_lineitem(src["lineitem"], src["orders"]),
+        "billdata": billdata_from_lineitem(src["lineitem"], src["orders"],
+                                           bill_partitions(src["lineitem"], src["orders"]) if bills else None),
     }

@@ -186,3 +186,22 @@ def test_pairs_of_hot_patients_are_dealt_and_counted_in_as_many_partitions_as_th
             assert text.count(", 13)") == (3 if dealt else 0)   # either side by node, their pairs by stay
             rows[dealt] = {name: sorted(map(str, df.collect())) for name, df in plans.items()}
         assert rows[13] == rows[None] and all(rows[13].values())
+
+
+def test_rows_behind_the_bills_are_dealt_by_their_number(spark, monkeypatch):
+    from dxlens.plans import catalog
+    from dxlens.sources import bridge
+
+    lines = spark.createDataFrame([(o, p, f, "O") for o, p, f in [(1, 41, "A"), (1, 5, None), (1, 5, None), (2, None, "R"), (None, 3, "A"), (9, 4, "N")]],
+                                  "l_orderkey long, l_partkey long, l_returnflag string, l_linestatus string")
+    orders = spark.createDataFrame([(1, 10), (1, 11), (2, None), (None, 12)], "o_orderkey long, o_custkey long")
+    plain, dealt = bridge.billdata_from_lineitem(lines, orders), bridge.billdata_from_lineitem(lines, orders, 7)
+    assert dealt._jdf.queryExecution().executedPlan().toString().count(", 7)") == 2
+    assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect())) and plain.count() == 7
+    assert bridge.bill_partitions(lines, orders) is None
+    few, many = (bridge.bill_partitions(spark.range(n * bridge.BILL_ROWS), spark.range(1)) for n in (3, 300))
+    assert few <= 4 and many == 300
+    monkeypatch.setattr(bridge, "bill_partitions", lambda *tables: 7)
+    for outputs, reads in ((["match_dx"], True), (["billdata"], True), (["pr_present"], False)):
+        text = catalog.metrics(spark, SMALL, outputs=outputs).inputs.billdata._jdf.queryExecution().executedPlan().toString()
+        assert (text.count(", 7)") == 2) == reads
